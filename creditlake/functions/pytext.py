@@ -31,11 +31,24 @@ def _exp_form(java_text: Column) -> Column:
     return F.concat(mant, F.lit("e"), sign, F.lpad(F.abs(exp).cast("string"), 2, "0"))
 
 
-def py_double_str(c: Column) -> Column:
-    """``str(float(x))`` for a double column; null stays null."""
-    d = c.cast("double")
-    a = F.abs(d)
+def _java_shortest(d: Column) -> Column:
+    """Java 17's ``Double.toString`` sometimes prints a 17th digit that is
+    not needed to round-trip (fixed in later JDKs).  For exponent forms with
+    17 digits, take the 16-digit rounding when it reads back to the same
+    double, in Java's own layout."""
     java = d.cast("string")
+    mant = F.regexp_extract(java, r"^-?([0-9.]+)E", 1)
+    alt = F.format_string("%.15E", d)
+    alt_mant = F.regexp_replace(F.regexp_extract(alt, r"^(-?[0-9.]+)E", 1), r"0+$", "")
+    alt_mant = F.when(alt_mant.endswith("."), F.concat(alt_mant, F.lit("0"))).otherwise(alt_mant)
+    alt_exp = F.regexp_extract(alt, r"E([+-][0-9]+)$", 1).cast("int").cast("string")
+    alt_java = F.concat(alt_mant, F.lit("E"), alt_exp)
+    use_alt = (F.length(mant) >= 18) & (alt.try_cast("double") == d)
+    return F.when(use_alt, alt_java).otherwise(java)
+
+
+def _layout(d: Column, java: Column) -> Column:
+    a = F.abs(d)
     return (
         F.when(d.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(d), F.lit("nan"))
@@ -50,6 +63,17 @@ def py_double_str(c: Column) -> Column:
     )
 
 
+def py_double_str(c: Column) -> Column:
+    """``str(float(x))`` for a double column; null stays null.
+
+    Evaluated in two lambda stages over a one-element array so the Java text
+    is computed once per value and the (branch-heavy) layout expression is
+    not copied into generated code once per use."""
+    d = c.cast("double")
+    staged = F.transform(F.array(d), lambda x: F.struct(x.alias("d"), _java_shortest(x).alias("j")))
+    return F.element_at(F.transform(staged, lambda s: _layout(s["d"], s["j"])), 1)
+
+
 def py_str(c: Column, dtype) -> Column:
     """Python ``str()`` of a value of Spark type ``dtype`` (null stays null)."""
     if isinstance(dtype, (DoubleType, FloatType)):

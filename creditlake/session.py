@@ -19,6 +19,8 @@ JOB_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # duplicate keys in a parsed request: the last one wins, like a Python dict
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
