@@ -179,3 +179,14 @@ def get_dataset_spec(key: str) -> DatasetSpec:
     if key not in DATASETS:
         raise KeyError(f"unknown dataset: {key}")
     return DATASETS[key]
+
+
+# Foreign keys of each dataset: read as integer text when numeric, raw text otherwise (P-05).
+FOREIGN_KEYS = {
+    "bureau": ("sk_id_curr",),
+    "bureau_balance": ("sk_id_bureau",),
+    "previous_application": ("sk_id_curr",),
+    "installments_payments": ("sk_id_prev",),
+    "credit_card_balance": ("sk_id_prev", "sk_id_curr"),
+    "pos_cash_balance": ("sk_id_prev", "sk_id_curr"),
+}

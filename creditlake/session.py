@@ -61,3 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def apply_job_conf(spark: SparkSession) -> None:
     for k, v in JOB_CONF.items():
         spark.conf.set(k, v)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a
+    machine-local temp folder on a cluster)."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
