@@ -53,11 +53,15 @@ def score_heuristic(requests: DataFrame) -> DataFrame:
     """M-07 fallback path (no model): F-13 per request.  Adds
     default_probability, confidence, model_version, importances (ordered
     array of (feature, importance)) and features (feature -> value)."""
-    h = D.heuristic_columns(F.col("income"), F.col("age"), F.col("debt_to_income"), F.col("bki_request_cnt"))
+    have = set(requests.columns)
+
+    def col(name: str):
+        return F.col(name) if name in have else F.lit(None).cast("double")
+    h = D.heuristic_columns(col("income"), col("age"), col("debt_to_income"), col("bki_request_cnt"))
     imps = F.array(*[F.struct(F.lit(f).alias("feature"), h[f"imp_{f}"].alias("importance"))
                      for f in HEURISTIC_FEATURES])
     feats = F.map_from_entries(F.filter(
-        F.array(*[F.struct(F.lit(f).alias("k"), F.col(f).cast("double").alias("v"))
+        F.array(*[F.struct(F.lit(f).alias("k"), col(f).cast("double").alias("v"))
                   for f in HEURISTIC_FEATURES]),
         lambda e: e["v"].isNotNull()))
     return requests.select(
