@@ -26,15 +26,19 @@ def require_columns(df: DataFrame, required, what: str = "input") -> DataFrame:
     return df
 
 
-def conform(df: DataFrame, spec: DatasetSpec, keep_junk: bool = False) -> DataFrame:
-    """Select every column of ``spec`` in order: present ones cast to the
-    declared type, absent ones as typed nulls.  Junk columns are dropped
-    unless ``keep_junk`` (P-07 strip)."""
+def conform(df: DataFrame, spec: DatasetSpec, keep_junk: bool = False, full: bool = True) -> DataFrame:
+    """Select the columns of ``spec`` in order, cast to the declared type.
+    ``full``: absent columns are added as typed nulls (a file-shaped frame);
+    otherwise only the present ones are kept (narrow: later steps treat an
+    absent column as null, and the plan stays small).  Junk columns are
+    dropped unless ``keep_junk`` (P-07 strip)."""
     have = set(df.columns)
     cols: list[Column] = []
     for name, typ in spec.columns:
         if name in spec.junk and not keep_junk:
             continue
+        if name not in have and not full:
+            continue
         src = F.col(name) if name in have else F.lit(None)
         cols.append(src.cast(typ).alias(name))
     return df.select(*cols)

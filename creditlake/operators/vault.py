@@ -16,6 +16,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.hashing import hash_key, hashdiff
 from ..functions.json_text import json_hashdiff, json_object_text
+from ..schemas import staging_types
 
 
 @dataclass(frozen=True)
@@ -97,6 +98,7 @@ def sat_frame(staged: DataFrame, spec: SatSpec, load_dts) -> DataFrame:
     (the hashdiff is computed on the staging values, as the source system
     saw them) and be unique per parent key (+ sub-keys)."""
     types = {f.name: f.dataType for f in staged.schema.fields}
+    declared = staging_types()
     df = staged.where(_not_null(spec.parent.bk + tuple(s for s, _ in spec.subkeys)))
     if spec.where:
         df = df.where(spec.where)
@@ -108,7 +110,14 @@ def sat_frame(staged: DataFrame, spec: SatSpec, load_dts) -> DataFrame:
         hd = json_hashdiff(pack_cols[spec.hashdiff_pack])
     else:
         names = ([s for s, _ in spec.subkeys] if spec.hashdiff_subkeys else []) + list(spec.hashdiff)
-        hd = hashdiff([(F.col(n), types[n]) for n in names])
+        parts = []
+        for n in names:
+            if n in types:
+                parts.append((F.col(n), types[n]))
+            else:       # attribute absent from this extract: null, i.e. '' in the hash
+                t = _parse_datatype_string(declared[n])
+                parts.append((F.lit(None).cast(t), t))
+        hd = hashdiff(parts)
     ld = _ts(load_dts)
     out = [spec.parent.column().alias(spec.parent.hk)]
     out += [F.col(s).cast(t).alias(s) for s, t in spec.subkeys]

@@ -6,6 +6,8 @@ Writing them (hub -> link -> satellite order, append) is ``write_vault``.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,10 @@ LOAD_DTS = "2024-01-01 00:00:00"
 SECOND_LOAD_DTS = "2024-02-01 00:00:00"
 
 
-def staged_dataset(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
-    """Adapter output conformed to its staging schema (typed nulls for
-    attributes the adapter lacks, junk stripped)."""
-    return conform(staged(spark, sf_dir, adapter), DATASETS[ADAPTER_DATASET[adapter]])
+def staged_dataset(spark: SparkSession, sf_dir: str, adapter: str, full: bool = False) -> DataFrame:
+    """Adapter output cast to its staging schema, junk stripped.  Narrow by
+    default: attributes the extract lacks are treated as null downstream."""
+    return conform(staged(spark, sf_dir, adapter), DATASETS[ADAPTER_DATASET[adapter]], full=full)
 
 
 def application_targets(app: DataFrame, load_dts=LOAD_DTS) -> dict[str, DataFrame]:
@@ -74,20 +76,59 @@ def multi_active_targets(df: DataFrame, spec, load_dts=LOAD_DTS) -> DataFrame:
     return sat_frame(reduce_to_key(df.where(cond), keys), spec, load_dts)
 
 
-def vault_tables(spark: SparkSession, sf_dir: str, load_dts=LOAD_DTS) -> dict[str, DataFrame]:
+class Vault(Mapping):
+    """Every vault target of one load over the driver tables.  Targets are
+    built lazily, one source group at a time, on first access (a query that
+    needs two tables does not plan twenty)."""
+
+    _GROUPS = {
+        "application": [V.HUB_APPLICATION.table] + [s.table for s in V.APPLICATION_SATS],
+        "bureau": [V.HUB_BUREAU.table, V.LINK_APP_BUREAU.table, V.SAT_BUREAU.table],
+        "bureau_balance": [V.SAT_BUREAU_BALANCE.table],
+        "prev": [V.HUB_PREV.table, V.LINK_APP_PREV.table, V.SAT_PREV.table],
+        "installments": [V.SAT_INSTALLMENT.table],
+        "card": [V.SAT_CARD.table],
+        "pos": [V.SAT_POS.table],
+    }
+
+    def __init__(self, spark: SparkSession, sf_dir: str, load_dts=LOAD_DTS):
+        self.spark, self.sf_dir, self.load_dts = spark, sf_dir, load_dts
+        self._built: dict[str, DataFrame] = {}
+
+    def _build(self, group: str) -> dict[str, DataFrame]:
+        sp, sf, ld = self.spark, self.sf_dir, self.load_dts
+        if group == "application":
+            return application_targets(staged_dataset(sp, sf, "stg_application"), ld)
+        if group == "bureau":
+            return bureau_targets(staged_dataset(sp, sf, "stg_bureau"), ld)
+        if group == "bureau_balance":
+            return bureau_balance_targets(staged_dataset(sp, sf, "stg_bureau_balance"), ld)
+        if group == "prev":
+            return prev_targets(staged_dataset(sp, sf, "stg_previous_application"), ld)
+        adapter, spec = {"installments": ("stg_installments_payments", V.SAT_INSTALLMENT),
+                         "card": ("stg_credit_card_balance", V.SAT_CARD),
+                         "pos": ("stg_pos_cash_balance", V.SAT_POS)}[group]
+        return {spec.table: multi_active_targets(staged_dataset(sp, sf, adapter), spec, ld)}
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in self._built:
+            group = next((g for g, ts in self._GROUPS.items() if table in ts), None)
+            if group is None:
+                raise KeyError(table)
+            self._built.update(self._build(group))
+        return self._built[table]
+
+    def __iter__(self):
+        for ts in self._GROUPS.values():
+            yield from ts
+
+    def __len__(self) -> int:
+        return sum(len(ts) for ts in self._GROUPS.values())
+
+
+def vault_tables(spark: SparkSession, sf_dir: str, load_dts=LOAD_DTS) -> Vault:
     """Every vault target of one load over the driver tables, lazily."""
-    out: dict[str, DataFrame] = {}
-    out.update(application_targets(staged_dataset(spark, sf_dir, "stg_application"), load_dts))
-    out.update(bureau_targets(staged_dataset(spark, sf_dir, "stg_bureau"), load_dts))
-    out.update(bureau_balance_targets(staged_dataset(spark, sf_dir, "stg_bureau_balance"), load_dts))
-    out.update(prev_targets(staged_dataset(spark, sf_dir, "stg_previous_application"), load_dts))
-    out[V.SAT_INSTALLMENT.table] = multi_active_targets(
-        staged_dataset(spark, sf_dir, "stg_installments_payments"), V.SAT_INSTALLMENT, load_dts)
-    out[V.SAT_CARD.table] = multi_active_targets(
-        staged_dataset(spark, sf_dir, "stg_credit_card_balance"), V.SAT_CARD, load_dts)
-    out[V.SAT_POS.table] = multi_active_targets(
-        staged_dataset(spark, sf_dir, "stg_pos_cash_balance"), V.SAT_POS, load_dts)
-    return out
+    return Vault(spark, sf_dir, load_dts)
 
 
 # hubs first, then links, then satellites: the order the foreign keys need

@@ -190,3 +190,13 @@ FOREIGN_KEYS = {
     "credit_card_balance": ("sk_id_prev", "sk_id_curr"),
     "pos_cash_balance": ("sk_id_prev", "sk_id_curr"),
 }
+
+
+def staging_types() -> dict[str, str]:
+    """Declared staging type of every column name (names mean the same thing
+    in every dataset, so the first declaration is taken)."""
+    out: dict[str, str] = {}
+    for spec in DATASETS.values():
+        for c, t in spec.columns:
+            out.setdefault(c, t)
+    return out
