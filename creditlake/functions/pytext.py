@@ -28,23 +28,32 @@ def _exp_form(java_text: Column) -> Column:
     mant = F.regexp_replace(mant, r"\.0$", "")
     exp = F.regexp_extract(java_text, r"E(-?[0-9]+)$", 1).cast("int")
     sign = F.when(exp < 0, F.lit("-")).otherwise(F.lit("+"))
-    return F.concat(mant, F.lit("e"), sign, F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    digits = F.abs(exp).cast("string")
+    return F.concat(mant, F.lit("e"), sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
+
+
+def _java_style(sci: Column) -> Column:
+    """'%.pE' text ('-1.2300E+07') -> Java layout ('-1.23E7')."""
+    mant = F.regexp_extract(sci, r"^(-?[0-9.]+)E", 1)
+    mant = F.when(~mant.contains("."), F.concat(mant, F.lit(".0"))).otherwise(
+        F.regexp_replace(mant, r"0+$", ""))
+    mant = F.when(mant.endswith("."), F.concat(mant, F.lit("0"))).otherwise(mant)
+    exp = F.regexp_extract(sci, r"E([+-][0-9]+)$", 1).cast("int").cast("string")
+    return F.concat(mant, F.lit("E"), exp)
 
 
 def _java_shortest(d: Column) -> Column:
-    """Java 17's ``Double.toString`` sometimes prints a 17th digit that is
-    not needed to round-trip (fixed in later JDKs).  For exponent forms with
-    17 digits, take the 16-digit rounding when it reads back to the same
-    double, in Java's own layout."""
+    """Java 17's ``Double.toString`` is not always the shortest round-trip
+    text (extra digits for some large values, subnormals).  For exponent
+    forms, the first of '%.0E' .. '%.16E' that reads back to the same double
+    is taken (the shortest round-trip text, as Python prints), in Java's
+    own layout; plain forms are already shortest."""
     java = d.cast("string")
-    mant = F.regexp_extract(java, r"^-?([0-9.]+)E", 1)
-    alt = F.format_string("%.15E", d)
-    alt_mant = F.regexp_replace(F.regexp_extract(alt, r"^(-?[0-9.]+)E", 1), r"0+$", "")
-    alt_mant = F.when(alt_mant.endswith("."), F.concat(alt_mant, F.lit("0"))).otherwise(alt_mant)
-    alt_exp = F.regexp_extract(alt, r"E([+-][0-9]+)$", 1).cast("int").cast("string")
-    alt_java = F.concat(alt_mant, F.lit("E"), alt_exp)
-    use_alt = (F.length(mant) >= 18) & (alt.try_cast("double") == d)
-    return F.when(use_alt, alt_java).otherwise(java)
+    out = F.when(~java.contains("E"), java)
+    for p in range(0, 17):
+        sci = F.format_string(f"%.{p}E", d)
+        out = out.when(sci.try_cast("double") == d, _java_style(sci))
+    return out.otherwise(java)
 
 
 def _layout(d: Column, java: Column) -> Column:

@@ -29,7 +29,7 @@ def request_id(text: Column) -> Column:
     """application_id of a request (null when absent)."""
     t = F.trim(text)
     parts = _parts(t)
-    pipe_id = F.when(parts[0].rlike(r"^[0-9]+$"), parts[0].try_cast("bigint"))
+    pipe_id = F.when(F.get(parts, 0).rlike(r"^[0-9]+$"), F.get(parts, 0).try_cast("bigint"))
     json_id = F.get_json_object(t, "$.application_id").try_cast("bigint")
     return F.when(_is_json_object(t), json_id).otherwise(pipe_id)
 
@@ -43,7 +43,7 @@ def request_features(text: Column) -> Column:
     values are dropped (the reference fails the whole request on them)."""
     t = F.trim(text)
     parts = _parts(t)
-    body = F.when(parts[0].rlike(r"^[0-9]+$"), F.slice(parts, 2, 1 << 30)).otherwise(parts)
+    body = F.when(F.get(parts, 0).rlike(r"^[0-9]+$"), F.slice(parts, 2, 1 << 30)).otherwise(parts)
     kv = F.filter(body, lambda p: p.contains("="))
     entries = F.transform(kv, lambda p: F.struct(
         F.trim(F.substring_index(p, "=", 1)).alias("key"),
