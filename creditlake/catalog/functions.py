@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType  # noqa: F401
 
 from ..functions import decisions as D
 from ..functions import hashing as H
@@ -60,11 +60,11 @@ _NUM_COLS = {
 def hashdiff_rows(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", *[f"{e} AS {n}" for n, e in _NUM_COLS.items()], "l_returnflag")
-    cols = [F.col(n) for n in _NUM_COLS]
-    return li.select(
-        "l_orderkey", "l_linenumber",
-        *[py_double_str(F.col(n)).alias(f"txt_{n[2:]}") for n in _NUM_COLS],
-        H.hashdiff([(F.col("l_returnflag"), StringType())] + [(c, DoubleType()) for c in cols]).alias("hashdiff"))
+    texts = li.select("l_orderkey", "l_linenumber", "l_returnflag",
+                      *[py_double_str(F.col(n)).alias(f"txt_{n[2:]}") for n in _NUM_COLS])
+    txt_cols = [f"txt_{n[2:]}" for n in _NUM_COLS]
+    return texts.select("l_orderkey", "l_linenumber", *txt_cols,
+                        H.hashdiff_of_texts([F.col("l_returnflag")] + [F.col(c) for c in txt_cols]).alias("hashdiff"))
 
 
 register("hashdiff_rows", with_ctes(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sqlfuncs import call
+
 # ---- fixed values ----
 BUCKET_EDGES = (0.0, 0.3, 0.5, 1.0)
 BUCKET_LABELS = ("low", "medium", "high")
@@ -33,26 +35,25 @@ def round_half_up(c: Column, digits: int) -> Column:
     return (F.floor(c * F.lit(float(scale)) + F.lit(0.5)) / F.lit(float(scale))).cast("double")
 
 
-def _stage(arr: Column, fn) -> Column:
-    return F.transform(arr, fn)
-
-
-def py_round(c: Column, digits: int) -> Column:
+def py_round(c: Column, digits: int, in_lambda: bool = False) -> Column:
     """Python ``round(x, d)``: the decimal nearest to the exact binary value,
     ties to even, returned as the nearest double.
 
     x * 10^d is split into a rounded product and its exact error (Dekker's
     two-product with a Veltkamp split; 10^d is exact), which decides the
     direction exactly; the final division by 10^d is correctly rounded.
-    Pure double arithmetic in a few lambda stages over a one-element array
-    (each intermediate is computed once; generated code stays small)."""
+    On columns this is the session SQL function ``cl_py_round``; inside a
+    higher-order-function lambda (where SQL functions cannot take lambda
+    variables) the same arithmetic is built in a few lambda stages."""
+    if not in_lambda:
+        return call("cl_py_round", c.cast("double"), F.lit(float(10 ** digits)))
     scale = F.lit(float(10 ** digits))
     s1 = F.array(F.struct(c.cast("double").alias("x")))
-    s2 = _stage(s1, lambda r: F.struct(r["x"].alias("x"), F.abs(r["x"]).alias("a"),
-                                       (F.abs(r["x"]) * F.lit(134217729.0)).alias("sp")))
-    s3 = _stage(s2, lambda r: F.struct(r["x"].alias("x"), r["a"].alias("a"), (r["a"] * scale).alias("p"),
-                                       (r["sp"] - (r["sp"] - r["a"])).alias("hi")))
-    s4 = _stage(s3, lambda r: F.struct(
+    s2 = F.transform(s1, lambda r: F.struct(r["x"].alias("x"), F.abs(r["x"]).alias("a"),
+                                            (F.abs(r["x"]) * F.lit(134217729.0)).alias("sp")))
+    s3 = F.transform(s2, lambda r: F.struct(r["x"].alias("x"), r["a"].alias("a"), (r["a"] * scale).alias("p"),
+                                            (r["sp"] - (r["sp"] - r["a"])).alias("hi")))
+    s4 = F.transform(s3, lambda r: F.struct(
         r["x"].alias("x"), r["a"].alias("a"), r["p"].alias("p"), F.floor(r["p"]).cast("double").alias("n"),
         ((r["hi"] * scale - r["p"]) + (r["a"] - r["hi"]) * scale).alias("err")))
 
@@ -62,15 +63,14 @@ def py_round(c: Column, digits: int) -> Column:
               .when((r["n"] % F.lit(2.0)) == 1.0, F.lit(1.0)).otherwise(F.lit(0.0)))
         mag = F.when(r["p"] >= F.lit(4503599627370496.0), r["a"]).otherwise((r["n"] + up) / scale)
         x = r["x"]
-        return (F.when(x.isNull() | F.isnan(x) | (x == 0), x)
-                .when(x < 0, -mag).otherwise(mag))
-    return F.element_at(_stage(s4, final), 1)
+        return F.when(x.isNull() | F.isnan(x) | (x == 0), x).when(x < 0, -mag).otherwise(mag)
+    return F.element_at(F.transform(s4, final), 1)
 
 
-def py_fixed(c: Column, digits: int, plus: bool = False) -> Column:
+def py_fixed(c: Column, digits: int, plus: bool = False, in_lambda: bool = False) -> Column:
     """Python ``f"{x:.{d}f}"`` (``+`` flag optional) as text: the exactly
     rounded value printed with d decimals (no tie is left to the printer)."""
-    r = py_round(c, digits)
+    r = py_round(c, digits, in_lambda)
     t = F.regexp_replace(F.format_number(r, digits), ",", "")
     if plus:
         t = F.when(t.startswith("-"), t).otherwise(F.concat(F.lit("+"), t))

@@ -69,3 +69,8 @@ def hashdiff(parts: list[tuple[Column, object]]) -> Column:
     """
     texts = [F.coalesce(py_str(c, t), F.lit("")) for c, t in parts]
     return F.md5(F.concat_ws(SEPARATOR, *texts))
+
+
+def hashdiff_of_texts(texts: list[Column]) -> Column:
+    """Same digest from parts already rendered as Python text."""
+    return F.md5(F.concat_ws(SEPARATOR, *[F.coalesce(t, F.lit("")) for t in texts]))

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StringType
+from pyspark.sql.types import StringType
 
-from .pytext import py_double_str, py_str
+from .pytext import py_str
 
 
 def _json_string(c: Column) -> Column:
@@ -30,26 +30,12 @@ def _json_value(c: Column, dtype) -> Column:
 
 
 def json_object_text(fields: list[tuple[str, Column, object]], sort_keys: bool = False) -> Column:
-    """'{"k": v, ...}' over the non-null fields, in given or sorted key order.
-
-    Entries are built as an array of (key, double, text) structs and rendered
-    by one lambda, so the Python-number rewrite appears once in the plan
-    however many attributes a pack has (keeps generated code small).
-    """
+    """'{"k": v, ...}' over the non-null fields, in given or sorted key order."""
     items = sorted(fields, key=lambda f: f[0]) if sort_keys else fields
     if not items:
         return F.lit("{}")
-    entries = []
-    for name, c, t in items:
-        if isinstance(t, (DoubleType, FloatType)):
-            d, txt = c.cast("double"), F.lit(None).cast("string")
-        else:
-            d, txt = F.lit(None).cast("double"), _json_value(c, t)
-        entries.append(F.struct(F.lit(name).alias("k"), d.alias("d"), txt.alias("s")))
-    arr = F.filter(F.array(*entries), lambda e: e["d"].isNotNull() | e["s"].isNotNull())
-    rendered = F.transform(arr, lambda e: F.concat(
-        F.lit('"'), e["k"], F.lit('": '), F.coalesce(e["s"], py_double_str(e["d"]))))
-    return F.concat(F.lit("{"), F.array_join(rendered, ", "), F.lit("}"))
+    entries = [F.when(c.isNotNull(), F.concat(F.lit(f'"{name}": '), _json_value(c, t))) for name, c, t in items]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *entries), F.lit("}"))
 
 
 def json_hashdiff(fields: list[tuple[str, Column, object]]) -> Column:

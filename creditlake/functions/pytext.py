@@ -10,77 +10,18 @@ print the shortest round-trip form), so only the layout is rewritten.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F  # noqa: F401
+
+from .sqlfuncs import call
 from pyspark.sql.types import (
     BooleanType, DecimalType, DoubleType, FloatType, StringType,
 )
 
 
-def _trim_fraction(text: Column) -> Column:
-    # "117000000.0000000000" -> "117000000.0", "0.0002900" -> "0.00029"
-    stripped = F.regexp_replace(text, r"0+$", "")
-    return F.when(stripped.endswith("."), F.concat(stripped, F.lit("0"))).otherwise(stripped)
-
-
-def _exp_form(java_text: Column) -> Column:
-    # Java "1.5E-7" / "1.0E16" -> Python "1.5e-07" / "1e+16"
-    mant = F.regexp_extract(java_text, r"^(-?[0-9.]+)E", 1)
-    mant = F.regexp_replace(mant, r"\.0$", "")
-    exp = F.regexp_extract(java_text, r"E(-?[0-9]+)$", 1).cast("int")
-    sign = F.when(exp < 0, F.lit("-")).otherwise(F.lit("+"))
-    digits = F.abs(exp).cast("string")
-    return F.concat(mant, F.lit("e"), sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
-
-
-def _java_style(sci: Column) -> Column:
-    """'%.pE' text ('-1.2300E+07') -> Java layout ('-1.23E7')."""
-    mant = F.regexp_extract(sci, r"^(-?[0-9.]+)E", 1)
-    mant = F.when(~mant.contains("."), F.concat(mant, F.lit(".0"))).otherwise(
-        F.regexp_replace(mant, r"0+$", ""))
-    mant = F.when(mant.endswith("."), F.concat(mant, F.lit("0"))).otherwise(mant)
-    exp = F.regexp_extract(sci, r"E([+-][0-9]+)$", 1).cast("int").cast("string")
-    return F.concat(mant, F.lit("E"), exp)
-
-
-def _java_shortest(d: Column) -> Column:
-    """Java 17's ``Double.toString`` is not always the shortest round-trip
-    text (extra digits for some large values, subnormals).  For exponent
-    forms, the first of '%.0E' .. '%.16E' that reads back to the same double
-    is taken (the shortest round-trip text, as Python prints), in Java's
-    own layout; plain forms are already shortest."""
-    java = d.cast("string")
-    out = F.when(~java.contains("E"), java)
-    for p in range(0, 17):
-        sci = F.format_string(f"%.{p}E", d)
-        out = out.when(sci.try_cast("double") == d, _java_style(sci))
-    return out.otherwise(java)
-
-
-def _layout(d: Column, java: Column) -> Column:
-    a = F.abs(d)
-    return (
-        F.when(d.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(d), F.lit("nan"))
-        .when(a == F.lit(float("inf")), F.when(d > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when(a == 0, java)
-        .when((a >= 1e7) & (a < 1e16),
-              _trim_fraction(java.cast("decimal(38,10)").cast("string")))
-        .when((a >= 1e-4) & (a < 1e-3),
-              _trim_fraction(java.cast("decimal(38,28)").cast("string")))
-        .when((a < 1e-4) | (a >= 1e16), _exp_form(java))
-        .otherwise(java)
-    )
-
-
 def py_double_str(c: Column) -> Column:
-    """``str(float(x))`` for a double column; null stays null.
-
-    Evaluated in two lambda stages over a one-element array so the Java text
-    is computed once per value and the (branch-heavy) layout expression is
-    not copied into generated code once per use."""
-    d = c.cast("double")
-    staged = F.transform(F.array(d), lambda x: F.struct(x.alias("d"), _java_shortest(x).alias("j")))
-    return F.element_at(F.transform(staged, lambda s: _layout(s["d"], s["j"])), 1)
+    """``str(float(x))`` for a double column; null stays null.  The
+    expression is the session SQL function ``cl_py_double_str``."""
+    return call("cl_py_double_str", c.cast("double"))
 
 
 def py_str(c: Column, dtype) -> Column:

@@ -116,7 +116,7 @@ def factor_details(factors: Column) -> Column:
 
 
 def _impact_text(v: Column) -> Column:
-    return D.py_fixed(v, 3, plus=True)
+    return D.py_fixed(v, 3, plus=True, in_lambda=True)
 
 
 def explanation_text(prob: Column, mode: Column, factors: Column) -> Column:
