@@ -12,44 +12,53 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_PLAIN = ("(NOT contains(CAST(x AS STRING), 'E') OR (length(regexp_replace(regexp_extract(CAST(x AS STRING), "
+_JAVA = "CAST(x AS STRING)"
+_PLAIN = (f"(NOT contains({_JAVA}, 'E') OR (length(regexp_replace(regexp_extract({_JAVA}, "
           "'^-?([0-9.]+)E', 1), '[.]', '')) <= 16 AND abs(x) >= 2.2250738585072014E-308))")
-# at most two digits too many have been seen from Java 17 (one for large
-# values, one for subnormals), so the shortest text is among n-2 .. n digits
-_PSEL = """CASE WHEN n >= 3 AND try_cast(format_string(concat('%.', CAST(n - 3 AS STRING), 'E'), x) AS DOUBLE) = x THEN n - 3
-     WHEN n >= 2 AND try_cast(format_string(concat('%.', CAST(n - 2 AS STRING), 'E'), x) AS DOUBLE) = x THEN n - 2
-     ELSE n - 1 END"""
+# significant digits of Java's exponent-form mantissa (trailing zeros dropped)
+_NDIG = (f"greatest(1, length(regexp_replace(regexp_replace(regexp_extract({_JAVA}, '^-?([0-9.]+)E', 1), "
+         "'[.]', ''), '0+$', '')))")
+
+
+def _sci(prec: str) -> str:
+    return f"format_string(concat('%.', CAST({prec} AS STRING), 'E'), x)"
+
+
+# Java 17's Double.toString is not always the shortest round-trip text: at
+# most two digits too many have been seen (large values, subnormals), so
+# the shortest exponent form is among n-2 .. n digits.
+_PREC = (f"CASE WHEN {_NDIG} >= 3 AND try_cast({_sci(f'{_NDIG} - 3')} AS DOUBLE) = x THEN {_NDIG} - 3 "
+         f"WHEN {_NDIG} >= 2 AND try_cast({_sci(f'{_NDIG} - 2')} AS DOUBLE) = x THEN {_NDIG} - 2 "
+         f"ELSE {_NDIG} - 1 END")
+
+
+def _java_style(t: str) -> str:
+    """'%.pE' text ('-1.2300E+07', '5E-324') -> Java layout ('-1.23E7', '5.0E-324')."""
+    s1 = f"regexp_replace({t}, '^(-?[0-9]+)E', '$1.0E')"
+    s2 = f"regexp_replace({s1}, '0+E', 'E')"
+    s3 = f"regexp_replace({s2}, '[.]E', '.0E')"
+    return f"regexp_replace({s3}, 'E[+]?(-?)0*([0-9])', 'E$1$2')"
+
 
 def _trim(t: str) -> str:
-    """'117000000.0000000000' -> '117000000.0', '0.000290' -> '0.00029' (text macro)."""
-    return (f"CASE WHEN endswith(regexp_replace({t}, '0+$', ''), '.') THEN concat(regexp_replace({t}, '0+$', ''), '0') "
-            f"ELSE regexp_replace({t}, '0+$', '') END")
+    """'117000000.0000000000' -> '117000000.0', '0.000290' -> '0.00029'."""
+    return f"regexp_replace(regexp_replace({t}, '0+$', ''), '[.]$', '.0')"
+
+
+def _exp_form(j: str) -> str:
+    """Java '1.5E-7' / '1.0E16' -> Python '1.5e-07' / '1e+16'."""
+    s1 = f"regexp_replace({j}, '[.]0E', 'E')"
+    s2 = f"regexp_replace({s1}, 'E(-?)([0-9])$', 'E$10$2')"
+    s3 = f"regexp_replace({s2}, 'E([0-9])', 'e+$1')"
+    return f"regexp_replace({s3}, 'E-', 'e-')"
 
 
-# name -> (parameters, return type, body).  A function's arguments are
-# computed once, eagerly, for every row, so no call sits inside a CASE
-# branch whose argument could fail or be expensive for other rows.
+# name -> (parameters, return type, body).  A call's arguments are computed
+# once, for every row, so the rare branches are written inline (text
+# macros above) and never as calls.
 FUNCTIONS = {
-    # significant digits of Java's exponent-form mantissa (trailing zeros dropped)
-    "cl_java_ndigits": ("x DOUBLE", "INT", """
-greatest(1, length(regexp_replace(regexp_replace(regexp_extract(CAST(x AS STRING), '^-?([0-9.]+)E', 1),
-                                                 '[.]', ''), '0+$', '')))"""),
-    "cl_sci_pick": ("x DOUBLE, n INT", "INT", f"CASE WHEN {_PLAIN} THEN 16 ELSE {_PSEL} END"),
-    # precision of the shortest exponent form that reads back to x
-    "cl_sci_precision": ("x DOUBLE", "INT", "cl_sci_pick(x, cl_java_ndigits(x))"),
-    # '%.pE' text '-1.2300E+07' -> Java layout '-1.23E7'
-    "cl_java_style": ("t STRING", "STRING", f"""
-concat(CASE WHEN contains(regexp_extract(t, '^(-?[0-9.]+)E', 1), '.')
-            THEN {_trim("regexp_extract(t, '^(-?[0-9.]+)E', 1)")}
-            ELSE concat(regexp_extract(t, '^(-?[0-9.]+)E', 1), '.0') END,
-       'E', CAST(try_cast(regexp_extract(t, 'E([+-][0-9]+)$', 1) AS INT) AS STRING))"""),
-    "cl_java_shortest": ("x DOUBLE, t STRING", "STRING",
-                         f"CASE WHEN {_PLAIN} THEN CAST(x AS STRING) ELSE cl_java_style(t) END"),
-    # Java '1.5E-7' / '1.0E16' -> Python '1.5e-07' / '1e+16'
-    "cl_exp_form": ("j STRING, e INT", "STRING", """
-concat(regexp_replace(regexp_extract(j, '^(-?[0-9.]+)E', 1), '[.]0$', ''), 'e',
-       CASE WHEN e < 0 THEN '-' ELSE '+' END,
-       CASE WHEN abs(e) < 10 THEN concat('0', CAST(abs(e) AS STRING)) ELSE CAST(abs(e) AS STRING) END)"""),
+    "cl_java_shortest": ("x DOUBLE", "STRING",
+                         f"CASE WHEN {_PLAIN} THEN {_JAVA} ELSE {_java_style(_sci(_PREC))} END"),
     # Python layout from the shortest digits: plain for 1e-4 <= |d| < 1e16
     "cl_py_layout": ("d DOUBLE, j STRING", "STRING", f"""
 CASE WHEN d IS NULL THEN CAST(NULL AS STRING)
@@ -59,12 +68,10 @@ CASE WHEN d IS NULL THEN CAST(NULL AS STRING)
      WHEN d = 0 THEN j
      WHEN abs(d) >= 1e7 AND abs(d) < 1e16 THEN {_trim("CAST(try_cast(j AS DECIMAL(38,10)) AS STRING)")}
      WHEN abs(d) >= 1e-4 AND abs(d) < 1e-3 THEN {_trim("CAST(try_cast(j AS DECIMAL(38,28)) AS STRING)")}
-     WHEN abs(d) < 1e-4 OR abs(d) >= 1e16 THEN cl_exp_form(j, try_cast(regexp_extract(j, 'E(-?[0-9]+)$', 1) AS INT))
+     WHEN abs(d) < 1e-4 OR abs(d) >= 1e16 THEN {_exp_form("j")}
      ELSE j END"""),
-    "cl_py_double_text": ("v DOUBLE, t STRING", "STRING", "cl_py_layout(v, cl_java_shortest(v, t))"),
-    # str(float(v)): the '%.pE' candidate is computed once per value
-    "cl_py_double_str": ("v DOUBLE", "STRING",
-                         "cl_py_double_text(v, format_string(concat('%.', CAST(cl_sci_precision(v) AS STRING), 'E'), v))"),
+    # str(float(v)): the Java text is computed once per value
+    "cl_py_double_str": ("v DOUBLE", "STRING", "cl_py_layout(v, cl_java_shortest(v))"),
     # Python round(v, d) with scale = 10^d: Dekker two-product (Veltkamp
     # split) gives the exact error of v*scale, which decides the direction;
     # ties to even; the division by scale is correctly rounded.  Three nested
