@@ -27,9 +27,9 @@ def _sci(prec: str) -> str:
 # Java 17's Double.toString is not always the shortest round-trip text: at
 # most two digits too many have been seen (large values, subnormals), so
 # the shortest exponent form is among n-2 .. n digits.
-_PREC = (f"CASE WHEN {_NDIG} >= 3 AND try_cast({_sci(f'{_NDIG} - 3')} AS DOUBLE) = x THEN {_NDIG} - 3 "
-         f"WHEN {_NDIG} >= 2 AND try_cast({_sci(f'{_NDIG} - 2')} AS DOUBLE) = x THEN {_NDIG} - 2 "
-         f"ELSE {_NDIG} - 1 END")
+_PREC = (f"CASE WHEN n >= 3 AND try_cast({_sci('n - 3')} AS DOUBLE) = x THEN n - 3 "
+         f"WHEN n >= 2 AND try_cast({_sci('n - 2')} AS DOUBLE) = x THEN n - 2 "
+         f"ELSE n - 1 END")
 
 
 def _java_style(t: str) -> str:
@@ -57,8 +57,10 @@ def _exp_form(j: str) -> str:
 # once, for every row, so the rare branches are written inline (text
 # macros above) and never as calls.
 FUNCTIONS = {
+    # the shortest exponent text of x, given Java's digit count n
+    "cl_sci_shortest": ("x DOUBLE, n INT", "STRING", _java_style(_sci(_PREC))),
     "cl_java_shortest": ("x DOUBLE", "STRING",
-                         f"CASE WHEN {_PLAIN} THEN {_JAVA} ELSE {_java_style(_sci(_PREC))} END"),
+                         f"CASE WHEN {_PLAIN} THEN {_JAVA} ELSE cl_sci_shortest(x, {_NDIG}) END"),
     # Python layout from the shortest digits: plain for 1e-4 <= |d| < 1e16
     "cl_py_layout": ("d DOUBLE, j STRING", "STRING", f"""
 CASE WHEN d IS NULL THEN CAST(NULL AS STRING)
