@@ -55,3 +55,19 @@ def test_satellites_unique_per_key(spark):
         sat = v[spec.table]
         keys = spec.key_columns + ["load_dts"]
         assert sat.count() == sat.select(*keys).distinct().count(), spec.table
+
+
+def test_versioned_upsert_and_fallback(spark, tmp_path):
+    from creditlake.sources import sinks
+    from creditlake.sources.synthetic import training_source
+    root = str(tmp_path / "scores")
+    b1 = spark.createDataFrame([(1, 0.2, 1), (2, 0.4, 1)], "k int, p double, ts int")
+    b2 = spark.createDataFrame([(2, 0.9, 2), (3, 0.1, 2)], "k int, p double, ts int")
+    sinks.upsert_versioned(spark, b1, root, "k", "ts")
+    sinks.upsert_versioned(spark, b2, root, "k", "ts")
+    cur = {r.k: r.p for r in sinks.read_current(spark, root).collect()}
+    assert cur == {1: 0.2, 2: 0.9, 3: 0.1}
+    assert sinks.versions(spark, root) == [0, 1]
+    syn = training_source(spark, str(tmp_path / "missing"))
+    assert syn.count() == 1000 and syn.select("sk_id_curr").distinct().count() == 1000
+    assert syn.exceptAll(training_source(spark, None)).count() == 0
