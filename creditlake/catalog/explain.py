@@ -120,3 +120,20 @@ register("decision_sheet", _q(
     "SELECT application_id, bin_decision AS decision, default_probability, credit_rating, "
     "base_text || ' Решение сформировано на основе интерпретируемых факторов без дискриминационных признаков. ' "
     "|| details AS explanation_text, key_factors, recommendations, model_version FROM expl"))(decision_sheet)
+
+
+def importance_normalized(spark, sf_dir):
+    """A-14 over the rule scores: long form (application, position, feature,
+    raw and normalised importance)."""
+    s = scored_requests(spark, sf_dir)
+    z = F.arrays_zip(F.col("importances").alias("raw"), X.normalized_importances(F.col("importances")).alias("norm"))
+    return s.select("application_id", F.posexplode(z).alias("pos", "z")).select(
+        "application_id", "pos", F.col("z.raw.feature").alias("feature"),
+        F.col("z.raw.importance").alias("importance"), F.col("z.norm.importance").alias("normalized"))
+
+
+register("importance_normalized", _q(
+    "SELECT i.application_id, i.pos, i.feature, i.importance, CASE WHEN t.total > 0 THEN "
+    + pyround("i.importance / t.total", 4) + " ELSE i.importance END AS normalized FROM imp i JOIN "
+    "(SELECT application_id, list_reduce(list(abs(importance) ORDER BY pos), lambda a, b: a + b) AS total "
+    "FROM imp GROUP BY application_id) t USING (application_id)"))(importance_normalized)

@@ -115,7 +115,7 @@ def sat_frame(staged: DataFrame, spec: SatSpec, load_dts) -> DataFrame:
             if n in types:
                 parts.append((F.col(n), types[n]))
             else:       # attribute absent from this extract: null, i.e. '' in the hash
-                t = _parse_datatype_string(declared[n])
+                t = _parse_datatype_string(declared.get(n, "string"))
                 parts.append((F.lit(None).cast(t), t))
         hd = hashdiff(parts)
     ld = _ts(load_dts)

@@ -204,3 +204,14 @@ def decision_sheet(scored: DataFrame) -> DataFrame:
     return e.select("application_id", dec.alias("decision"), "default_probability",
                     D.credit_rating(F.col("default_probability")).alias("credit_rating"),
                     "explanation_text", "key_factors", "recommendations", "model_version")
+
+
+def normalized_importances(importances: Column) -> Column:
+    """A-14: each importance divided by the sum of absolute importances
+    (input order, plain left-to-right sum), rounded to 4 places; unchanged
+    when the sum is 0."""
+    total = F.aggregate(importances, F.lit(0.0), lambda acc, e: acc + F.abs(e["importance"]))
+    return F.transform(importances, lambda e: F.struct(
+        e["feature"].alias("feature"),
+        F.when(total > 0, D.py_round(e["importance"] / total, 4, in_lambda=True))
+        .otherwise(e["importance"]).alias("importance")))

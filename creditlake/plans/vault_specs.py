@@ -153,3 +153,44 @@ SAT_POS = SatSpec(
 
 APPLICATION_SATS = (SAT_CONTRACT, SAT_PROFILE, SAT_PROCESS, SAT_CONTACT, SAT_SCORES,
                     SAT_ENQUIRIES, SAT_DOCUMENTS, SAT_BUILDING, SAT_TARGET)
+
+
+# ---- CRM vault (C-07) and score / explanation satellites (C-06) ----
+# DDL only in the reference; hash prefixes and hashdiff inputs are our choice.
+# The CRM application hub is a separate table from the credit-file hub (D12).
+RS_WEBAPP = "webapp"
+RS_ML = "mlservice"
+RS_AGENT = "agentservice"
+
+CRM_CLIENT = KeyRef("hk_client", "client", ("client_id",))
+CRM_APP = KeyRef("hk_application", "crm_application", ("application_id",))
+HUB_CRM_CLIENT = HubSpec("crm_hub_client", CRM_CLIENT, RS_WEBAPP)
+HUB_CRM_APPLICATION = HubSpec("crm_hub_application", CRM_APP, RS_WEBAPP)
+LINK_CRM = LinkSpec("crm_link_client_application", "hk_link_client_application", "link_client_app",
+                    ("client_id", "application_id"), (CRM_CLIENT, CRM_APP), RS_WEBAPP)
+SAT_CRM_CLIENT = SatSpec(
+    "crm_sat_client_profile", CRM_CLIENT,
+    _same("education string", "sex string", "age int", "car boolean", "car_type boolean",
+          "income decimal(12,2)", "foreign_passport boolean"),
+    hashdiff=("education", "sex", "age", "car", "car_type", "income", "foreign_passport"), record_source=RS_WEBAPP)
+SAT_CRM_FINANCIAL = SatSpec(
+    "crm_sat_financial_profile", CRM_CLIENT,
+    _same("decline_app_cnt int", "good_work boolean", "bki_request_cnt int", "region_rating decimal(5,2)"),
+    hashdiff=("decline_app_cnt", "good_work", "bki_request_cnt"), record_source=RS_WEBAPP)
+SAT_CRM_BEHAVIOR = SatSpec(
+    "crm_sat_behavioral_context", CRM_CLIENT,
+    _same("home_address string", "work_address string", "sna string", "first_time boolean"),
+    hashdiff=("home_address", "first_time"), record_source=RS_WEBAPP)
+SAT_CRM_APP = SatSpec(
+    "crm_sat_application_details", CRM_APP, _same("app_date date"),
+    packs=(("features", ("req_income", "debt_to_income")),),
+    hashdiff=("app_date", "req_income", "debt_to_income"), record_source=RS_WEBAPP)
+SAT_SCORING = SatSpec(
+    "dv_sat_scoring_result", CRM_APP,
+    _same("default_probability decimal(8,6)", "model_version string", "confidence decimal(8,6)"),
+    packs=(("scoring_payload", ("default_probability", "model_version", "confidence")),),
+    hashdiff=("default_probability", "model_version", "confidence"), record_source=RS_ML)
+SAT_EXPLANATION = SatSpec(
+    "dv_sat_agent_explanation", CRM_APP, _same("mode string"),
+    packs=(("explanation_payload", ("decision", "confidence", "mode")),),
+    hashdiff_pack="explanation_payload", record_source=RS_AGENT)
