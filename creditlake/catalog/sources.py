@@ -141,3 +141,16 @@ register("clean_dedup_fill", with_ctes(
     "SELECT client_id, age, income, coalesce(debt_to_income, 0.4) AS debt_to_income, bki_request_cnt "
     "FROM (SELECT DISTINCT client_id, age, income, debt_to_income, bki_request_cnt FROM crm_score_request)",
     ("crm_score_request",)))(clean_dedup_fill)
+
+
+def src_preview(spark, sf_dir):
+    """P-17: the first five rows of a typed file, in key order (a preview is
+    the feature; the order makes it repeatable)."""
+    path = _csv_roundtrip(spark, sf_dir, "stg_bureau_balance", "bureau_balance", "bb_preview")
+    return CSV.load_file(spark, "bureau_balance", path).orderBy("sk_id_bureau", "months_balance", "status").limit(5)
+
+
+register("src_preview", with_ctes(
+    "SELECT CAST(sk_id_bureau AS VARCHAR) AS sk_id_bureau, months_balance, status FROM stg_bureau_balance "
+    "ORDER BY CAST(sk_id_bureau AS VARCHAR), months_balance, status NULLS FIRST LIMIT 5",
+    ("stg_bureau_balance",)))(src_preview)

@@ -78,7 +78,9 @@ def hub_frame(staged: DataFrame, spec: HubSpec, load_dts) -> DataFrame:
         ref.column().alias(ref.hk),
         *[F.col(b) for b in ref.bk],
     )
-    return (rows.dropDuplicates([ref.hk])
+    # every column is a function of the business key: a plain distinct
+    # (hash aggregate on the key columns) equals dropDuplicates on the hash key
+    return (rows.distinct()
             .withColumn("record_source", F.lit(spec.record_source))
             .withColumn("load_dts", _ts(load_dts)))
 
@@ -88,7 +90,7 @@ def link_frame(staged: DataFrame, spec: LinkSpec, load_dts) -> DataFrame:
         hash_key(spec.prefix, *[F.col(b) for b in spec.bk]).alias(spec.hk),
         *[r.column().alias(r.hk) for r in spec.refs],
     )
-    return (rows.dropDuplicates([spec.hk])
+    return (rows.distinct()
             .withColumn("record_source", F.lit(spec.record_source))
             .withColumn("load_dts", _ts(load_dts)))
 
@@ -144,10 +146,15 @@ def reduce_to_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def current_rows(sat: DataFrame, keys: list[str], order: str = "load_dts") -> DataFrame:
+def current_rows(sat: DataFrame, keys: list[str], order: str = "load_dts",
+                 cluster_by: str | None = None) -> DataFrame:
     """W-03: latest version per key.  ``row_number() = 1`` is planned as a
     WindowGroupLimit, so each task keeps only its local latest row before
-    the shuffle."""
+    the shuffle.  ``cluster_by`` (a prefix of the key, e.g. the parent hash
+    key of a multi-active satellite) shuffles on that column only, so the
+    per-parent aggregation that usually follows needs no second exchange."""
+    if cluster_by:
+        sat = sat.repartition(cluster_by)
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return sat.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 

@@ -71,3 +71,25 @@ def test_versioned_upsert_and_fallback(spark, tmp_path):
     syn = training_source(spark, str(tmp_path / "missing"))
     assert syn.count() == 1000 and syn.select("sk_id_curr").distinct().count() == 1000
     assert syn.exceptAll(training_source(spark, None)).count() == 0
+
+
+def test_bucketed_vault_mart_joins_without_shuffle(spark, tmp_path):
+    from creditlake.plans.vault_load import read_vault_tables, write_vault_bucketed
+    v = vault_tables(spark, SF001)
+    write_vault_bucketed(spark, {k: v[k] for k in v}, str(tmp_path / "vault"), 8,
+                         database="cl_test_vault", mode="overwrite")
+    stored = read_vault_tables(spark, "cl_test_vault")
+    lazy = M.training_mart(v)
+    mart = M.training_mart(stored)
+    assert mart.exceptAll(lazy).count() == 0 and lazy.exceptAll(mart).count() == 0
+    old = (spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mart._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[1])
+    # only the small per-application aggregate exchanges remain (2 per child table)
+    shuffled = [l for l in plan.split("\n") if "Exchange hashpartitioning" in l]
+    assert len(shuffled) <= 10 and all("hk_application" in l for l in shuffled)
