@@ -58,7 +58,7 @@ _NUM_COLS = {
 
 
 def hashdiff_rows(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").selectExpr(
+    li = read_table(spark, sf_dir, "lineitem", wide=True).selectExpr(
         "l_orderkey", "l_linenumber", *[f"{e} AS {n}" for n, e in _NUM_COLS.items()], "l_returnflag")
     texts = li.select("l_orderkey", "l_linenumber", "l_returnflag",
                       *[py_double_str(F.col(n)).alias(f"txt_{n[2:]}") for n in _NUM_COLS])

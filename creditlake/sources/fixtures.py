@@ -110,10 +110,15 @@ def adapter_tables(name: str) -> list[str]:
     return sorted(set(_PLACEHOLDER.findall(ADAPTERS[name])))
 
 
+# adapters whose rows feed per-row heavy work (scoring, explanation text)
+# directly, with no shuffle in between: their scans are spread over all cores
+WIDE_ADAPTERS = {"crm_score_request", "stream_score_request"}
+
+
 def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Run adapter ``name`` over the driver tables in ``sf_dir``."""
     text = ADAPTERS[name]
-    frames = {t: read_table(spark, sf_dir, t) for t in adapter_tables(name)}
+    frames = {t: read_table(spark, sf_dir, t, wide=name in WIDE_ADAPTERS) for t in adapter_tables(name)}
     return spark.sql(text, **frames)
 
 

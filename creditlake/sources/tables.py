@@ -19,7 +19,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """``wide``: spread a narrow scan over all cores (for per-row heavy work
+    that follows the scan directly, before any shuffle)."""
     if name not in DRIVER_TABLES:
         raise KeyError(f"unknown driver table: {name}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark, df) if wide else df
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores
+    (a few large files with one row group each) over all cores.  On real
+    input of many files the scan is already wide and this is a no-op; the
+    shuffle only exists when the input layout would leave cores idle.
+    Columns are pruned below the shuffle, filters pushed into the scan."""
+    if spark.conf.get("creditlake.spreadScans", "true") != "true":
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 <= cores:
+        return df.repartition(cores)
+    return df
