@@ -8,7 +8,7 @@ depend on task order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -55,9 +55,10 @@ def label_codes(fit: DataFrame, c: str, code_col: str | None = None) -> DataFram
     """W-02: mapping (text -> code) of one column from the distinct values of
     ``fit``.  Only the distinct values are ranked (bounded by the column's
     cardinality, never by the row count)."""
+    from .ranking import ordered_index
     code_col = code_col or f"{c}__code"
     values = fit.select(category_text(F.col(c)).alias("__v")).distinct()
-    return values.select("__v", (F.dense_rank().over(Window.orderBy("__v")) - 1).alias(code_col))
+    return ordered_index(values, "__v", code_col)
 
 
 def label_encode(df: DataFrame, cols: list[str], fit: DataFrame | None = None) -> DataFrame:

@@ -66,3 +66,17 @@ def exact_auc(df: DataFrame, label: str, score: str, partitions: int = 64) -> Da
     return agg.select(
         F.try_divide(F.col("_num"), F.col("n_pos") * F.col("n_neg")).alias("auc"),
         F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"))
+
+
+def ordered_index(values: DataFrame, col: str, out: str = "index", partitions: int = 64) -> DataFrame:
+    """0-based position of each (distinct) value in sorted order, without a
+    single-task window: values are range-partitioned, numbered inside each
+    range in parallel, and offset by the sizes of the lower ranges (a table
+    of ``partitions`` rows)."""
+    ranged = values.repartitionByRange(partitions, col).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(col)))
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    j = ranged.join(F.broadcast(offsets), "_p")          # at most `partitions` rows
+    return j.select(*[c for c in values.columns], (F.col("_off") + F.col("_r") - 1).cast("int").alias(out))

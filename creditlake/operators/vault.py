@@ -151,8 +151,10 @@ def current_rows(sat: DataFrame, keys: list[str], order: str = "load_dts",
     """W-03: latest version per key.  ``row_number() = 1`` is planned as a
     WindowGroupLimit, so each task keeps only its local latest row before
     the shuffle.  ``cluster_by`` (a prefix of the key, e.g. the parent hash
-    key of a multi-active satellite) shuffles on that column only, so the
-    per-parent aggregation that usually follows needs no second exchange."""
+    key of a multi-active satellite) shuffles on that column only, so a
+    per-parent aggregation after it needs no second exchange; use it only
+    where one parent cannot hold a large share of the rows (it gives up the
+    map-side top-1 and sends each parent to one task)."""
     if cluster_by:
         sat = sat.repartition(cluster_by)
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
