@@ -124,3 +124,28 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def train_pipeline(spark: SparkSession, train_df: DataFrame, model_path: str, label: str = "target",
+                   max_iter: int = ITERATIONS, trained_at: str | None = None) -> tuple[PipelineModel | None, DataFrame]:
+    """M-04: train -> evaluate on the validation part -> save; returns the
+    model and a one-row result (success, features, validation AUC, path,
+    error).  A failure is reported in the row instead of raised."""
+    from ..operators.ranking import exact_auc
+    ts = F.lit(trained_at).cast("timestamp_ntz") if trained_at else F.current_timestamp().cast("timestamp_ntz")
+    try:
+        model = train(train_df, label, max_iter)
+        save(model, model_path)
+        n_features = len(model.stages[-2].getInputCols())
+        flagged = prepare(train_df, label).where("is_validation").select("sk_id_curr", label)
+        auc = exact_auc(score(model, train_df).join(flagged, "sk_id_curr"), label, "default_probability")
+        row = auc.select(F.lit(True).alias("success"), F.lit(n_features).alias("feature_count"),
+                         F.col("auc").alias("validation_auc"), F.lit(model_path).alias("model_path"),
+                         F.lit(None).cast("string").alias("error"), ts.alias("trained_at"))
+        return model, row
+    except Exception as exc:  # noqa: BLE001  (reported, as the reference's pipeline does)
+        row = spark.range(1).select(F.lit(False).alias("success"), F.lit(0).alias("feature_count"),
+                                    F.lit(None).cast("double").alias("validation_auc"),
+                                    F.lit(model_path).alias("model_path"),
+                                    F.lit(str(exc)[:500]).alias("error"), ts.alias("trained_at"))
+        return None, row

@@ -31,3 +31,12 @@ def test_fallback_fills_unscored(spark):
     out = ML.with_fallback(model_scores, req, "k")
     versions = {r.model_version for r in out.collect()}
     assert versions == {"gbt-v1", "heuristic-v1"} and out.count() == req.count()
+
+
+def test_train_pipeline_reports(spark, tmp_path):
+    train, _ = file_features_from(spark, SF001)
+    model, row = ML.train_pipeline(spark, train, str(tmp_path / "m"), max_iter=2, trained_at="2024-01-01 00:00:00")
+    r = row.first()
+    assert model is not None and r.success and r.feature_count > 10 and 0.0 <= r.validation_auc <= 1.0
+    _, bad = ML.train_pipeline(spark, train.drop("target"), str(tmp_path / "x"), max_iter=2)
+    assert bad.first().success is False and bad.first().error
