@@ -47,8 +47,9 @@ def mean_all(df: DataFrame, key: str, exclude=()) -> DataFrame:
 
 
 def nunique_null_as_category(c: str) -> Column:
-    """A-07: distinct count with null counted as one more value."""
-    return F.count_distinct(category_text(F.col(c)))
+    """A-07: distinct count with null counted as one more value (categorical
+    columns: a map-side set per key, see ``functions.stats.nunique_small``)."""
+    return F.size(F.collect_set(category_text(F.col(c))))
 
 
 def label_codes(fit: DataFrame, c: str, code_col: str | None = None) -> DataFrame:

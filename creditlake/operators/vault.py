@@ -121,7 +121,10 @@ def sat_frame(staged: DataFrame, spec: SatSpec, load_dts) -> DataFrame:
                 parts.append((F.lit(None).cast(t), t))
         hd = hashdiff(parts)
     ld = _ts(load_dts)
-    out = [spec.parent.column().alias(spec.parent.hk)]
+    # a hash key computed upstream (e.g. by the reduce step) is reused, so the
+    # partitioning on it carries through to the current-version window
+    hk = F.col(spec.parent.hk) if spec.parent.hk in types else spec.parent.column()
+    out = [hk.alias(spec.parent.hk)]
     out += [F.col(s).cast(t).alias(s) for s, t in spec.subkeys]
     out.append(hd.alias("hashdiff"))
     for name, vtype, src in spec.attrs:

@@ -52,9 +52,18 @@ def bureau_targets(bureau: DataFrame, load_dts=LOAD_DTS) -> dict[str, DataFrame]
 def bureau_balance_targets(bb: DataFrame, load_dts=LOAD_DTS) -> dict[str, DataFrame]:
     """C-03: multi-active satellite by month; the source may repeat a key,
     so it is first reduced to one row per (bureau, month)."""
-    keys = ["sk_id_bureau", "months_balance"]
-    bb = reduce_to_key(bb.where(F.col("sk_id_bureau").isNotNull() & F.col("months_balance").isNotNull()), keys)
-    return {V.SAT_BUREAU_BALANCE.table: sat_frame(bb, V.SAT_BUREAU_BALANCE, load_dts)}
+    bb = bb.where(F.col("sk_id_bureau").isNotNull() & F.col("months_balance").isNotNull())
+    return {V.SAT_BUREAU_BALANCE.table: _reduced_sat(bb, V.SAT_BUREAU_BALANCE, load_dts)}
+
+
+def _reduced_sat(df: DataFrame, spec, load_dts) -> DataFrame:
+    """Reduce a multi-active source to one row per (hash key, sub-keys) and
+    build the satellite.  Reducing on the hash key itself (not the business
+    key) leaves the rows partitioned the way the satellite's readers need
+    them: the current-version window after it adds no shuffle."""
+    hk = spec.parent.hk
+    keyed = df.withColumn(hk, spec.parent.column())
+    return sat_frame(reduce_to_key(keyed, [hk] + [s for s, _ in spec.subkeys]), spec, load_dts)
 
 
 def prev_targets(prev: DataFrame, load_dts=LOAD_DTS) -> dict[str, DataFrame]:
@@ -73,7 +82,7 @@ def multi_active_targets(df: DataFrame, spec, load_dts=LOAD_DTS) -> DataFrame:
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
-    return sat_frame(reduce_to_key(df.where(cond), keys), spec, load_dts)
+    return _reduced_sat(df.where(cond), spec, load_dts)
 
 
 class Vault(Mapping):
@@ -168,7 +177,9 @@ def write_vault_bucketed(spark: SparkSession, tables, root: str, buckets: int,
     for name in load_order(tables):
         df = tables[name]
         key = bucket_key(name, df)
-        (df.write.mode(mode).option("path", f"{root.rstrip('/')}/{name}")
+        # one shuffle on the bucket key first: each task then holds exactly one
+        # bucket and writes one file for it (not one file per bucket per task)
+        (df.repartition(buckets, key).write.mode(mode).option("path", f"{root.rstrip('/')}/{name}")
          .bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}"))
 
 
