@@ -12,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_JAVA = "CAST(x AS STRING)"
-_PLAIN = (f"(NOT contains({_JAVA}, 'E') OR (length(regexp_replace(regexp_extract({_JAVA}, "
-          "'^-?([0-9.]+)E', 1), '[.]', '')) <= 16 AND abs(x) >= 2.2250738585072014E-308))")
-# significant digits of Java's exponent-form mantissa (trailing zeros dropped)
-_NDIG = (f"greatest(1, length(regexp_replace(regexp_replace(regexp_extract({_JAVA}, '^-?([0-9.]+)E', 1), "
-         "'[.]', ''), '0+$', '')))")
+# Significant digits of Java's exponent-form mantissa ('1.0E16' -> 1,
+# '-1.2345E-7' -> 5), with plain string functions only (no regex).
+_M = "substring_index(j, 'E', 1)"
+_NDIG = (f"CASE WHEN endswith({_M}, '.0') THEN 1 "
+         f"ELSE length(replace(replace({_M}, '-', ''), '.', '')) END")
 
 
 def _sci(prec: str) -> str:
@@ -42,25 +41,28 @@ def _java_style(t: str) -> str:
 
 def _trim(t: str) -> str:
     """'117000000.0000000000' -> '117000000.0', '0.000290' -> '0.00029'."""
-    return f"regexp_replace(regexp_replace({t}, '0+$', ''), '[.]$', '.0')"
+    return (f"CASE WHEN endswith(TRIM(TRAILING '0' FROM {t}), '.') THEN concat(TRIM(TRAILING '0' FROM {t}), '0') "
+            f"ELSE TRIM(TRAILING '0' FROM {t}) END")
 
 
 def _exp_form(j: str) -> str:
     """Java '1.5E-7' / '1.0E16' -> Python '1.5e-07' / '1e+16'."""
-    s1 = f"regexp_replace({j}, '[.]0E', 'E')"
-    s2 = f"regexp_replace({s1}, 'E(-?)([0-9])$', 'E$10$2')"
-    s3 = f"regexp_replace({s2}, 'E([0-9])', 'e+$1')"
-    return f"regexp_replace({s3}, 'E-', 'e-')"
+    m = f"substring_index({j}, 'E', 1)"
+    e = f"CAST(substring_index({j}, 'E', -1) AS INT)"
+    mant = f"CASE WHEN endswith({m}, '.0') THEN substring({m}, 1, length({m}) - 2) ELSE {m} END"
+    digits = f"CASE WHEN abs({e}) < 10 THEN concat('0', CAST(abs({e}) AS STRING)) ELSE CAST(abs({e}) AS STRING) END"
+    return f"concat({mant}, 'e', CASE WHEN {e} < 0 THEN '-' ELSE '+' END, {digits})"
 
 
 # name -> (parameters, return type, body).  A call's arguments are computed
-# once, for every row, so the rare branches are written inline (text
-# macros above) and never as calls.
+# once, for every row, so only cheap expressions are passed as arguments and
+# the rare branches are written inline (text macros above).
 FUNCTIONS = {
-    # the shortest exponent text of x, given Java's digit count n
-    "cl_sci_shortest": ("x DOUBLE, n INT", "STRING", _java_style(_sci(_PREC))),
-    "cl_java_shortest": ("x DOUBLE", "STRING",
-                         f"CASE WHEN {_PLAIN} THEN {_JAVA} ELSE cl_sci_shortest(x, {_NDIG}) END"),
+    # shortest text in Java layout, given Java's text j and its digit count n
+    "cl_java_pick": ("x DOUBLE, j STRING, n INT", "STRING",
+                     f"CASE WHEN NOT contains(j, 'E') OR (n <= 16 AND abs(x) >= 2.2250738585072014E-308) THEN j "
+                     f"ELSE {_java_style(_sci(_PREC))} END"),
+    "cl_java_shortest": ("x DOUBLE, j STRING", "STRING", f"cl_java_pick(x, j, {_NDIG})"),
     # Python layout from the shortest digits: plain for 1e-4 <= |d| < 1e16
     "cl_py_layout": ("d DOUBLE, j STRING", "STRING", f"""
 CASE WHEN d IS NULL THEN CAST(NULL AS STRING)
@@ -68,12 +70,12 @@ CASE WHEN d IS NULL THEN CAST(NULL AS STRING)
      WHEN d = double('inf') THEN 'inf'
      WHEN d = double('-inf') THEN '-inf'
      WHEN d = 0 THEN j
+     WHEN abs(d) >= 1e-3 AND abs(d) < 1e7 THEN j
      WHEN abs(d) >= 1e7 AND abs(d) < 1e16 THEN {_trim("CAST(try_cast(j AS DECIMAL(38,10)) AS STRING)")}
      WHEN abs(d) >= 1e-4 AND abs(d) < 1e-3 THEN {_trim("CAST(try_cast(j AS DECIMAL(38,28)) AS STRING)")}
-     WHEN abs(d) < 1e-4 OR abs(d) >= 1e16 THEN {_exp_form("j")}
-     ELSE j END"""),
-    # str(float(v)): the Java text is computed once per value
-    "cl_py_double_str": ("v DOUBLE", "STRING", "cl_py_layout(v, cl_java_shortest(v))"),
+     ELSE {_exp_form("j")} END"""),
+    # str(float(v)): Java's text is computed once per value
+    "cl_py_double_str": ("v DOUBLE", "STRING", "cl_py_layout(v, cl_java_shortest(v, CAST(v AS STRING)))"),
     # Python round(v, d) with scale = 10^d: Dekker two-product (Veltkamp
     # split) gives the exact error of v*scale, which decides the direction;
     # ties to even; the division by scale is correctly rounded.  Three nested
