@@ -146,14 +146,24 @@ def load_order(tables: dict[str, DataFrame]) -> list[str]:
     return sorted(tables, key=lambda t: (rank[t.split("_")[1]], t))
 
 
-def write_vault(tables: dict[str, DataFrame], root: str, mode: str = "append") -> None:
-    """Append each target under ``root/<table>`` in load order."""
+def _load_key(load_dts) -> str:
+    return str(load_dts).replace(" ", "T").replace(":", "")
+
+
+def write_vault(tables, root: str, load_dts=LOAD_DTS) -> None:
+    """Insert-only vault on files: each load of each target is one folder
+    ``root/<table>/load=<ts>``, written in load order (hubs, links,
+    satellites).  Re-running a load after a failure (lost executors, driver
+    restart) overwrites exactly that load's folder, so a retry never
+    duplicates rows; earlier loads are never touched."""
+    key = _load_key(load_dts)
     for name in load_order(tables):
-        tables[name].write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+        tables[name].write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/load={key}")
 
 
 def read_vault(spark: SparkSession, root: str, names) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{root.rstrip('/')}/{n}") for n in names}
+    """All loads of each target (history), without the folder column."""
+    return {n: spark.read.parquet(f"{root.rstrip('/')}/{n}").drop("load") for n in names}
 
 
 def bucket_key(table: str, df: DataFrame) -> str:
@@ -168,21 +178,30 @@ def bucket_key(table: str, df: DataFrame) -> str:
 
 
 def write_vault_bucketed(spark: SparkSession, tables, root: str, buckets: int,
-                         database: str = "creditlake_vault", mode: str = "append") -> None:
+                         database: str = "creditlake_vault", load_dts=LOAD_DTS) -> None:
     """At-scale layout: every vault table bucketed (and sorted) by its join
-    key with the same bucket count, as catalog tables over ``root``.  The
-    mart then joins hub, satellites and links bucket to bucket: the chain of
-    joins and the current-version windows need no shuffle at all."""
+    key with the same bucket count, partitioned by load, as catalog tables
+    over ``root``.  The mart then joins hub, satellites and links bucket to
+    bucket: the chain of joins and the current-version windows need no
+    shuffle.  A load replaces only its own partition (dynamic partition
+    overwrite), so a retried load never duplicates rows."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    key_value = _load_key(load_dts)
     for name in load_order(tables):
         df = tables[name]
         key = bucket_key(name, df)
         # one shuffle on the bucket key first: each task then holds exactly one
         # bucket and writes one file for it (not one file per bucket per task)
-        (df.repartition(buckets, key).write.mode(mode).option("path", f"{root.rstrip('/')}/{name}")
-         .bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}"))
+        out = df.repartition(buckets, key).withColumn("load", F.lit(key_value))
+        table = f"{database}.{name}"
+        if spark.catalog.tableExists(table):
+            (out.write.option("partitionOverwriteMode", "dynamic")
+             .insertInto(table, overwrite=True))
+        else:
+            (out.write.option("path", f"{root.rstrip('/')}/{name}").partitionBy("load")
+             .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
 
 
 def read_vault_tables(spark: SparkSession, database: str = "creditlake_vault") -> dict[str, DataFrame]:
     names = [t.name for t in spark.catalog.listTables(database)]
-    return {n: spark.table(f"{database}.{n}") for n in names}
+    return {n: spark.table(f"{database}.{n}").drop("load") for n in names}

@@ -76,9 +76,10 @@ def test_versioned_upsert_and_fallback(spark, tmp_path):
 def test_bucketed_vault_mart_joins_without_shuffle(spark, tmp_path):
     from creditlake.plans.vault_load import read_vault_tables, write_vault_bucketed
     v = vault_tables(spark, SF001)
-    write_vault_bucketed(spark, {k: v[k] for k in v}, str(tmp_path / "vault"), 8,
-                         database="cl_test_vault", mode="overwrite")
+    write_vault_bucketed(spark, {k: v[k] for k in v}, str(tmp_path / "vault"), 8, database="cl_test_vault")
+    write_vault_bucketed(spark, {k: v[k] for k in v}, str(tmp_path / "vault"), 8, database="cl_test_vault")
     stored = read_vault_tables(spark, "cl_test_vault")
+    assert stored["dv_hub_application"].count() == v["dv_hub_application"].count()   # retry: no duplicates
     lazy = M.training_mart(v)
     mart = M.training_mart(stored)
     assert mart.exceptAll(lazy).count() == 0 and lazy.exceptAll(mart).count() == 0
@@ -93,3 +94,19 @@ def test_bucketed_vault_mart_joins_without_shuffle(spark, tmp_path):
     # only the small per-application aggregate exchanges remain (2 per child table)
     shuffled = [l for l in plan.split("\n") if "Exchange hashpartitioning" in l]
     assert len(shuffled) <= 10 and all("hk_application" in l for l in shuffled)
+
+
+def test_file_vault_load_is_idempotent_and_keeps_history(spark, tmp_path):
+    from creditlake.plans.vault_load import read_vault, write_vault
+    root = str(tmp_path / "dv")
+    names = ["dv_hub_bureau_credit", "dv_link_application_bureau", "dv_sat_bureau_credit"]
+    v1 = vault_tables(spark, SF001)
+    write_vault({n: v1[n] for n in names}, root)
+    write_vault({n: v1[n] for n in names}, root)                     # retry of the same load
+    v2 = vault_tables(spark, SF001, SECOND_LOAD_DTS)
+    write_vault({n: v2[n] for n in names}, root, SECOND_LOAD_DTS)    # a later load
+    stored = read_vault(spark, root, names)
+    sat = stored["dv_sat_bureau_credit"]
+    n1 = v1["dv_sat_bureau_credit"].count()
+    assert sat.count() == 2 * n1
+    assert current_rows(sat, ["hk_bureau_credit"]).count() == n1
