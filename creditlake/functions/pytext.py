@@ -10,12 +10,10 @@ print the shortest round-trip form), so only the layout is rewritten.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DecimalType, DoubleType, FloatType, StringType
 
 from .sqlfuncs import call
-from pyspark.sql.types import (
-    BooleanType, DecimalType, DoubleType, FloatType, StringType,
-)
 
 
 def py_double_str(c: Column) -> Column:
