@@ -165,13 +165,19 @@ WHERE sk_id_curr IS NOT NULL
 
 # ---- W-04 / W-03: second load with changed rows, change detection, current view ----
 
+# the second extract changes the credit amount of one market segment's
+# applications (a data attribute, not a key range)
+CHANGED_SEGMENT = "AUTOMOBILE"
+
+
 def _second_load_app(spark, sf_dir) -> DataFrame:
-    """Second staging extract: rows with key % 10 = 0 carry a new amount
-    (the fixture's change rule)."""
+    """Second staging extract: applications of one contract type carry a
+    new credit amount; every other row is offered unchanged."""
     app = staged_dataset(spark, sf_dir, "stg_application")
     return app.withColumn(
         "amt_credit",
-        F.when(F.col("sk_id_curr") % 10 == 0, F.col("amt_credit") + 1000.0).otherwise(F.col("amt_credit")))
+        F.when(F.col("name_contract_type") == CHANGED_SEGMENT, F.col("amt_credit") + 1000.0)
+        .otherwise(F.col("amt_credit")))
 
 
 def dv_sat_changed(spark, sf_dir) -> DataFrame:
@@ -198,8 +204,8 @@ def _contract_sql(amt: str, ts: str) -> str:
 _SECOND = "TIMESTAMP '2024-02-01 00:00:00'"
 _CHANGED_CTES = dict(
     l1=_contract_sql("amt_credit", LOAD_TS),
-    stg2=("SELECT *, CASE WHEN sk_id_curr % 10 = 0 THEN amt_credit + 1000.0 ELSE amt_credit END AS amt_credit2 "
-          "FROM stg_application"),
+    stg2=(f"SELECT *, CASE WHEN name_contract_type = '{CHANGED_SEGMENT}' THEN amt_credit + 1000.0 "
+          "ELSE amt_credit END AS amt_credit2 FROM stg_application"),
     l2=_contract_sql("amt_credit2", _SECOND).replace("FROM stg_application", "FROM stg2"),
     changed="SELECT l2.* FROM l2 LEFT JOIN l1 USING (hk_application) "
             "WHERE l1.hashdiff IS NULL OR l1.hashdiff <> l2.hashdiff",
