@@ -136,16 +136,20 @@ def explain(scored: DataFrame, mode: str | Column = "brief", top_k: int = TOP_K,
     not explained (the reference answers them with an error)."""
     m = F.lit(mode) if isinstance(mode, str) else mode
     rows = scored.where(F.size("importances") > 0)
-    factors = key_factors(F.col("importances"), F.col("features"), top_k)
     supplied = F.col(decision_col) if decision_col else None
-    sum_abs = F.aggregate(factors, F.lit(0.0), lambda acc, f: acc + F.abs(f["impact"]))
-    return rows.select(
-        "application_id",
-        F.col("default_probability"),
+    # the ranked factors are computed once (their own projection; Spark does
+    # not merge a projection that would repeat a costly expression) and
+    # every later column reads them
+    ranked = rows.select(
+        "application_id", "default_probability", "model_version",
         D.decision_by_probability(F.col("default_probability"), supplied).alias("decision"),
-        F.col("model_version"),
         m.alias("mode"),
-        explanation_text(F.col("default_probability"), m, factors).alias("explanation_text"),
+        key_factors(F.col("importances"), F.col("features"), top_k).alias("key_factors"))
+    factors = F.col("key_factors")
+    sum_abs = F.aggregate(factors, F.lit(0.0), lambda acc, f: acc + F.abs(f["impact"]))
+    return ranked.select(
+        "application_id", "default_probability", "decision", "model_version", "mode",
+        explanation_text(F.col("default_probability"), F.col("mode"), factors).alias("explanation_text"),
         factors.alias("key_factors"),
         recommendations(factors).alias("recommendations"),
         D.explanation_confidence(sum_abs).alias("confidence"),
