@@ -65,12 +65,16 @@ def prepare(df: DataFrame, label: str = "target") -> DataFrame:
 def train(df: DataFrame, label: str = "target", max_iter: int = ITERATIONS) -> PipelineModel:
     """M-02: boosted trees with the reference's depth, rate, subsample,
     seed, positive weight and a 10 % stratified validation set."""
-    prepared = prepare(df, label)
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # the iterative fit reads its input many times: cut the lineage once with a
+    # reliable checkpoint in the shared checkpoint folder (survives executor loss)
+    prepared = prepare(df, label).checkpoint(eager=True)
     num, cat = feature_columns(df, label)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                         maxIter=max_iter, stepSize=LEARNING_RATE, maxDepth=DEPTH,
                         subsamplingRate=SUBSAMPLE, seed=SEED, validationIndicatorCol="is_validation",
-                        maxBins=64)
+                        maxBins=64, checkpointInterval=10)
     return Pipeline(stages=preprocess_pipeline(num, cat) + [gbt]).fit(prepared)
 
 
