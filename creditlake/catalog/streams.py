@@ -47,6 +47,8 @@ _SS_CTES = dict(
 register("stream_score", with_ctes(
     "SELECT request_id, application_id, requested_at, default_probability, confidence, model_version, "
     "CASE WHEN default_probability < 0.3 THEN 'approve' WHEN default_probability < 0.5 THEN "
-    "'conditionally_approve' ELSE 'conditionally_reject' END AS decision FROM ("
+    "'conditionally_approve' ELSE 'conditionally_reject' END AS decision, "
+    "'Вероятность дефолта составляет ' || printf('%.2f', default_probability * 100.0) "
+    "|| '%. Основные факторы решения модели выделены ниже.' AS explanation_text FROM ("
     "SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY requested_at DESC, request_id DESC) AS rn "
     "FROM sc) WHERE rn = 1", ("stream_score_request",), **_SS_CTES))(stream_score)

@@ -35,10 +35,15 @@ def ingest_csv_stream(spark: SparkSession, key: str, input_dir: str, target_dir:
 
 
 def score_requests(requests: DataFrame) -> DataFrame:
-    """Shared by batch and stream: rule score + decision of each request."""
+    """Shared by batch and stream: rule score, decision and brief
+    explanation of each request (all per row: no state, no shuffle)."""
     s = X.score_heuristic(requests)
+    p = F.col("default_probability")
     return s.select("request_id", "application_id", "requested_at", "default_probability", "confidence",
-                    "model_version", D.decision_by_probability(F.col("default_probability")).alias("decision"))
+                    "model_version", D.decision_by_probability(p).alias("decision"),
+                    X.explanation_text(p, F.lit("brief"), F.array().cast(
+                        "array<struct<feature:string,value:double,impact:double,advice:string>>"))
+                    .alias("explanation_text"))
 
 
 def score_stream(spark: SparkSession, events_dir: str, target_dir: str, checkpoint: str,
