@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import pii, quality_rules, syncmers
 from .columns import documents
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -45,3 +45,20 @@ FROM a
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op6_syncmer_fingerprints")
+def op6_syncmer_fingerprints(spark, sf_dir):
+    return syncmers.fingerprints(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@register("op10_pii")
+def op10_pii(spark, sf_dir):
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["kind"].isin(*[d.kind for d in pii.BASE]))
+    def count(kind):
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(d.kind) for d in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"),
+                        pii.written(F.col("pii")).alias("spans"))
