@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules, syncmers
+from . import mixing, pii, quality_rules, syncmers
 from .columns import documents
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -62,3 +62,9 @@ def op10_pii(spark, sf_dir):
     counts = [count(d.kind) for d in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"),
                         pii.written(F.col("pii")).alias("spans"))
+
+
+@register("op2_source_mix")
+def op2_source_mix(spark, sf_dir):
+    takes, _ = mixing.mix(documents(spark, sf_dir))
+    return takes.select("doc_id", "size", "source_size", "target", "taken")
