@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_rules, syncmers
-from .columns import documents
+from . import mixing, pii, quality_rules, simhash, syncmers, url_filter
+from .columns import documents, pages
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
 _RULES_SQL = r"""
@@ -68,3 +68,68 @@ def op10_pii(spark, sf_dir):
 def op2_source_mix(spark, sf_dir):
     takes, _ = mixing.mix(documents(spark, sf_dir))
     return takes.select("doc_id", "size", "source_size", "target", "taken")
+
+
+_URL_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+t AS (
+  SELECT host, path, url, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                   '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+                   '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS x
+  FROM p),
+l AS (
+  SELECT url, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN 'http:' || x
+                   WHEN starts_with(x, '/') THEN 'http://' || host || x
+                   ELSE 'http://' || host || CASE WHEN regexp_extract(path, '^(.*/)?') = '' THEN '/'
+                                                  ELSE regexp_extract(path, '^(.*/)?') END || x END AS target
+  FROM t WHERE x <> ''),
+u AS (SELECT url FROM p UNION SELECT target FROM l),
+h AS (
+  SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+         array_to_string(list_sort([x FOR x IN string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&')
+           IF x <> '' AND NOT regexp_matches(x, '^(?:utm_[^=]*|ref|fbclid|gclid|sessionid)(?:=|$)')]), '&') AS q
+  FROM u),
+n AS (
+  SELECT url, regexp_replace(host, '^(?:www|m|mobile|amp)\.|:(?:80|443)$', '', 'g')
+              || regexp_replace(path, '(?:/index)?(?:\.html?)?/*$', '')
+              || CASE WHEN q = '' THEN '' ELSE '?' || q END AS alias
+  FROM h WHERE host <> ''),
+e AS (SELECT DISTINCT a.alias AS a, b.alias AS b FROM l JOIN n a ON a.url = l.url JOIN n b ON b.url = l.target),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT DISTINCT alias AS node, alias AS other FROM n UNION SELECT c.node, s.b FROM c JOIN s ON s.a = c.other),
+r AS (
+  SELECT p.page_id, p.url, p.host, p.path, n.alias,
+         CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(p.path, '/en/') THEN 'example.net/en/'
+              WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(p.path, '/de/') THEN 'example.com/de/'
+              WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(p.path, '/fr/') THEN 'org/fr/'
+              WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(p.path, '/') THEN 'net/' END AS rule
+  FROM p LEFT JOIN n ON n.url = p.url),
+k AS (
+  SELECT c.node, bool_or(r.rule IN ('example.net/en/', 'org/fr/')) AS allowed,
+         bool_or(r.rule IN ('net/', 'example.com/de/')) AS blocked
+  FROM c JOIN r ON r.alias = c.other WHERE r.rule IS NOT NULL GROUP BY c.node)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN k.blocked AND NOT k.allowed THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN k ON k.node = r.alias
+"""
+
+
+@register("op5_url_filter", _URL_SQL)
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op7_simhash")
+def op7_simhash(spark, sf_dir):
+    found = simhash.groups(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
