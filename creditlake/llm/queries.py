@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_rules, simhash, syncmers, url_filter
+from . import mixing, piece_bpe, pii, quality_rules, simhash, syncmers, url_filter
 from .columns import documents, pages
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -133,3 +133,14 @@ def op5_url_filter(spark, sf_dir):
 def op7_simhash(spark, sf_dir):
     found = simhash.groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; the files are not part of the repository."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op8_piece_bpe")
+def op8_piece_bpe(spark, sf_dir):
+    return piece_bpe.digests(piece_bpe.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), decoded=True))
