@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, piece_bpe, pii, quality_rules, simhash, syncmers, url_filter
+from . import mixing, piece_bpe, pii, quality_rules, simhash, syncmers, token_files, url_filter
 from .columns import documents, pages
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -144,3 +144,8 @@ def tokenizer_path(name: str) -> str:
 @register("op8_piece_bpe")
 def op8_piece_bpe(spark, sf_dir):
     return piece_bpe.digests(piece_bpe.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), decoded=True))
+
+
+@register("op9_token_files")
+def op9_token_files(spark, sf_dir):
+    return token_files.write_and_check(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
