@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, piece_bpe, pii, quality_rules, simhash, syncmers, token_files, url_filter
+from . import mixing, piece_bpe, pii, quality_model, quality_rules, simhash, syncmers, token_files, url_filter
 from .columns import documents, pages
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -149,3 +149,9 @@ def op8_piece_bpe(spark, sf_dir):
 @register("op9_token_files")
 def op9_token_files(spark, sf_dir):
     return token_files.write_and_check(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+@register("op3_quality_model")
+def op3_quality_model(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality_model.classify(documents(spark, sf_dir), labels).select("doc_id", "lang", "n_chars", "perplexity", "limit", "kept")
