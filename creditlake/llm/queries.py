@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, piece_bpe, pii, quality_model, quality_rules, simhash, syncmers, token_files, url_filter
+from . import html_extract, mixing, piece_bpe, pii, quality_model, quality_rules, simhash, syncmers, token_files, url_filter
 from .columns import documents, pages
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -155,3 +155,9 @@ def op9_token_files(spark, sf_dir):
 def op3_quality_model(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return quality_model.classify(documents(spark, sf_dir), labels).select("doc_id", "lang", "n_chars", "perplexity", "limit", "kept")
+
+
+@register("op1_html_extract")
+def op1_html_extract(spark, sf_dir):
+    found = html_extract.extract(pages(spark, sf_dir))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
