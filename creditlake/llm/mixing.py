@@ -167,14 +167,27 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_weights(),
     rank = target.select("rank", "source", "source_size", "target")
     p = placed(sized)
     p = (p.join(rank, p["source"].eqNullSafe(rank["source"])).drop(rank["source"])
-         .select("doc_id", "rank", "source_size", "target", "bucket", "copy", "start", "size",
+         .select("doc_id", "source", "rank", "source_size", "target", "bucket", "copy", "start", "size",
                  F.explode(F.sequence(F.expr(f"start div {block}"),
                                       F.expr(f"greatest(start, start + size - 1) div {block}"))).alias("block")))
     piece = p.join(uses, ["rank", "block"], "left")
     first = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
     end = F.least(F.col("words"), F.col("start") + F.col("size") - F.col("block") * block)
     took = F.coalesce(F.greatest(F.lit(0), end - first) * F.col("uses"), F.lit(0))
-    takes = (piece.groupBy("doc_id", "rank", "bucket", "copy", "start", "size", "source_size", "target")
+    takes = (piece.groupBy("doc_id", "source", "rank", "bucket", "copy", "start", "size", "source_size", "target")
              .agg(F.sum(took).cast("long").alias("taken"))
-             .select("doc_id", "size", "source_size", "target", "taken", "rank", "start", "copy"))
+             .select("doc_id", "source", "size", "source_size", "target", "taken", "rank", "start", "copy"))
     return takes, plan
+
+
+def repeat(docs: DataFrame, takes: DataFrame, text: str = "text") -> DataFrame:
+    """The mix as whole documents: every row as often as the mix takes its
+    words, rounded (halves up), so one that is taken for less than half goes.
+    Rows of one doc_id, source and size are repeated alike."""
+    times = takes.where("size > 0").groupBy("doc_id", "source", "size").agg(
+        F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times"))
+    t, d = times.where("_times > 0").alias("t"), docs.withColumn("_size", F.size(words(F.col(text))).cast("long")).alias("d")
+    on = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
+          & (F.col("d._size") == F.col("t.size")))
+    return d.join(t, on).select(*[F.col(f"d.{c}") for c in docs.columns],
+                                F.explode(F.sequence(F.lit(1), F.col("t._times"))).alias("_time")).drop("_time")
