@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import decisions as D
 from ..operators.features import fill_minus_one, numeric_columns, string_columns
 from ..operators.ranking import stratified_split
+from ..session import ensure_checkpoint_dir
 from . import explain as X
 
 # ---- fixed values: training parameters of the reference model ----
@@ -31,6 +32,7 @@ VALIDATION_FRACTION = 0.1
 SEED = 17
 EXCLUDED = ("sk_id_curr", "target", "record_source", "load_dts", "update_dts")   # D15
 MODEL_VERSION = "gbt-v1"
+MIN_BINS = 64
 
 
 def feature_columns(df: DataFrame, label: str = "target", exclude=EXCLUDED) -> tuple[list[str], list[str]]:
@@ -65,21 +67,25 @@ def prepare(df: DataFrame, label: str = "target") -> DataFrame:
 def train(df: DataFrame, label: str = "target", max_iter: int = ITERATIONS) -> PipelineModel:
     """M-02: boosted trees with the reference's depth, rate, subsample,
     seed, positive weight and a 10 % stratified validation set."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
     # the iterative fit reads its input many times: cut the lineage once with a
     # reliable checkpoint in the shared checkpoint folder (survives executor loss)
+    ensure_checkpoint_dir(df.sparkSession)
     prepared = prepare(df, label).checkpoint(eager=True)
     num, cat = feature_columns(df, label)
+    ready = Pipeline(stages=preprocess_pipeline(num, cat)).fit(prepared)
+    # a text column needs a bin for each of its values and one for unseen ones
+    widest = max([len(m.labels) + 1 for m in ready.stages if isinstance(m, StringIndexerModel)], default=0)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                         maxIter=max_iter, stepSize=LEARNING_RATE, maxDepth=DEPTH,
                         subsamplingRate=SUBSAMPLE, seed=SEED, validationIndicatorCol="is_validation",
-                        maxBins=64, checkpointInterval=10)
-    return Pipeline(stages=preprocess_pipeline(num, cat) + [gbt]).fit(prepared)
+                        maxBins=max(MIN_BINS, widest), checkpointInterval=10)
+    return PipelineModel(stages=[*ready.stages, gbt.fit(ready.transform(prepared))])
 
 
-def score(model: PipelineModel, df: DataFrame, key: str = "sk_id_curr") -> DataFrame:
-    """M-05: probability of default, prediction flag (p >= 0.5), confidence."""
+def score(model: PipelineModel, df: DataFrame, key: str = "sk_id_curr", digits: int | None = 4) -> DataFrame:
+    """M-05: probability of default (rounded to ``digits`` places, as it is
+    served; None for the raw value), and from the raw value the prediction
+    flag (p >= 0.5) and the confidence."""
     num_cols = [c for c in model.stages[-2].getInputCols() if not c.endswith("__idx")]
     cat_cols = [s.getInputCol() for s in model.stages if isinstance(s, StringIndexerModel)]
     x = fill_minus_one(df, exclude=(key, "target"))
@@ -89,7 +95,8 @@ def score(model: PipelineModel, df: DataFrame, key: str = "sk_id_curr") -> DataF
         raise ValueError(f"scoring input lacks model features: {missing[:10]}")
     p = vector_to_array(F.col("probability"))[1]
     out = model.transform(x)
-    return out.select(key, p.alias("default_probability"),
+    shown = p if digits is None else D.py_round(p, digits)
+    return out.select(key, shown.alias("default_probability"),
                       D.model_prediction(p).alias("predicted_default"),
                       D.model_confidence(p).alias("confidence"),
                       F.lit(MODEL_VERSION).alias("model_version"))
