@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditlake.session import ensure_checkpoint_dir
+
 
 def _mark(e: DataFrame) -> tuple:
     """Order-free fingerprint of a set of edges."""
@@ -30,6 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its
     smallest node.  Self-links and repeated links are allowed; links with a
     null end are ignored."""
+    ensure_checkpoint_dir(edges.sparkSession)
     lone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("component"))
     e = (edges.where(F.col(a) != F.col(b))
          .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint())

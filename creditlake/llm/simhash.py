@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditlake.session import ensure_checkpoint_dir
+
 from .components import components
 
 SHINGLE = 3
@@ -101,6 +103,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def groups(docs: DataFrame, text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, and component_id, the smallest doc_id reachable by links."""
+    ensure_checkpoint_dir(docs.sparkSession)
     fps = fingerprints(docs, text, size).checkpoint()
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).checkpoint()
     member = components(links(classes, distance)).checkpoint()

@@ -1,12 +1,11 @@
 import pytest
 
-from creditlake.session import apply_job_conf, ensure_checkpoint_dir
+from creditlake.session import apply_job_conf
 
 
 @pytest.fixture(autouse=True)
 def _conf(spark):
     apply_job_conf(spark)
-    ensure_checkpoint_dir(spark)
 
 
 EDGE_TEXTS = [
