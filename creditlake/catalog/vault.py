@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators.vault import changed_rows, current_rows, insert_new, orphans, sat_frame
 from ..plans import vault_specs as V
 from ..plans.vault_load import (
-    LOAD_DTS, SECOND_LOAD_DTS, application_targets, staged_dataset, vault_tables,
+    LOAD_DTS, SECOND_LOAD_DTS, application_targets, staged_dataset, vault_tables, write_vault,
 )
 from ..schemas import ADAPTER_DATASET, DATASETS
+from ..session import scratch_path
 from ..sources.fixtures import adapter_columns
 from . import register
 from .sqlkit import LOAD_TS, dec, hashdiff, json_text, md5_key, reduce_cte, with_ctes
@@ -255,6 +256,23 @@ def _stats_sql() -> str:
 register("dv_load_stats", _stats_sql())(dv_load_stats)
 
 
+# ---- K-03 / K-06: the same source delivered twice into a stored vault ----
+
+def vault_reload_stats(spark, sf_dir) -> DataFrame:
+    """Rows offered and inserted by a second load: hubs and links take no key
+    twice, satellites keep every version."""
+    root = scratch_path(spark, "vault_reload")
+    write_vault(vault_tables(spark, sf_dir), root)
+    counts = write_vault(vault_tables(spark, sf_dir, SECOND_LOAD_DTS), root, SECOND_LOAD_DTS)
+    return spark.createDataFrame([(t, i, n) for t, (i, n) in sorted(counts.items())],
+                                 "table_name string, rows_in long, rows_inserted long")
+
+
+register("vault_reload_stats", "SELECT table_name, rows_loaded AS rows_in, "
+         "CASE WHEN table_name LIKE 'dv_sat%' THEN rows_loaded ELSE 0 END AS rows_inserted "
+         f"FROM ({_stats_sql()})")(vault_reload_stats)
+
+
 # ---- J-10: referential audit of every link and satellite ----
 
 _RELATIONS = (

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.conform import conform
 from ..operators.vault import (
-    hub_frame, link_frame, reduce_to_key, sat_frame,
+    hub_frame, insert_new, link_frame, reduce_to_key, sat_frame,
 )
 from ..schemas import ADAPTER_DATASET, DATASETS
 from ..sources.fixtures import staged
@@ -150,15 +151,43 @@ def _load_key(load_dts) -> str:
     return str(load_dts).replace(" ", "T").replace(":", "")
 
 
-def write_vault(tables, root: str, load_dts=LOAD_DTS) -> None:
+def _rows_to_insert(name: str, df: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """K-03: hubs and links take only keys that no earlier load has;
+    satellites take every offered row (history)."""
+    return df if name.split("_")[1] == "sat" else insert_new(df, earlier, df.columns[0])
+
+
+def _counts(name: str, offered: DataFrame, written: DataFrame) -> tuple[int, int]:
+    """K-06: (rows offered, rows inserted).  What was written is counted from
+    the stored files' footers; only hubs and links can have been offered more."""
+    inserted = written.count()
+    return (inserted if name.split("_")[1] == "sat" else offered.count()), inserted
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def write_vault(tables, root: str, load_dts=LOAD_DTS) -> dict[str, tuple[int, int]]:
     """Insert-only vault on files: each load of each target is one folder
     ``root/<table>/load=<ts>``, written in load order (hubs, links,
-    satellites).  Re-running a load after a failure (lost executors, driver
-    restart) overwrites exactly that load's folder, so a retry never
-    duplicates rows; earlier loads are never touched."""
-    key = _load_key(load_dts)
+    satellites).  Hubs and links skip keys of earlier loads.  Re-running a load
+    after a failure (lost executors, driver restart) overwrites exactly that
+    load's folder, so a retry never duplicates rows; earlier loads are never
+    touched.  Returns (rows offered, rows inserted) per table."""
+    key, counts = _load_key(load_dts), {}
     for name in load_order(tables):
-        tables[name].write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/load={key}")
+        df, path = tables[name], f"{root.rstrip('/')}/{name}"
+        stored = _stored(df.sparkSession, path)
+        earlier = None if stored is None else stored.where(F.col("load") < key)
+        _rows_to_insert(name, df, earlier).write.mode("overwrite").parquet(f"{path}/load={key}")
+        counts[name] = _counts(name, df, _stored(df.sparkSession, path).where(F.col("load") == key))
+    return counts
 
 
 def read_vault(spark: SparkSession, root: str, names) -> dict[str, DataFrame]:
@@ -178,28 +207,46 @@ def bucket_key(table: str, df: DataFrame) -> str:
 
 
 def write_vault_bucketed(spark: SparkSession, tables, root: str, buckets: int,
-                         database: str = "creditlake_vault", load_dts=LOAD_DTS) -> None:
+                         database: str = "creditlake_vault", load_dts=LOAD_DTS) -> dict[str, tuple[int, int]]:
     """At-scale layout: every vault table bucketed (and sorted) by its join
     key with the same bucket count, partitioned by load, as catalog tables
     over ``root``.  The mart then joins hub, satellites and links bucket to
     bucket: the chain of joins and the current-version windows need no
     shuffle.  A load replaces only its own partition (dynamic partition
-    overwrite), so a retried load never duplicates rows."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    key_value = _load_key(load_dts)
+    overwrite), so a retried load never duplicates rows and earlier loads stay;
+    hubs and links skip keys of earlier loads.  Returns (rows offered, rows
+    inserted) per table."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root.rstrip('/')}'")
+    load, counts = _load_key(load_dts), {}
     for name in load_order(tables):
-        df = tables[name]
+        df, table = tables[name], f"{database}.{name}"
         key = bucket_key(name, df)
+        exists = spark.catalog.tableExists(table)
+        earlier = spark.table(table).where(F.col("load") < load) if exists else None
+
         # one shuffle on the bucket key first: each task then holds exactly one
         # bucket and writes one file for it (not one file per bucket per task)
-        out = df.repartition(buckets, key).withColumn("load", F.lit(key_value))
-        table = f"{database}.{name}"
-        if spark.catalog.tableExists(table):
-            (out.write.option("partitionOverwriteMode", "dynamic")
-             .insertInto(table, overwrite=True))
+        out = _rows_to_insert(name, df, earlier).repartition(buckets, key).withColumn("load", F.lit(load))
+        if exists:
+            _overwrite_load(spark, out, table)
         else:
             (out.write.option("path", f"{root.rstrip('/')}/{name}").partitionBy("load")
              .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+        counts[name] = _counts(name, df, spark.table(table).where(F.col("load") == load))
+    return counts
+
+
+def _overwrite_load(spark: SparkSession, rows: DataFrame, table: str) -> None:
+    """Replace only the partitions that ``rows`` have (none, where a load brings
+    no new key).  insertInto takes the overwrite mode from the session alone,
+    not from a writer option."""
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        rows.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def read_vault_tables(spark: SparkSession, database: str = "creditlake_vault") -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from creditlake.operators.vault import changed_rows, current_rows, insert_new, reduce_to_key
 from creditlake.plans import mart as M
 from creditlake.plans import vault_specs as V
-from creditlake.plans.vault_load import SECOND_LOAD_DTS, staged_dataset, vault_tables
+from creditlake.plans.vault_load import LOAD_DTS, SECOND_LOAD_DTS, staged_dataset, vault_tables
 from tests.conftest import SF001
 
 
@@ -110,3 +110,24 @@ def test_file_vault_load_is_idempotent_and_keeps_history(spark, tmp_path):
     n1 = v1["dv_sat_bureau_credit"].count()
     assert sat.count() == 2 * n1
     assert current_rows(sat, ["hk_bureau_credit"]).count() == n1
+
+
+def test_second_load_keeps_history_and_unique_keys(spark, tmp_path):
+    """First a part of the applications, then all of them at a later date, in
+    both layouts: both loads stay, hubs and mart have one row per key."""
+    from creditlake.plans.vault_load import read_vault, read_vault_tables, write_vault, write_vault_bucketed
+    names = ["dv_hub_application", "dv_sat_app_contract"]
+    early, late = vault_tables(spark, SF001), vault_tables(spark, SF001, SECOND_LOAD_DTS)
+    part = {n: early[n].where("hk_application < '8'") for n in names}
+    n_part, n_all = part[names[0]].count(), late[names[0]].count()
+    assert 0 < n_part < n_all
+    whole = {n: late[n] for n in names}
+    files, database = str(tmp_path / "files"), "cl_test_reload"
+    for write in (lambda t, d: write_vault(t, files, d),
+                  lambda t, d: write_vault_bucketed(spark, t, str(tmp_path / "buckets"), 4, database, d)):
+        assert write(part, LOAD_DTS) == {n: (n_part, n_part) for n in names}
+        for _ in range(2):                                   # the second time is a retry
+            assert write(whole, SECOND_LOAD_DTS) == {names[0]: (n_all, n_all - n_part), names[1]: (n_all, n_all)}
+    for stored in (read_vault(spark, files, names), read_vault_tables(spark, database)):
+        assert stored[names[0]].count() == stored[names[0]].select("hk_application").distinct().count() == n_all
+        assert {r.load_dts.month: r["count"] for r in stored[names[1]].groupBy("load_dts").count().collect()} == {1: n_part, 2: n_all}
