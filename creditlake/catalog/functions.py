@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DateType, DoubleType, StringType
 
 from ..functions import decisions as D
 from ..functions import hashing as H
@@ -213,3 +213,28 @@ register("parse_requests", with_ctes(
   UNION ALL SELECT request_id, user_id, 'k', TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM ev
 )""",
     ev="SELECT event_id AS request_id, user_id, value, props, event_type FROM events"))(parse_requests)
+
+
+def json_pack_types(spark, sf_dir):
+    """F-05/F-06 on text, boolean, date and NaN: hash of the packed object."""
+    d = read_table(spark, sf_dir, "documents")
+    flag, day = F.col("n_chars") > 1000, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
+    share = F.when(F.col("n_chars") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") / 8.0)
+    fields = [("text", F.col("text"), StringType()), ("flag", flag, BooleanType()), ("day", day, DateType()),
+              ("share", share, DoubleType())]
+    return d.select("doc_id", F.md5(json_object_text(fields)).alias("pack_md5"), json_hashdiff(fields).alias("hashdiff"))
+
+
+_JSON_TEXT = (
+    "'\"' || array_to_string([CASE WHEN c = '\"' THEN '\\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' "
+    "WHEN c = chr(9) THEN '\\t' WHEN c = chr(13) THEN '\\r' "
+    "WHEN unicode(c) > 127 OR unicode(c) < 32 THEN printf('\\u%04x', unicode(c)) ELSE c END "
+    "FOR c IN string_split(text, '')], '') || '\"'")
+register("json_pack_types", f"""
+WITH v AS (
+  SELECT doc_id, '\"text\": ' || {_JSON_TEXT} AS t, '\"flag\": ' || CASE WHEN n_chars > 1000 THEN 'true' ELSE 'false' END AS f,
+         '\"day\": \"' || CAST(DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) AS VARCHAR) || '\"' AS d,
+         CASE WHEN n_chars % 2 = 1 THEN '\"share\": ' || CAST(n_chars / 8.0 AS VARCHAR) END AS s
+  FROM documents)
+SELECT doc_id, md5('{{' || concat_ws(', ', t, f, d, s) || '}}') AS pack_md5,
+       md5('{{' || concat_ws(', ', d, f, s, t) || '}}') AS hashdiff FROM v""")(json_pack_types)

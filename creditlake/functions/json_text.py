@@ -3,30 +3,55 @@
 ``to_json`` writes ``{"a":1}``; the reference stores ``{"a": 1}`` (", " and
 ": " separators) and hashes the same text with keys sorted.  The text is
 built with ``concat_ws``, which skips the null entries, exactly like the
-reference drops null attributes from its packs.
+reference drops null attributes from its packs.  NaN counts as null.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, DecimalType, DoubleType, FloatType, NumericType
 
 from .pytext import py_str
 
 
+# ---- fixed values: JSON's short escapes ----
+_SHORT = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_PLAIN = r"^[\x20\x21\x23-\x5B\x5D-\x7F]*$"
+
+
 def _json_string(c: Column) -> Column:
-    # json.dumps escapes quotes, backslashes and control characters and, by
-    # default, every non-ASCII character as \\uXXXX; to_json of a one-field
-    # struct does the first part, non-ASCII is left as is (documented gap).
-    quoted = F.to_json(F.struct(c.alias("v")))
-    return F.when(c.isNotNull(), F.regexp_extract(quoted, r'^\{"v":(.*)\}$', 1))
+    """A JSON string as ``json.dumps`` writes it: quotes, backslashes and
+    control characters escaped, every character beyond ASCII as \\uXXXX (two
+    of them beyond the 16-bit range), hex digits in lower case."""
+    def u(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+
+    def one(ch: Column) -> Column:
+        code = F.ascii(ch)
+        out = F.when(code > 0xFFFF, F.concat(u(F.lit(0xD7C0) + F.shiftright(code, 10)), u(F.lit(0xDC00) + code % 1024)))
+        for raw, escaped in _SHORT.items():
+            out = out.when(ch == raw, F.lit(escaped))
+        return out.when((code < 0x20) | (code > 0x7F), u(code)).otherwise(ch)
+    body = F.when(c.rlike(_PLAIN), c).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def _json_value(c: Column, dtype) -> Column:
-    if isinstance(dtype, StringType):
-        return _json_string(c)
-    return py_str(c, dtype)
+    """Numbers as Python prints them, booleans in JSON, the rest as the text
+    of the value.  NaN is a missing value (see ``_packed``)."""
+    if isinstance(dtype, BooleanType):
+        return F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    if isinstance(dtype, (FloatType, DoubleType)):
+        text = py_str(c, dtype)
+        return F.when(text == "inf", F.lit("Infinity")).when(text == "-inf", F.lit("-Infinity")).otherwise(text)
+    if isinstance(dtype, NumericType) and not isinstance(dtype, DecimalType):
+        return py_str(c, dtype)
+    return _json_string(c.cast("string"))
+
+
+def _packed(c: Column, dtype) -> Column:
+    return c.isNotNull() & ~F.isnan(c) if isinstance(dtype, (FloatType, DoubleType)) else c.isNotNull()
 
 
 def json_object_text(fields: list[tuple[str, Column, object]], sort_keys: bool = False) -> Column:
@@ -34,7 +59,7 @@ def json_object_text(fields: list[tuple[str, Column, object]], sort_keys: bool =
     items = sorted(fields, key=lambda f: f[0]) if sort_keys else fields
     if not items:
         return F.lit("{}")
-    entries = [F.when(c.isNotNull(), F.concat(F.lit(f'"{name}": '), _json_value(c, t))) for name, c, t in items]
+    entries = [F.when(_packed(c, t), F.concat(F.lit(f'"{name}": '), _json_value(c, t))) for name, c, t in items]
     return F.concat(F.lit("{"), F.concat_ws(", ", *entries), F.lit("}"))
 
 

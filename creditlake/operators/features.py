@@ -31,12 +31,17 @@ def category_text(c: Column) -> Column:
 
 
 def mean_exact(df: DataFrame, c: str) -> Column:
-    """Mean of one column, exact on the decimal value of each double."""
-    t = df.schema[c].dataType.typeName()
+    """Mean of one column (NaN left out).  Where all values of the group have
+    at most ten decimals and fit a decimal, their sum is exact and the mean
+    does not depend on the order of the rows; other values are averaged as
+    doubles."""
     x = F.col(c)
-    if t in ("double", "float"):
-        x = F.when(~F.isnan(x), x).cast("decimal(38,10)")
-    return F.try_divide(F.sum(x).cast("double"), F.count(x))
+    if df.schema[c].dataType.typeName() not in ("double", "float"):
+        return F.try_divide(F.sum(x).cast("double"), F.count(x))
+    x = F.when(~F.isnan(x), x.cast("double"))
+    d = x.try_cast("decimal(38,10)")
+    exact = F.bool_and(F.when(x.isNotNull(), F.coalesce(d.cast("double") == x, F.lit(False))))
+    return F.coalesce(F.when(exact, F.try_divide(F.try_sum(d).cast("double"), F.count(d))), F.avg(x))
 
 
 def mean_all(df: DataFrame, key: str, exclude=()) -> DataFrame:

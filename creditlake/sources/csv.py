@@ -83,24 +83,29 @@ def typed(raw: DataFrame, key: str, strip_junk: bool = True, enrich_junk: bool =
     if strip_junk:
         out = out.drop(*spec.junk)
     if limit is not None:
-        out = out.orderBy(order_by or spec.keys[0]).limit(limit)
+        # all columns break ties, so the extract is the same in every run
+        first = [order_by] if order_by else list(spec.keys)
+        out = out.orderBy(*first, *[c for c in out.columns if c not in first]).limit(limit)
     return out
 
 
-def read_raw(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    return (spark.read.option("header", True).option("encoding", encoding)
-            .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
+def read_raw(spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
+    """Quotes inside a quoted field are doubled.  ``multiline`` allows line ends
+    inside quotes; such a file can't be split and is read by one task."""
+    return (spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
+            .option("multiLine", multiline).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
 
 
 def load_file(spark: SparkSession, key: str, path: str, strip_junk: bool = True,
-              enrich_junk: bool = False, limit: int | None = None, encoding: str = "utf-8") -> DataFrame:
-    return typed(read_raw(spark, path, encoding), key, strip_junk, enrich_junk, limit)
+              enrich_junk: bool = False, limit: int | None = None, encoding: str = "utf-8",
+              multiline: bool = False) -> DataFrame:
+    return typed(read_raw(spark, path, encoding, multiline), key, strip_junk, enrich_junk, limit)
 
 
 def write_csv(df: DataFrame, path: str, upper: bool = True) -> None:
     """K-05: headered CSV (one folder of part files)."""
     out = df.toDF(*[c.upper() for c in df.columns]) if upper else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def load_directory(spark: SparkSession, directory: str, datasets=None, strip_junk: bool = True,

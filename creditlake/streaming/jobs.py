@@ -4,12 +4,14 @@ batch after an executor or driver loss rewrites the same folder)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
 from ..plans import explain as X
-from ..schemas import DATASETS
 from ..sources import csv as CSV
 from ..sources.fixtures import ADAPTERS
 
@@ -20,16 +22,42 @@ def _batch_writer(root: str):
     return write
 
 
+FILES_PER_BATCH = 64
+
+
+def _read_files(spark: SparkSession, key: str, paths: list[str], **how) -> tuple[list[DataFrame], list[tuple[str, str]]]:
+    """Each file by its own header; (typed frames, (path, error) of the files
+    that can't be read that way)."""
+    good, bad = [], []
+    for path in paths:
+        try:
+            good.append(CSV.load_file(spark, key, path, **how))
+        except (ValueError, AnalysisException) as e:
+            bad.append((path, str(e).strip().splitlines()[0][:200]))
+    return good, bad
+
+
 def ingest_csv_stream(spark: SparkSession, key: str, input_dir: str, target_dir: str,
                       checkpoint: str, strip_junk: bool = True, enrich_junk: bool = False,
-                      available_now: bool = True):
+                      available_now: bool = True, multiline: bool = False):
     """R-01 / S-11: new CSV files of one dataset -> typed rows -> parquet,
-    one folder per micro-batch.  Returns the started query."""
-    spec = DATASETS[key]
-    raw = (spark.readStream.schema(CSV.text_schema(spec)).option("header", True)
-           .option("maxFilesPerTrigger", 64).csv(input_dir))
-    typed = CSV.typed(raw, key, strip_junk, enrich_junk)
-    w = typed.writeStream.foreachBatch(_batch_writer(target_dir)).option("checkpointLocation", checkpoint)
+    one folder per micro-batch.  The stream only discovers files (at most
+    ``FILES_PER_BATCH`` a batch); each is read with the batch loader, so
+    columns are found by the names in its own header.  A file that lacks
+    columns becomes a row below ``<target>_errors`` and stops no other.
+    Returns the started query."""
+    how = {"strip_junk": strip_junk, "enrich_junk": enrich_junk, "multiline": multiline}
+    found = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+             .option("maxFilesPerTrigger", FILES_PER_BATCH).option("pathGlobFilter", "*.csv").load(input_dir).select("path"))
+    rows, errors = _batch_writer(target_dir), _batch_writer(f"{target_dir.rstrip('/')}_errors")
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        good, bad = _read_files(spark, key, sorted(r.path for r in batch.collect()), **how)
+        if good:
+            rows(reduce(DataFrame.unionByName, good), batch_id)
+        if bad:
+            errors(spark.createDataFrame(bad, "path string, error string"), batch_id)
+    w = found.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 

@@ -78,3 +78,24 @@ def test_directory_load_reports_missing(spark):
     assert st["bureau"][1] is False and st["bureau"][2] == "file not found"
     assert set(frames) == {"bureau_balance"}
     assert F is not None
+
+
+def test_quoted_fields(spark):
+    path = _write('SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n1,-1,"say ""hi"", ok"\n2,-2,"a\nb"\n')
+    rows = CSV.load_file(spark, "bureau_balance", path, multiline=True).orderBy("sk_id_bureau").collect()
+    assert [(r.sk_id_bureau, r.status) for r in rows] == [("1", 'say "hi", ok'), ("2", "a\nb")]
+
+
+def test_stream_maps_each_file_by_its_header(spark, tmp_path):
+    from creditlake.streaming.jobs import ingest_csv_stream
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.csv").write_text('MONTHS_BALANCE,RAW_STATUS_DUMP,STATUS,SK_ID_BUREAU\n-1,junk,"C, ""x""",555\n')
+    (src / "b.csv").write_text("SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n7,-2,X\n")
+    (src / "c.csv").write_text("SK_ID_BUREAU,STATUS\n8,X\n")
+    out = str(tmp_path / "out")
+    ingest_csv_stream(spark, "bureau_balance", str(src), out, str(tmp_path / "ckpt")).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("sk_id_bureau").collect()
+    assert [(r.sk_id_bureau, r.months_balance, r.status) for r in rows] == [("555", -1, 'C, "x"'), ("7", -2, "X")]
+    bad = spark.read.parquet(f"{out}_errors").collect()
+    assert len(bad) == 1 and bad[0].path.endswith("c.csv") and "MONTHS_BALANCE" in bad[0].error
