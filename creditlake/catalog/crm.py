@@ -10,7 +10,11 @@ from . import register
 from .explain import SCORE_CTES
 from .sqlkit import with_ctes
 
-_CUT = f"DATE '{C.SCORING_CUTOFF}'"
+# Test data: the stored scores are those an earlier batch gave to applications
+# before the first date; the next batch scores applications from the second
+# date on, some of them again.
+STORED_BEFORE, BATCH_FROM = "2000-01-01", "1999-01-01"
+_CUT = f"DATE '{STORED_BEFORE}'"
 _CTES = {k: SCORE_CTES[k] for k in ("h", "s", "scored")}
 _CTES["scoring_info"] = (f"SELECT application_id, default_probability, model_version, confidence "
                          f"FROM scored WHERE app_date < {_CUT}")
@@ -29,7 +33,12 @@ def _q(sql: str) -> str:
 
 def _frames(spark, sf_dir):
     apps, cl = C.applications(spark, sf_dir), C.clients(spark, sf_dir)
-    return apps, cl, C.scoring_info(apps)
+    return apps, cl, _stored(apps)
+
+
+def _stored(apps, **kw):
+    """The score table as the earlier batch left it."""
+    return C.scoring_info(apps.where(F.col("app_date") < F.lit(STORED_BEFORE).cast("date")), **kw)
 
 
 def crm_dashboard(spark, sf_dir):
@@ -69,8 +78,8 @@ register("crm_detail", _q(
 
 def crm_upsert_score(spark, sf_dir):
     apps = C.applications(spark, sf_dir)
-    stored = C.scoring_info(apps, C.SCORED_AT, "import-v0")
-    batch_apps = apps.where(F.col("app_date") >= F.lit(C.RESCORE_FROM).cast("date"))
+    stored = _stored(apps, generated_at=C.SCORED_AT, model_version="import-v0")
+    batch_apps = apps.where(F.col("app_date") >= F.lit(BATCH_FROM).cast("date"))
     batch = C.scoring_info(batch_apps, C.RESCORED_AT)
     out = C.upsert_latest(stored, batch, "application_id", "generated_at")
     return out.drop("importances")
@@ -84,7 +93,7 @@ SELECT application_id, default_probability, model_version, confidence, generated
     UNION ALL
     SELECT application_id, default_probability, model_version, confidence,
            TIMESTAMP '{C.RESCORED_AT}' AS generated_at FROM scored
-    WHERE app_date < {_CUT} AND app_date >= DATE '{C.RESCORE_FROM}'))
+    WHERE app_date >= DATE '{BATCH_FROM}'))
 WHERE rn = 1"""))(crm_upsert_score)
 
 
@@ -105,7 +114,7 @@ register("crm_intake", _q(
 # J-09: explanations only for scored applications; the rest is reported
 def crm_explain_scored(spark, sf_dir):
     apps = C.applications(spark, sf_dir)
-    scored = X.score_heuristic(apps.join(C.scoring_info(apps).select("application_id"),
+    scored = X.score_heuristic(apps.join(_stored(apps).select("application_id"),
                                          "application_id", "left_semi"))
     return X.explain(scored, "detailed").select("application_id", "decision", "explanation_text", "confidence")
 
@@ -118,7 +127,7 @@ register("crm_explain_scored", with_ctes(
 
 def crm_unscored(spark, sf_dir):
     apps = C.applications(spark, sf_dir)
-    return apps.join(C.scoring_info(apps).select("application_id"), "application_id", "left_anti").select(
+    return apps.join(_stored(apps).select("application_id"), "application_id", "left_anti").select(
         "application_id", F.lit("not_scored").alias("status"),
         F.lit("Сначала необходимо провести скоринг").alias("message"))
 

@@ -84,7 +84,7 @@ _reg("dv_crm_sat_application",
      lambda spark, sf: sat_frame(_crm_source(spark, sf), V.SAT_CRM_APP, LOAD_DTS))
 
 
-# ---- C-06: scoring result and explanation satellites of the scored applications ----
+# ---- C-06: scoring result and explanation satellites ----
 
 def _scores(spark, sf):
     return C.scoring_info(C.applications(spark, sf))
@@ -97,33 +97,29 @@ def dv_sat_score(spark, sf):
 
 def dv_sat_explain(spark, sf):
     apps = C.applications(spark, sf)
-    scored = X.score_heuristic(apps.join(_scores(spark, sf).select("application_id"), "application_id", "left_semi"))
-    e = X.explain(scored, "detailed").select("application_id", "decision", "confidence", "mode")
+    e = X.explain(X.score_heuristic(apps), "detailed").select("application_id", "decision", "confidence", "mode")
     return sat_frame(e, V.SAT_EXPLANATION, LOAD_DTS)
 
 
 def _score_sql() -> str:
     from .explain import SCORE_CTES
-    cut = f"DATE '{C.SCORING_CUTOFF}'"
     return with_ctes(
         f"SELECT {md5_key('crm_application', 'application_id')} AS hk_application, "
         f"{_hd([('default_probability', 'n'), ('model_version', 's'), ('confidence', 'n')])} AS hashdiff, "
         "CAST(CAST(CAST(default_probability AS VARCHAR) AS DECIMAL(8,6)) AS DECIMAL(8,6)) AS default_probability, "
         "model_version, CAST(CAST(confidence AS VARCHAR) AS DECIMAL(8,6)) AS confidence, "
         f"{_json([('default_probability', 'num'), ('model_version', 'str'), ('confidence', 'num')])} AS scoring_payload, "
-        + _TAIL.format(rs="mlservice") + f" FROM scored WHERE app_date < {cut}",
+        + _TAIL.format(rs="mlservice") + " FROM scored",
         ("crm_score_request",), **{k: SCORE_CTES[k] for k in ("h", "s", "scored")})
 
 
 def _explain_sql() -> str:
     from .explain import SCORE_CTES
-    cut = f"DATE '{C.SCORING_CUTOFF}'"
     fields = [("decision", "str"), ("confidence", "num"), ("mode", "str")]
     return with_ctes(
         f"SELECT {md5_key('crm_application', 'application_id')} AS hk_application, md5({_json(fields, sort=True)}) "
         f"AS hashdiff, mode, {_json(fields)} AS explanation_payload, " + _TAIL.format(rs="agentservice")
-        + " FROM (SELECT application_id, decision, confidence, 'detailed' AS mode FROM expl "
-        f"WHERE application_id IN (SELECT application_id FROM scored WHERE app_date < {cut}))",
+        + " FROM (SELECT application_id, decision, confidence, 'detailed' AS mode FROM expl)",
         ("crm_score_request",), **SCORE_CTES)
 
 

@@ -15,12 +15,8 @@ from ..functions import decisions as D
 from ..sources.fixtures import staged
 from . import explain as X
 
-# Applications dated before this day were scored by an earlier batch run;
-# later ones are still waiting for a score.
-SCORING_CUTOFF = "2000-01-01"
 SCORED_AT = "2024-01-01 00:00:00"
 RESCORED_AT = "2024-02-01 00:00:00"
-RESCORE_FROM = "1999-01-01"
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +28,8 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoring_info(apps: DataFrame, generated_at: str = SCORED_AT, model_version: str | None = None) -> DataFrame:
-    s = X.score_heuristic(apps.where(F.col("app_date") < F.lit(SCORING_CUTOFF).cast("date")))
+    """Score records of whatever applications are given."""
+    s = X.score_heuristic(apps)
     mv = F.lit(model_version) if model_version else F.col("model_version")
     return s.select("application_id", "default_probability", mv.alias("model_version"), "confidence",
                     "importances", F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"))
@@ -84,10 +81,11 @@ def detail(listing: DataFrame, application_id=None) -> DataFrame:
 def upsert_latest(current: DataFrame, batch: DataFrame, key: str, ts: str) -> DataFrame:
     """K-04: ``update_or_create`` on ``key``: the union of stored rows and
     the new batch, latest ``ts`` per key.  The window is partitioned by the
-    key, so a skewed key costs no more than its own rows."""
-    u = current.unionByName(batch)
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc())
-    return u.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    key, so a skewed key costs no more than its own rows.  Of equal times the
+    batch wins, and within it the greatest hash of the row."""
+    u = current.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+    w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col("_new").desc(), F.xxhash64(*current.columns).desc())
+    return u.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
 def intake_records(apps: DataFrame, cl: DataFrame) -> DataFrame:

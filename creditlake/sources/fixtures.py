@@ -63,7 +63,7 @@ SELECT o_orderkey AS sk_id_prev, o_custkey AS sk_id_curr,
        o_totalprice / 8 AS amt_annuity, o_totalprice / 16 AS amt_down_payment, o_totalprice / 2 AS amt_goods_price,
        o_orderstatus AS name_contract_status, o_orderpriority AS name_product_type,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS name_payment_type
-FROM {orders} WHERE o_orderstatus <> 'P'""",
+FROM {orders}""",
     "stg_pos_cash_balance": """
 SELECT l_orderkey AS sk_id_prev, o_custkey AS sk_id_curr, CAST(-l_linenumber AS INT) AS months_balance,
        l_quantity AS cnt_instalment, l_quantity - l_linenumber AS cnt_instalment_future,
@@ -76,7 +76,7 @@ SELECT l_orderkey AS sk_id_prev, o_custkey AS sk_id_curr, CAST(-l_linenumber AS
        l_extendedprice AS amt_balance, o_totalprice AS amt_credit_limit_actual,
        CAST(floor(l_discount * 100 + 0.5) AS INT) AS sk_dpd, CAST(floor(l_tax * 100 + 0.5) AS INT) AS sk_dpd_def,
        l_linestatus AS name_contract_status
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""",
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "stg_installments_payments": """
 SELECT l_orderkey AS sk_id_prev, 1 AS num_instalment_version, l_linenumber AS num_instalment_number,
        CAST((year(l_shipdate) - 2002) * 365 + dayofyear(l_shipdate) AS INT) AS days_instalment,

@@ -40,9 +40,9 @@ def overwrite(df: DataFrame, url: str, table: str, properties: dict) -> None:
      .option("truncate", "true").option("batchsize", str(WRITE_BATCH_ROWS)).mode("overwrite").save())
 
 
-def append(df: DataFrame, url: str, table: str, properties: dict, max_connections: int = 32) -> None:
-    """K-02: batched inserts, at most ``max_connections`` writers."""
-    out = df.coalesce(max_connections) if df.rdd.getNumPartitions() > max_connections else df
-    (out.write.format("jdbc").options(**properties).option("url", url).option("dbtable", table)
+def append(df: DataFrame, url: str, table: str, properties: dict) -> None:
+    """K-02: batched inserts, one connection per partition of ``df`` (the
+    caller chooses their number; running tasks bound the open ones)."""
+    (df.write.format("jdbc").options(**properties).option("url", url).option("dbtable", table)
      .option("batchsize", str(WRITE_BATCH_ROWS)).option("isolationLevel", "READ_COMMITTED")
      .mode("append").save())

@@ -6,6 +6,7 @@ fallback of ``training_source``; no registered query runs on it."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ def training_source(spark: SparkSession, mart_path: str | None) -> DataFrame:
             mart = spark.read.parquet(mart_path)
             if not mart.isEmpty():
                 return mart
-        except Exception:  # noqa: BLE001  (missing table -> fallback, as the reference)
-            pass
+        except AnalysisException as e:        # only a missing table falls back
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     return synthetic_training_set(spark)

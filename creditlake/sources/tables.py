@@ -33,8 +33,10 @@ def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     large files with one row group each) over all cores.  On real
     input of many files the scan is already wide and this is a no-op; the
     shuffle only exists when the input layout would leave cores idle.
-    Columns are pruned below the shuffle, filters pushed into the scan."""
-    if spark.conf.get("creditlake.spreadScans", "true") != "true":
+    Columns are pruned below the shuffle, filters pushed into the scan.  Off
+    unless the session sets ``creditlake.spreadScans`` (local runs over one
+    file): it lists the input's files on the driver."""
+    if spark.conf.get("creditlake.spreadScans", "false") != "true":
         return df
     cores = spark.sparkContext.defaultParallelism
     # file count, not split count: a file with one row group yields one

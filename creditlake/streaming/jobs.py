@@ -88,6 +88,6 @@ def score_stream(spark: SparkSession, events_dir: str, target_dir: str, checkpoi
 
 
 def latest_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
-    """K-04 view: the latest row per key (by time, then id)."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order_cols])
+    """K-04 view: the latest row per key (by time, then id, then a hash of the row)."""
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order_cols], F.xxhash64(*df.columns).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
