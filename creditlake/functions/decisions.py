@@ -28,12 +28,6 @@ HEURISTIC_DEFAULTS = {"income": 50000.0, "age": 35.0, "debt_to_income": 0.3, "bk
 HEURISTIC_MODEL_VERSION = "heuristic-v1"
 
 
-def round_half_up(c: Column, digits: int) -> Column:
-    """Round with ties away from zero for non-negative values, identical in
-    Spark and SQL engines (``round`` differs between engines on ties)."""
-    scale = 10 ** digits
-    return (F.floor(c * F.lit(float(scale)) + F.lit(0.5)) / F.lit(float(scale))).cast("double")
-
 
 def py_round(c: Column, digits: int, in_lambda: bool = False) -> Column:
     """Python ``round(x, d)``: the decimal nearest to the exact binary value,
@@ -176,4 +170,3 @@ def coerce_form_money(text: Column) -> Column:
 def coerce_form_flag(text: Column) -> Column:
     """F-18: only the text 'True' is true."""
     return F.coalesce(text == "True", F.lit(False))
-

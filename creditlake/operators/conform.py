@@ -49,13 +49,6 @@ def strip_junk(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     return df.drop(*spec.junk)
 
 
-def drop_null_keys(df: DataFrame, *keys: str) -> DataFrame:
-    """P-08: rows with a null business key carry nothing a vault can load."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).isNotNull()
-    return df.where(cond)
-
 
 def fill_nulls(df: DataFrame, value: float | dict) -> DataFrame:
     """P-12: pandas ``fillna``: for numeric columns NaN counts as missing too."""
@@ -76,15 +69,3 @@ def fill_nulls(df: DataFrame, value: float | dict) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
-
-
-def prefix_columns(df: DataFrame, prefix: str, keep: tuple[str, ...]) -> DataFrame:
-    """P-14: ``prefix_`` on every column except the key(s)."""
-    return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{prefix}_{c}")
-                       for c in df.columns])
-
-
-def align_features(df: DataFrame, feature_cols: list[str]) -> DataFrame:
-    """P-15: model feature order; a missing feature is an error."""
-    require_columns(df, feature_cols, "feature alignment")
-    return df.select(*feature_cols)

@@ -30,7 +30,7 @@ DEFAULT_IMPACT = 0.01
 TEXT_BASE = "Вероятность дефолта составляет {pct}%. Основные факторы решения модели выделены ниже."
 TEXT_DETAILED = " Детализация факторов: "
 TEXT_POLICY = " Решение сформировано на основе интерпретируемых факторов без дискриминационных признаков. "
-FACTOR_TEXT = "{feature}: вклад {impact}"
+FACTOR_TEXT = "{}: вклад {}"
 MODES = ("brief", "detailed", "policy")
 TOP_K = 5
 HEURISTIC_FEATURES = ("debt_to_income", "bki_request_cnt", "income", "age")
@@ -112,7 +112,7 @@ def recommendations(factors: Column) -> Column:
 
 def factor_details(factors: Column) -> Column:
     return F.array_join(F.transform(factors, lambda f: F.concat(
-        f["feature"], F.lit(": вклад "), _impact_text(f["impact"]))), "; ")
+        f["feature"], F.lit(FACTOR_TEXT.strip("{}")), _impact_text(f["impact"]))), "; ")
 
 
 def _impact_text(v: Column) -> Column:

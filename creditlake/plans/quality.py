@@ -38,9 +38,11 @@ def content_checksum(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(part).alias("checksum"))
 
 
-def required_inputs(available: list[str], required=REQUIRED_FILES) -> list[str]:
-    """A-15: the missing inputs (raise in the caller if any)."""
-    return [r for r in required if r not in set(available)]
+def require_inputs(available, required=REQUIRED_FILES) -> None:
+    """A-15: fail with the list of all missing inputs."""
+    missing = [r for r in required if r not in set(available)]
+    if missing:
+        raise FileNotFoundError(f"missing inputs: {', '.join(missing)}")
 
 
 def small_pipeline(raw: DataFrame) -> DataFrame:

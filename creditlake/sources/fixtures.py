@@ -127,11 +127,6 @@ def adapter_sql(name: str) -> str:
     return _PLACEHOLDER.sub(lambda m: m.group(1), ADAPTERS[name])
 
 
-def with_adapters(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with one CTE per adapter, for oracle queries."""
-    ctes = ",\n".join(f"{n} AS ({adapter_sql(n)}\n)" for n in names)
-    return f"WITH {ctes}\n{sql}"
-
 
 _OUT_ALIAS = re.compile(r"\bAS\s+(\w+)\s*(?=,|\n|$)")
 

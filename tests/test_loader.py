@@ -99,3 +99,10 @@ def test_stream_maps_each_file_by_its_header(spark, tmp_path):
     assert [(r.sk_id_bureau, r.months_balance, r.status) for r in rows] == [("555", -1, 'C, "x"'), ("7", -2, "X")]
     bad = spark.read.parquet(f"{out}_errors").collect()
     assert len(bad) == 1 and bad[0].path.endswith("c.csv") and "MONTHS_BALANCE" in bad[0].error
+
+
+def test_required_inputs_are_listed():
+    from creditlake.plans.quality import REQUIRED_FILES, require_inputs
+    require_inputs(REQUIRED_FILES)
+    with pytest.raises(FileNotFoundError, match="bureau, pos_cash_balance"):
+        require_inputs([f for f in REQUIRED_FILES if f not in ("bureau", "pos_cash_balance")])
