@@ -15,9 +15,6 @@ from ..sources.tables import read_table
 from . import register
 from .sqlkit import with_ctes
 
-# Boosting rounds of the registered model queries (the library default is
-# the reference's 1000 with early stopping on the validation part).
-QUERY_ITERATIONS = 20
 _MODELS: dict[tuple, object] = {}
 
 
@@ -67,7 +64,7 @@ def _model(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)      # queries of one run share a fit
     if key not in _MODELS:
         train, _ = file_features_from(spark, sf_dir)
-        model = ML.train(train, "target", QUERY_ITERATIONS)
+        model = ML.train(train, "target")
         path = scratch_path(spark, "gbt_model")
         ML.save(model, path)                       # K-08 round trip
         _MODELS[key] = ML.load(path)
