@@ -40,18 +40,18 @@ OUT_ROWS = 256
 
 class _Memo(dict):
     """A mapping that computes what it lacks and forgets what was not used
-    lately: when ``MEMO`` entries are in, they become the old generation."""
+    lately: when ``most`` entries are in, they become the old generation."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self._make, self._old = make, {}
+        self._make, self._most, self._old = make, most, {}
 
     def __missing__(self, key):
         value = self._old.get(key)
         if value is None:
             value = self._make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self._most:
                 self._old = dict(self)
                 self.clear()
             self[key] = value

@@ -19,6 +19,7 @@ give no shards; other columns are not written.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -34,52 +35,72 @@ from creditlake.session import scratch_path
 from .columns import shuffle_partitions
 from .piece_bpe import _Memo
 
+#: words remembered per generation by a worker
+WORDS = 300_000
 #: ids of a shard: it ends with the document that reaches this many
 SHARD_IDS = 1 << 21
-ROUNDS = 6
-RULES_PER_ROUND = 2048
+ROUNDS = 3
+RULES_PER_ROUND = 4096
 #: a pair must occur this often in the shard to become a rule
 MIN_COUNT = 32
 FORMAT = ("part int, shard int, n_docs int, n_ids long, doc_ids binary, lengths binary, "
           "rules binary, expansions binary, symbols binary, first long")
 
 
+def _byte_letters() -> str:
+    """The letter that stands for each byte in the vocabulary: printable Latin-1
+    characters for themselves, the other bytes, in order, from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in shown else next(others)) for b in range(256))
+
+
 class ByteBpe:
-    """The tokenizers library behind a memory of words: its pre-tokens are
-    encoded independently of each other, so each distinct one is encoded once."""
+    """The tokenizers library behind a memory of words.
+
+    Its pre-tokens are encoded independently of each other, so each distinct
+    one is encoded once, by the library's model.  Where a text has single
+    spaces and line ends only, each inside words, a pre-token never spans two
+    of the words that spaces part, and these are remembered whole."""
+
+    ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
         from public_tokenizers import PATTERN
         self.lib = Tokenizer.from_file(path)
+        if self.lib.normalizer is not None:
+            raise ValueError("a tokenizer with a normalizer can't be fed word by word")
+        self.model = self.lib.model
         self.cut = regex.compile(PATTERN)
+        self.letters = dict(enumerate(_byte_letters()))
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self._token = _Memo(lambda t: tuple(self.lib.encode(t, add_special_tokens=False).ids))
-        self._word = _Memo(self._encode_word)
-        self._first = _Memo(self._encode_run)
+        self._token = _Memo(self._encode_token)
+        self._word = _Memo(self._encode_word, WORDS)
 
-    def _encode_run(self, text: str) -> tuple[int, ...]:
-        return tuple([i for t in self.cut.findall(text) for i in self._token[t]])
+    def _encode_token(self, token: str) -> bytes:
+        spelled = token.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
-        return self._encode_run(" " + word)
+    def _encode_run(self, text: str) -> bytes:
+        return b"".join(map(self._token.__getitem__, self.cut.findall(text)))
 
-    def encode(self, text: str | None) -> list[int]:
-        """The library's ids.  Where single spaces part words that neither
-        begin nor end with white space, a pre-token never spans two words."""
+    def _encode_word(self, word: str) -> bytes:
+        # a space and letters are one pre-token
+        return self._encode_token(" " + word) if word.isalpha() else self._encode_run(" " + word)
+
+    def encode(self, text: str | None) -> bytes:
+        """The library's ids as unsigned 32-bit integers."""
         if not text:
-            return []
+            return b""
         if any(a in text for a in self.added):
-            return self.lib.encode(text, add_special_tokens=False).ids
-        words = text.split(" ")
-        out: list[int] = []
-        if all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words):
-            out += self._first[words[0]]
-            for ids in map(self._word.__getitem__, words[1:]):
-                out += ids
-            return out
-        return list(self._encode_run(text))
+            return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+        if (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
+                or self.ODD_SPACE.search(text)):
+            return self._encode_run(text)
+        first, *words = text.split(" ")
+        return self._encode_run(first) + b"".join(map(self._word.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -87,9 +108,9 @@ def coder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _frequent(seq: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent neighbouring pairs as sorted 64-bit codes."""
-    code = np.sort(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64))
+def _frequent(code: np.ndarray, most: int, least: int) -> np.ndarray:
+    """The most frequent codes of neighbouring pairs, sorted."""
+    code = np.sort(code)
     begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
     count = np.diff(np.append(begin, len(code)))
     often = np.flatnonzero(count >= least)
@@ -105,55 +126,73 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_R
     seq = np.ascontiguousarray(ids, np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 0
     rules, size = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
+    # a pair is one number, of 32 bits where all symbols have 16
+    kind, half = (np.uint32, 16) if first + rounds * per_round <= 1 << 16 else (np.uint64, 32)
+    mix, shift = kind(0x9E3779B97F4A7C15 >> 64 - 2 * half | 1), kind(2 * half - 20)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pairs = _frequent(seq, per_round, least)
+        wide = seq.astype(kind)
+        code = wide[:-1] << kind(half) | wide[1:]
+        pairs = _frequent(code, per_round, least)
         if not len(pairs):
             break
-        code = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
         # a small table of hashes throws out most places before the exact look-up
-        mix = np.uint64(0x9E3779B97F4A7C15)
         table = np.zeros(1 << 20, bool)
         with np.errstate(over="ignore"):
-            table[(pairs * mix) >> np.uint64(44)] = True
-            at = np.flatnonzero(table[(code * mix) >> np.uint64(44)])
+            table[(pairs * mix) >> shift] = True
+            at = np.flatnonzero(table[(code * mix) >> shift])
         rule = np.searchsorted(pairs, code[at])
         rule[rule == len(pairs)] = 0
         hit = pairs[rule] == code[at]
         at, rule = at[hit], rule[hit]
-        if not len(at):
-            break
         # of neighbouring places that match, every second one is replaced
         run = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) > 1)), np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, rule = at[take], rule[take]
-        used, rule = np.unique(rule, return_inverse=True)
-        made = np.stack([(pairs[used] >> np.uint64(32)), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        used = np.zeros(len(pairs), bool)
+        used[rule] = True
+        number = (first + len(rules) - 1 + np.cumsum(used)).astype(np.uint32)
+        made = np.stack([pairs[used] >> kind(half), pairs[used] & kind((1 << half) - 1)], axis=1).astype(np.uint32)
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
         seq = seq.copy()
-        seq[at] = (first + len(rules) + rule).astype(np.uint32)
-        seq = np.delete(seq, at + 1)
-        lengths = np.where(made < first, 1, size[np.maximum(made.astype(np.int64) - first, 0)] if len(size) else 1)
-        rules, size = np.concatenate([rules, made]), np.concatenate([size, lengths.sum(axis=1).astype(np.uint32)])
+        seq[at] = number[rule]
+        seq = seq[stays]
+        known = np.concatenate([size, np.ones(1, np.uint32)])       # the last entry is for ids
+        lengths = known[np.where(made < first, len(size), made.astype(np.int64) - first)].sum(axis=1)
+        rules, size = np.concatenate([rules, made]), np.concatenate([size, lengths.astype(np.uint32)])
     return seq, rules, size, first
 
 
+def _expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat, begin, width): what symbol k stands for is flat[begin[k]:][:width[k]].
+    Rules only use earlier symbols, so whole ranges of them are made at once."""
+    flat = [np.arange(first, dtype=np.uint32)]
+    begin, width = np.arange(first + len(rules), dtype=np.int64), np.ones(first + len(rules), np.int64)
+    done, end = first, first
+    while done < first + len(rules):
+        sides = rules[done - first:].astype(np.int64)
+        # rules up to the next one that uses a symbol of this range
+        ready = int(np.argmax(np.append((sides >= done).any(axis=1), True)))
+        sides = sides[:ready]
+        got = _gather(np.concatenate(flat), begin, width, sides.ravel())
+        width[done:done + ready] = width[sides].sum(axis=1)
+        begin[done:done + ready] = end + np.cumsum(width[done:done + ready]) - width[done:done + ready]
+        flat.append(got)
+        done, end = done + ready, end + len(got)
+    return np.concatenate(flat), begin, width
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, width: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    n = width[symbols]
+    end = np.cumsum(n)
+    return flat[np.repeat(begin[symbols] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """Ids of a sequence of symbols: every pass replaces all rules by their two
-    sides, so passes are as many as rules are nested."""
-    seq = symbols.astype(np.uint32)
-    while len(seq):
-        big = seq >= first
-        if not big.any():
-            break
-        width = np.where(big, 2, 1)
-        end = np.cumsum(width)
-        out = np.empty(end[-1], np.uint32)
-        side = rules[seq[big] - first]
-        out[end[~big] - 1] = seq[~big]
-        out[end[big] - 2], out[end[big] - 1] = side[:, 0], side[:, 1]
-        seq = out
-    return seq
+    """Ids of a sequence of symbols."""
+    return _gather(*_expansions(rules, first), symbols.astype(np.int64))
 
 
 def slice_ids(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, first: int, begin: int, end: int) -> np.ndarray:
@@ -183,11 +222,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str
         names, lengths, ids = [], array("q"), array("I")
         for b in batches:
             for name, t in zip(b.column(0), b.column(1)):
-                got = lib.encode(t.as_py())
-                ids.extend(got)
+                before = len(ids)
+                ids.frombytes(lib.encode(t.as_py()))
                 ids.append(end_id)
                 names.append(name.as_py())
-                lengths.append(len(got) + 1)
+                lengths.append(len(ids) - before)
                 if len(ids) >= shard_ids:
                     yield _shard_row(part, shard, names, lengths, ids)
                     shard, names, lengths, ids = shard + 1, [], array("q"), array("I")
@@ -219,22 +258,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         run, "part int, shard int, place int, doc_id long, first_id long, ids array<int>")
 
 
-def _documents(r: dict, rows: int = 512):
+def _shard(r: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(ids, end of each document, doc_ids) of a shard."""
     n = r["n_docs"]
     number, known = np.frombuffer(r["doc_ids"], "<i8", n), np.frombuffer(r["doc_ids"], np.uint8, n, 8 * n)
-    length = np.frombuffer(r["lengths"], "<i8")
     rules = np.frombuffer(r["rules"], "<u4").reshape(-1, 2)
-    ids = expand(np.frombuffer(r["symbols"], "<u4"), rules, r["first"]).astype(np.int32)
-    end = np.cumsum(length)
-    for i in range(0, n, rows):
-        j = min(i + rows, n)
-        base = int(end[i] - length[i])
-        offsets = np.concatenate(([0], end[i:j] - base)).astype(np.int32)
+    ids = expand(np.frombuffer(r["symbols"], "<u4"), rules, r["first"])
+    return ids, np.cumsum(np.frombuffer(r["lengths"], "<i8")), pa.array(number, pa.int64(), mask=known == 0)
+
+
+def _documents(r: dict, rows: int = 512):
+    ids, end, names = _shard(r)
+    begin = np.concatenate(([0], end[:-1]))
+    for i in range(0, len(end), rows):
+        j = min(i + rows, len(end))
+        offsets = np.append(begin[i:j], end[j - 1]) - begin[i]
         yield pa.RecordBatch.from_arrays([
             pa.array(np.full(j - i, r["part"]), pa.int32()), pa.array(np.full(j - i, r["shard"]), pa.int32()),
-            pa.array(np.arange(i, j), pa.int32()), pa.array(number[i:j], pa.int64(), mask=known[i:j] == 0),
-            pa.array(end[i:j] - length[i:j], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[base:int(end[j - 1])]))],
+            pa.array(np.arange(i, j), pa.int32()), names[i:j], pa.array(begin[i:j], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[begin[i]:end[j - 1]].astype(np.int32)))],
             names=["part", "shard", "place", "doc_id", "first_id", "ids"])
 
 
@@ -254,14 +296,16 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     unsigned 32-bit integers, of every document in the files."""
     def run(batches):
         for b in batches:
-            lists = b.column(5)
-            flat = np.asarray(lists.flatten()).astype("<u4")
-            end = np.cumsum(np.asarray(lists.value_lengths()))
-            crc = [zlib.crc32(flat[s:e]) for s, e in zip(np.concatenate(([0], end[:-1])), end)] if len(end) else []
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in (0, 1, 3, 4)] + [lists.value_lengths().cast(pa.int64()), pa.array(crc, pa.int64())],
-                names=["part", "shard", "doc_id", "first_id", "n_tokens", "ids_crc32"])
-    found = read(spark, path).mapInArrow(
+            for r in b.to_pylist():
+                ids, end, names = _shard(r)
+                ids, begin = ids.astype("<u4"), np.concatenate(([0], end[:-1]))
+                crc = [zlib.crc32(ids[i:j]) for i, j in zip(begin, end)]
+                n = len(end)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, r["part"]), pa.int32()), pa.array(np.full(n, r["shard"]), pa.int32()), names,
+                     pa.array(begin, pa.int64()), pa.array(end - begin, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["part", "shard", "doc_id", "first_id", "n_tokens", "ids_crc32"])
+    found = spark.read.schema(FORMAT).parquet(path).mapInArrow(
         run, "part int, shard int, doc_id long, first_id long, n_tokens long, ids_crc32 long")
     return found.join(starts(spark, path), ["part", "shard"]).select(
         "doc_id", (F.col("base") + F.col("first_id")).alias("start"), "n_tokens", "ids_crc32")
