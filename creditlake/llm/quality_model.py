@@ -50,7 +50,18 @@ MARGIN = 0.1
 BIN = 0.001
 PAD = "\n" * (ORDER - 1)
 PACKED = "chunk long, lang string, doc_ids array<long>, tags array<long>, sizes array<long>, body binary"
-_M = np.uint64(0x9E3779B97F4A7C15)
+#: places of a chunk worked on at once
+SLICE = 1 << 19
+#: tables with one row per language are sent to all tasks up to this many rows
+LANGUAGES = 10_000
+
+
+def _by_language(table: DataFrame) -> DataFrame:
+    """A table with one row per language, ready to be joined: computed once, and
+    broadcast if it is as small as it should be, so that the rows of a language
+    with most of the corpus are not dealt out by it."""
+    table = table.checkpoint()
+    return F.broadcast(table) if table.limit(LANGUAGES + 1).count() <= LANGUAGES else table
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -88,38 +99,84 @@ def pack(docs: DataFrame, text: str = "text", chunk_chars: int = CHUNK_CHARS) ->
 
 
 class _Chunk:
-    """Code points, sizes and n-gram hashes of a packed row."""
+    """Code points, sizes and n-gram keys of a packed row.
+
+    A key is a 64-bit number made of the n-gram's characters by their rank
+    among the characters of the chunk, so keys are exact and can be turned back
+    into text.  Where a chunk has too many characters for that, the symbols are
+    its distinct character pairs instead."""
 
     def __init__(self, row: dict):
         text = zstandard.ZstdDecompressor().decompress(row["body"]).decode() if row["body"] else ""
         self.sizes = np.array(row["sizes"], np.int64)
-        self.points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         self.begin = np.cumsum(self.sizes + len(PAD)) - self.sizes - len(PAD)
-
-    def places(self, docs: np.ndarray | None = None) -> np.ndarray:
-        """First places of the n-grams of the documents, one per character."""
-        n, begin = (self.sizes, self.begin) if docs is None else (self.sizes[docs], self.begin[docs])
-        return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-    def keys(self, places: np.ndarray) -> np.ndarray:
-        return _keys([self.points[places + k] for k in range(ORDER)])
-
-    def grams(self, places: np.ndarray) -> list[str]:
-        return _strings(self.points[places[:, None] + np.arange(ORDER)])
-
-
-def _keys(columns: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(columns[0]), np.uint64)
-    with np.errstate(over="ignore"):
-        for c in columns:
-            h = (h + c.astype(np.uint64) + np.uint64(1)) * _M
-            h ^= h >> np.uint64(29)
-    return h
-
-
-def _strings(points: np.ndarray) -> list[str]:
-    s = np.ascontiguousarray(points, "<u4").tobytes().decode("utf-32-le")
-    return [s[i:i + ORDER] for i in range(0, len(s), ORDER)]
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.n = max(0, len(points) - ORDER + 1)
+        used = np.flatnonzero(np.bincount(points))
+        self.span = 1 if len(used) <= 1 << 64 // ORDER else 2
+        if self.span == 1:
+            self.table = used.astype(np.uint32)[:, None]
+            self.rank = np.zeros(used[-1] + 1, np.uint32)
+            self.rank[used] = np.arange(len(used))
+            self.symbols = self.rank[points]
+        else:
+            pairs, at = np.unique(_pairs(points[:-1], points[1:]), return_inverse=True)
+            self.table = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+            self.rank, self.symbols = pairs, at.astype(np.uint32)
+        self.bits = np.uint64(64 // (ORDER // self.span))
+
+    def _joined(self, columns: list[np.ndarray]) -> np.ndarray:
+        key = columns[0].astype(np.uint64)
+        for c in columns[1:]:
+            key = key << self.bits | c
+        return key
+
+    def keys(self, lo: int, hi: int) -> np.ndarray:
+        """Keys of the n-grams that begin at places lo:hi of the packed text."""
+        return self._joined([self.symbols[lo + k:hi + k] for k in range(0, ORDER, self.span)])
+
+    def distinct(self, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts) over the n-grams of the documents, one n-gram per
+        character; n-grams that cross into the next document are none of it."""
+        docs = np.ones(len(self.sizes), bool) if docs is None else docs
+        edge = np.zeros(self.n + 1, np.int32)
+        np.add.at(edge, self.begin[docs], 1)
+        np.add.at(edge, self.begin[docs] + self.sizes[docs], -1)
+        mine = np.cumsum(edge[:-1]) > 0
+        parts = [np.unique(self.keys(lo, min(lo + SLICE, self.n))[mine[lo:lo + SLICE]], return_counts=True)
+                 for lo in range(0, self.n, SLICE)] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+    def grams(self, keys: np.ndarray) -> list[str]:
+        mask = (np.uint64(1) << self.bits) - np.uint64(1)
+        m = ORDER // self.span
+        points = np.concatenate([self.table[(keys >> self.bits * np.uint64(m - 1 - k)) & mask] for k in range(m)], axis=1)
+        s = np.ascontiguousarray(points, "<u4").tobytes().decode("utf-32-le")
+        return [s[i:i + ORDER] for i in range(0, len(s), ORDER)]
+
+    def keys_of(self, grams: list[str]) -> np.ndarray:
+        """Keys of n-grams of this chunk."""
+        points = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER).T
+        if self.span == 1:
+            return self._joined([self.rank[p] for p in points])
+        return self._joined([np.searchsorted(self.rank, _pairs(a, b)).astype(np.uint64) for a, b in zip(points[::2], points[1::2])])
+
+    def sums(self, known: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Per document the sum of the values of its n-grams' keys."""
+        order = np.argsort(known)
+        known, value = known[order], value[order]
+        upto = np.zeros(self.n + 1)
+        for lo in range(0, self.n, SLICE):
+            hi = min(lo + SLICE, self.n)
+            at = np.searchsorted(known, self.keys(lo, hi))      # a key between documents may be unknown; it is in no sum
+            upto[lo + 1:hi + 1] = value[np.minimum(at, len(known) - 1)]
+        np.cumsum(upto, out=upto)
+        return upto[self.begin + self.sizes] - upto[self.begin]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
 
 
 def _chunk_grams(chunks: DataFrame) -> DataFrame:
@@ -128,9 +185,7 @@ def _chunk_grams(chunks: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 c = _Chunk(r)
-                places = c.places()
-                _, at = np.unique(c.keys(places), return_index=True)
-                grams = c.grams(places[at])
+                grams = c.grams(c.distinct()[0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(grams), r["chunk"])), pa.array([r["lang"]] * len(grams), pa.string()),
                      pa.array(grams, pa.string())], names=["chunk", "lang", "gram"])
@@ -148,9 +203,8 @@ def _trusted_counts(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
             return schema.empty_table()
         r, ids = left.to_pylist()[0], set(right.column("ids")[0].as_py())
         c = _Chunk(r)
-        places = c.places(np.array([d in ids for d in r["doc_ids"]], bool))
-        _, at, n = np.unique(c.keys(places), return_index=True, return_counts=True)
-        grams = c.grams(places[at])
+        keys, n = c.distinct(np.array([d in ids for d in r["doc_ids"]], bool))
+        grams = c.grams(keys)
         return pa.Table.from_arrays([pa.array([r["lang"]] * len(grams), pa.string()), pa.array(grams, pa.string()),
                                      pa.array(n, pa.int64())], schema=schema)
     return (chunks.groupBy("chunk").cogroup(mine.groupBy("of"))
@@ -185,10 +239,10 @@ def _discount(c: Column) -> Column:
     return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def _contexts(counts: DataFrame, k: int) -> DataFrame:
+def _contexts(counts: DataFrame, discount: DataFrame, k: int) -> DataFrame:
     """(lang, context, total, held): per context of order k its count and the
     mass that discounting takes from it."""
-    return (counts.join(discounts(counts), "lang")
+    return (counts.join(discount, "lang")
             .groupBy("lang", F.substring("gram", 1, k - 1).alias("context"))
             .agg(F.sum("c").cast("double").alias("total"), F.sum(_discount(F.col("c"))).alias("held")))
 
@@ -196,18 +250,19 @@ def _contexts(counts: DataFrame, k: int) -> DataFrame:
 def log_probabilities(grams: DataFrame, counts: dict[int, DataFrame]) -> DataFrame:
     """(lang, gram, logp) for distinct (lang, gram): interpolated from the
     single characters (over a uniform share for unseen ones) up to ``ORDER``."""
-    one = counts[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("v"))
+    one = _by_language(counts[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("v")))
     p = grams.join(one, "lang").withColumn("p", 1 / F.col("v")).drop("v")
     for k in range(1, ORDER + 1):
         tail = F.substring("gram", ORDER - k + 1, k)
-        seen = counts[k].join(discounts(counts[k]), "lang").select(
+        discount = _by_language(discounts(counts[k]))
+        seen = counts[k].join(discount, "lang").select(
             "lang", F.col("gram").alias("tail"), (F.col("c") - _discount(F.col("c"))).alias("kept"))
         p = (p.withColumn("tail", tail).withColumn("context", F.substring("gram", ORDER - k + 1, k - 1))
-             .join(seen, ["lang", "tail"], "left").join(_contexts(counts[k], k), ["lang", "context"], "left")
+             .join(seen, ["lang", "tail"], "left").join(_contexts(counts[k], discount, k), ["lang", "context"], "left")
              .withColumn("p", F.when(F.col("total").isNull(), F.col("p")).otherwise(
                  (F.coalesce("kept", F.lit(0.0)) + F.col("held") * F.col("p")) / F.col("total")))
              .select("lang", "gram", "p"))
-    return p.select("lang", "gram", F.log("p").alias("logp"))
+    return p.select("lang", "gram", F.log("p").cast("float").alias("logp"))
 
 
 def _document_scores(chunks: DataFrame, told: DataFrame) -> DataFrame:
@@ -222,17 +277,7 @@ def _document_scores(chunks: DataFrame, told: DataFrame) -> DataFrame:
         total = np.full(len(n), np.nan)
         if right.num_rows:
             c = _Chunk(r)
-            known = np.frombuffer("".join(right.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-            key, logp = _keys(list(known.T)), right.column("logp").to_numpy()
-            order = np.argsort(key)
-            key, logp = key[order], logp[order]
-            for i in range(0, len(n), 256):      # a part of the chunk at a time bounds the memory
-                docs = np.zeros(len(n), bool)
-                docs[i:i + 256] = True
-                each = logp[np.searchsorted(key, c.keys(c.places(docs)))]
-                end = np.cumsum(n[i:i + 256])
-                upto = np.concatenate(([0.0], np.cumsum(each)))
-                total[i:i + 256] = upto[end] - upto[end - n[i:i + 256]]
+            total = c.sums(c.keys_of(right.column("gram").to_pylist()), right.column("logp").to_numpy())
         return pa.Table.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["tags"], pa.int64()),
                                      pa.array([r["lang"]] * len(n), pa.string()), pa.array(n),
                                      pa.array(total, pa.float64(), mask=np.isnan(total) | (n == 0))], schema=schema)
@@ -249,7 +294,9 @@ def scores(docs: DataFrame, trusted: DataFrame, text: str = "text", chunk_chars:
      .saveAsTable(name))
     chunks = spark.table(name)
     counts = count_tables(chunks, trusted)
-    own = _chunk_grams(chunks)
+    offered = scratch_path(spark, "quality_grams")
+    _chunk_grams(chunks).write.parquet(offered)
+    own = spark.read.parquet(offered)
     logp = log_probabilities(own.select("lang", "gram").distinct(), counts)
     told = own.join(logp, ["lang", "gram"]).select(F.col("chunk").alias("of"), "gram", "logp")
     found = scratch_path(spark, "quality_scores")
@@ -278,7 +325,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", quantile: f
     trusted = trusted_ids(labels)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
     scored = scores(docs, trusted.where(~held), text, chunk_chars)
-    return scored.join(thresholds(scored, trusted.where(held), quantile), "lang", "left").select(
+    limits = _by_language(thresholds(scored, trusted.where(held), quantile))
+    return scored.join(limits, "lang", "left").select(
         "doc_id", "tag", "lang", "n_chars", "perplexity", "limit",
         ((F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))).alias("kept"))
 
