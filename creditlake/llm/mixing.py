@@ -28,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditlake.session import ensure_checkpoint_dir
+
 from .columns import words
 
 BLOCK = 256
@@ -153,10 +155,12 @@ def mix(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_weights(),
         text: str = "text", max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
     """(takes, plan): per document how many of its words the mix takes (repeats
     counted), and per slot the source, block and words taken."""
-    sized = sizes(docs, text)
+    # texts are read once; ids and sizes, and one row per source, serve the rest
+    ensure_checkpoint_dir(docs.sparkSession)
+    sized = sizes(docs, text).checkpoint()
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    target = targets(per_source, weight, max_epochs)
-    needs = slot_needs(target, block)
+    target = targets(per_source, weight, max_epochs).checkpoint()
+    needs = slot_needs(target, block).checkpoint()
     at = schedule(needs).join(needs.select("rank", "source", "source_size", "n_blocks", "goal"), "rank")
     begin = F.expr(f"(turn div n_blocks) * source_size + (turn % n_blocks) * {block}")
     plan = at.select("slot", "rank", "source", F.expr("turn div n_blocks").alias("epoch"),
