@@ -341,9 +341,13 @@ def training_pages(htmls: list[str], seed: int = 7) -> list[tuple[list[Block], l
 
 def sample(pages: DataFrame, n: int = TRAIN_PAGES) -> list[str]:
     """Html of the first ``n`` pages by a hash of page_id (a bounded top-k)."""
-    rows = (pages.where(F.length("html").between(1, TRAIN_CHARS)).select("html", F.xxhash64("page_id", "html").alias("h"))
-            .orderBy("h").limit(n).collect())
-    return [r["html"] for r in rows]
+    hashed = pages.where(F.length("html").between(1, TRAIN_CHARS)).select("html", F.xxhash64("page_id", "html").alias("h"))
+    # every task offers n hashes; only the chosen pages themselves travel
+    first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(n).collect()]
+    if not first:
+        return []
+    rows = hashed.where(F.col("h") <= first[-1]).dropDuplicates(["h"]).collect()
+    return [r["html"] for r in sorted(rows, key=lambda r: r["h"])]
 
 
 def label(w: dict[str, np.ndarray], pages: list[list[Block]]) -> list[np.ndarray]:
