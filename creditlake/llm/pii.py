@@ -1,5 +1,6 @@
 """Personal data spans: regular expressions propose, checksum validators
-confirm, nearby context words adjust the score.
+confirm, nearby context words adjust the score.  A context word counts within
+``CONTEXT_CHARS`` characters before or after a match, whatever else matched there.
 
 All work is inside the row with built-in functions: a text is cut by a pattern
 (``split``) and the matches are taken by the same pattern
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .columns import let
 
 ACCEPT = 0.5
-#: characters before a match in which context words are looked for
+#: characters before a match, and after it, in which context words are looked for
 CONTEXT_CHARS = 40
 
 
@@ -103,7 +104,7 @@ ADDED = (
              r"\b(?:phone|tel|call|fax|mobile|telefon|appel|llame)\b", 0.3),
     Detector("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _has_digit,
              lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.4, 0.0, r"\b(?:ssn|social|security)\b", 0.4),
-    Detector("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{24,128}(?![A-Za-z0-9_/+-])", _has_digit,
+    Detector("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{24,}+", _has_digit,
              lambda m: m.rlike("[A-Za-z]") & ~m.rlike("^[0-9-]+$"), 0.3, 0.0,
              r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|bearer)\b", 0.4),
 )
@@ -120,18 +121,27 @@ def _spans_of(text: Column, no: int, d: Detector) -> Column:
             holds = F.lit(True) if d.check is None else F.coalesce(d.check(x["hit"]), F.lit(False))
             score = F.when(holds, F.lit(d.valid)).otherwise(F.lit(d.invalid))
             if d.context:
-                near = F.lower(F.right(x["gap"], F.lit(CONTEXT_CHARS))).rlike(d.context)
+                before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(CONTEXT_CHARS))
+                near = F.lower(F.concat_ws("\n", before, x["after"])).rlike(d.context)
                 score = score + F.when(near, F.lit(d.boost)).otherwise(F.lit(0.0))
             hit = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"),
                            F.lit(d.kind).alias("kind"), score.alias("score"))
             out = F.when(x["hit"].isNull(), acc["out"]).otherwise(let(hit, lambda h: F.when(
                 h["score"] >= ACCEPT, F.concat(acc["out"], F.array(h))).otherwise(acc["out"])))
-            return F.struct(end.cast("long").alias("pos"), out.alias("out"))
-        zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
+            tail = F.right(F.concat(acc["tail"], x["gap"], F.coalesce(x["hit"], F.lit(""))), F.lit(CONTEXT_CHARS)) \
+                if d.context else F.lit("")
+            return F.struct(end.cast("long").alias("pos"), tail.alias("tail"), out.alias("out"))
+        zero = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("tail"),
+                        F.array().cast(f"array<{SPAN}>").alias("out"))
         return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
-    pieces = F.zip_with(F.split(text, d.pattern, -1), F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)),
-                        lambda g, h: F.struct(F.coalesce(g, F.lit("")).alias("gap"), h.alias("hit")))
+    hits = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0))
+    # a lookahead takes what follows each match without changing the matches
+    after = F.regexp_extract_all(text, F.lit(d.pattern + f"(?=((?s:.{{0,{CONTEXT_CHARS}}})))"), F.lit(1)) \
+        if d.context else F.transform(hits, lambda h: F.lit(""))
+    found = F.zip_with(hits, after, lambda h, a: F.struct(h.alias("hit"), a.alias("after")))
+    pieces = F.zip_with(F.split(text, d.pattern, -1), found, lambda g, h: F.struct(
+        F.coalesce(g, F.lit("")).alias("gap"), h["hit"].alias("hit"), h["after"].alias("after")))
     return F.when(d.hint(text), fold(pieces)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 

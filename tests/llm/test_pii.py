@@ -88,3 +88,31 @@ def test_edge_table(edge_docs, spark):
     out = pii.find(edge_docs)
     assert out.count() == edge_docs.count() and set(edge_docs.columns) < set(out.columns)
     assert pii.find(edge_docs.limit(0)).count() == 0
+
+
+def _context_brute(text):
+    """Added kinds with a context word within the window of the whole text."""
+    out = []
+    for no, d in enumerate(pii.DETECTORS):
+        if d.kind in ("local_phone", "national_id", "secret"):
+            for m in re.finditer(d.pattern, text):
+                a, b = max(m.start() - pii.CONTEXT_CHARS, 0), m.end() + pii.CONTEXT_CHARS
+                if re.search(d.context, (text[a:m.start()] + "\n" + text[m.end():b]).lower()):
+                    out.append((m.start(), no, d.kind, m.end()))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def test_context_window_is_of_the_whole_text(spark):
+    texts = ["ssn 123-45-6789 ok 123-45-6789", "tel: 555-123-4567, 555-987-6543", "123-45-6789 (SSN)",
+             "ssn 000-12-3456, 123-45-6789", "token " + "a1" * 100, "ssn " + "x" * 37 + " 123-45-6789",
+             "123-45-6789 " + "\U0001F600" * 35 + " ssn", "123-45-6789 " + "\U0001F600" * 36 + " ssn",
+             "ssn\n123-45-6789 " * 30, "555-123-4567\n(phone) 555-987-6543"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r["all"] for r in pii.find(df).select("doc_id", pii.written(F.col("pii")).alias("all")).collect()}
+    assert got[0] == "national_id:4:15,national_id:19:30"
+    assert got[1] == "local_phone:5:17,local_phone:19:31"
+    assert got[2] == "national_id:0:11" and got[4] == "secret:6:206"
+    for i, t in enumerate(texts):
+        if i != 3:
+            assert got[i] == _context_brute(t), t
+    assert got[3] == "national_id:17:28"
