@@ -2,7 +2,7 @@
 
 Documents are put in ascending doc_id order, encoded, and written as shards.
 A shard replaces frequent pairs of neighbouring ids by new symbols, again and
-again; it stores the rules, how many ids each rule expands to, and the rest
+again, until no pair is frequent; it stores the rules, how many ids each rule expands to, and the rest
 sequence, so any document of a shard is decoded from the symbols that cover it.
 
 File format (Parquet, one row per shard; all numbers little endian):
@@ -39,10 +39,11 @@ from .piece_bpe import _Memo
 WORDS = 300_000
 #: ids of a shard: it ends with the document that reaches this many
 SHARD_IDS = 1 << 21
-ROUNDS = 3
-RULES_PER_ROUND = 4096
-#: a pair must occur this often in the shard to become a rule
-MIN_COUNT = 32
+#: rules made at once; rounds go on until no pair occurs ``MIN_COUNT`` times
+RULES_PER_ROUND = 16384
+#: a pair must occur this often in the shard to become a rule: from here on the
+#: rule's 12 bytes take less room than the 4 bytes that each place saves
+MIN_COUNT = 4
 FORMAT = ("part int, shard int, n_docs int, n_ids long, doc_ids binary, lengths binary, "
           "rules binary, expansions binary, symbols binary, first long")
 
@@ -120,36 +121,52 @@ def _frequent(code: np.ndarray, most: int, least: int) -> np.ndarray:
     return np.sort(code[begin[often]])
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND,
+def compress(ids: np.ndarray, rounds: int | None = None, per_round: int = RULES_PER_ROUND,
              least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(symbols, rules, expansions, first) of a sequence of ids."""
+    """(symbols, rules, expansions, first) of a sequence of ids, with rules
+    until no pair is frequent or for so many ``rounds``."""
     seq = np.ascontiguousarray(ids, np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 0
     rules, size = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    # a pair is one number, of 32 bits where all symbols have 16
-    kind, half = (np.uint32, 16) if first + rounds * per_round <= 1 << 16 else (np.uint64, 32)
-    mix, shift = kind(0x9E3779B97F4A7C15 >> 64 - 2 * half | 1), kind(2 * half - 20)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    made_in = 0
+    while len(seq) > 1 and made_in != rounds:
+        made_in += 1
+        # a pair is one number, of 32 bits while all symbols have 16
+        kind, half = (np.uint32, 16) if first + len(rules) <= 1 << 16 else (np.uint64, 32)
+        mix, shift = kind(0x9E3779B97F4A7C15 >> 64 - 2 * half | 1), kind(2 * half - len(seq).bit_length())
         wide = seq.astype(kind)
         code = wide[:-1] << kind(half) | wide[1:]
-        pairs = _frequent(code, per_round, least)
+        # counts of hashes throw out most places before the exact count
+        with np.errstate(over="ignore"):
+            slot = ((code * mix) >> shift).astype(np.int64)
+        at = np.flatnonzero((np.bincount(slot) >= least)[slot])
+        code = code[at]
+        pairs = _frequent(code, per_round, least) if len(at) else code
         if not len(pairs):
             break
-        # a small table of hashes throws out most places before the exact look-up
-        table = np.zeros(1 << 20, bool)
-        with np.errstate(over="ignore"):
-            table[(pairs * mix) >> shift] = True
-            at = np.flatnonzero(table[(code * mix) >> shift])
-        rule = np.searchsorted(pairs, code[at])
+        rule = np.searchsorted(pairs, code)
         rule[rule == len(pairs)] = 0
-        hit = pairs[rule] == code[at]
+        hit = pairs[rule] == code
         at, rule = at[hit], rule[hit]
-        # of neighbouring places that match, every second one is replaced
-        run = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) > 1)), np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, rule = at[take], rule[take]
+        # of overlapping places the pair that occurs (twice) more often is replaced, else one
+        # by a hash, so that copies of a passage are cut alike; of equal pairs every second one
+        order = np.arange(len(pairs), dtype=np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+        order |= np.frexp(np.bincount(rule, minlength=len(pairs)))[1].astype(np.uint64) << np.uint64(32)
+        first_of = np.argsort(np.argsort(order)).astype(np.int32)[rule]
+        free, taken = np.arange(len(at)), []
+        while len(free):
+            joined, more = np.diff(at[free]) == 1, np.sign(np.diff(first_of[free]))
+            run = np.maximum.accumulate(np.where(np.concatenate(([True], ~joined | (more != 0))), np.arange(len(free)), 0))
+            take = (np.arange(len(free)) - run) % 2 == 0
+            take[:-1] &= ~(joined & (more > 0))
+            take[1:] &= ~(joined & (more < 0))
+            taken.append(free[take])
+            over = take.copy()                                      # places that a replaced one overlaps
+            over[:-1] |= joined & take[1:]
+            over[1:] |= joined & take[:-1]
+            free = free[~over]
+        taken = np.sort(np.concatenate(taken))
+        at, rule = at[taken], rule[taken]
         used = np.zeros(len(pairs), bool)
         used[rule] = True
         number = (first + len(rules) - 1 + np.cumsum(used)).astype(np.uint32)

@@ -47,6 +47,25 @@ def test_grammar_round_trip():
     assert len(symbols) + 2 * len(rules) < 100_000 / 10
 
 
+def test_rounds_go_on_until_no_pair_is_frequent():
+    rnd = np.random.default_rng(1)
+    passage = rnd.integers(0, 50257, 1024)
+    ids = np.concatenate([np.concatenate([passage, rnd.integers(0, 50257, 40)]) for _ in range(100)]).astype(np.uint32)
+    symbols, rules, size, first = tf.compress(ids)
+    assert np.array_equal(tf.expand(symbols, rules, first), ids)
+    assert size.max() >= 512 and len(symbols) + 3 * len(rules) < len(ids) / 10
+    pairs = np.unique(symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], return_counts=True)[1]
+    assert pairs.max() < tf.MIN_COUNT
+    # more symbols than 16 bits hold
+    ids = np.tile(rnd.permutation(50000).astype(np.uint32), 5)
+    symbols, rules, size, first = tf.compress(ids)
+    assert first + len(rules) > 1 << 16 and np.array_equal(tf.expand(symbols, rules, first), ids)
+    assert len(symbols) < 100
+    ids = np.zeros(4097, np.uint32)
+    symbols, rules, size, first = tf.compress(ids)
+    assert np.array_equal(tf.expand(symbols, rules, first), ids)
+
+
 def want(docs, lib):
     out, start = [], 0
     for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
