@@ -39,3 +39,31 @@ def test_alias(spark):
     forms = ["http://www.x.com/a/?utm_source=f&b=2&a=1#t", "https://x.com/a.html?a=1&b=2", "https://m.x.com:443/a/index.html?ref=1&a=1&b=2"]
     df = spark.createDataFrame([(f,) for f in forms], "u string").select(uf.alias(F.col("u")).alias("a"))
     assert {r.a for r in df.collect()} == {"x.com/a?a=1&b=2"}
+
+
+def test_targets_that_are_no_pages(spark):
+    pages = [
+        (1, "http://a.example.org/1", REFRESH.format("http://x.foo.net/")),         # blocked by a target that was not crawled
+        (2, "http://a.example.org/2", CANON.format("http://y.foo.net/2")),          # as above, but another target is allowed
+        (3, "http://b.example.org/3", CANON.format("http://y.foo.net/2")),
+        (4, "http://b.example.org/3", REFRESH.format("http://z.example.net/en/1")),
+        (5, "http://c.example.com/a/b/c.html", CANON.format("../../de/5")),         # dots, query-only and references
+        (6, "http://c.example.com/a/6", CANON.format("./x/./../../de/6?q=1#f")),
+        (7, "http://d.example.org/p", CANON.format("?a=1&amp;b=2")),
+        (8, "http://d.example.org/p?b=2&a=1", REFRESH.format("http&#58;//w.foo&period;net/&#x38;")),
+        (9, "http://e.example.org/9", REFRESH.format("/go?u=http://x.foo.net/")),   # a url inside a parameter is no target
+        (10, "http://f.example.org/1?a=1&copy=2", None), (11, "http://f.example.org/11", CANON.format("/1?a=1&copy=2")),
+        (12, "http://f.example.org/1?a=1&copy=2", REFRESH.format("http://x.foo.net/12")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in uf.judge(df).collect()}
+    blocked = {1, 5, 6, 7, 8, 10, 11, 12}
+    assert got == {i: (None, "block" if i in blocked else "allow") for i, _, _ in pages}
+
+
+def test_decoded_as_html_does(spark):
+    import html
+    values = ["a&amp;b", "&#38;&#x26;&#X1F600;", "&eacute;&unknown;", "x&amp", "&lt;&amp;lt;", "&", "", "&#0;", "&#99999999;"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", uf.decoded(F.col("v")).alias("d"))
+    for r in df.collect():
+        assert r.d == html.unescape(r.v), r
