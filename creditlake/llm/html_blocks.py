@@ -3,7 +3,9 @@ of its first character and the share of it inside links.
 
 A forgiving reader for raw pages: comments, scripts, styles and other raw
 elements vanish, unclosed elements end where a block or an ancestor ends, a
-missing end tag or a cut page is no error.  Character references are decoded
+missing end tag or a cut page is no error; an empty-element tag such as
+``<svg/>`` has no content (of scripts and other text elements in XHTML pages
+only).  Character references are decoded
 and white space inside a block is one space.
 """
 
@@ -29,7 +31,12 @@ TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?:{RAW})\b[^>]*>.*?(?:</(?:{RAW})\s*>|\Z)|<[!?][^>]*>?"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>?""",
     re.S | re.I)
-RAW_OPEN = re.compile(rf"<({RAW})\b", re.I)
+RAW_OPEN = re.compile(rf"""<({RAW})\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+>)?""", re.I)
+#: an unquoted value takes the slash
+EMPTY = re.compile(r"""(?<!=)/\s*>\Z""")
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]+>\Z""")
+EMPTY_RAW = frozenset("svg math object iframe".split())
+XHTML = re.compile(r"""<\?xml\b|<!doctype\b[^>]*\bxhtml\b|<html\b[^>]*\bxmlns\s*=\s*["']?http://www\.w3\.org/1999/xhtml""", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -44,6 +51,9 @@ def _raw_end(html: str, m: re.Match) -> int | None:
     name = RAW_OPEN.match(html, m.start())
     if not name:
         return None
+    rest = name[2] or ""
+    if EMPTY.search(rest) and not UNQUOTED.search(rest) and (name[1].lower() in EMPTY_RAW or XHTML.search(html, 0, 2000)):
+        return name.end()
     end = re.compile(rf"</{name[1]}\s*>", re.I).search(html, m.start())
     return end.end() if end else len(html)
 

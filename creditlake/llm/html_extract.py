@@ -61,16 +61,18 @@ def _bucket(feature: str) -> int:
 
 
 def path_features(path: tuple[str, ...]) -> list[int]:
-    """Every element, every class word, and each element under its parent."""
+    """Every element, every class word, and each element under its parent, over
+    the whole path.  Each counts once, so that unclosed tags that pile up don't
+    outweigh the elements around them."""
     out, above = [], "^"
-    for e in path[-24:]:
+    for e in path:
         tag, *words = e.split(" ")
         out.append(_bucket(f"t:{tag}"))
         out += [_bucket(f"c:{w}") for w in words]
         out.append(_bucket(f"p:{above}>{tag}"))
         above = tag
     out.append(_bucket(f"last:{above}"))
-    return out
+    return list(dict.fromkeys(out))
 
 
 def word_features(text: str) -> list[int]:

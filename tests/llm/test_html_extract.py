@@ -91,3 +91,21 @@ def test_edges(spark):
     assert len(got) == len(data) and got[0].text == got[1].text == got[2].text == ""
     assert hx.extract(df.limit(0), w).count() == 0
     assert hx.extract(df.limit(0)).count() == 0
+
+
+def test_far_elements_are_seen():
+    deep = ("html", "body", "nav menu") + ("div",) * 40
+    assert hx.path_features(deep)[:8] == hx.path_features(deep[:5])[:8]
+    piled = hx.path_features(("html", "body", "footer") + ("font", "b") * 500)
+    assert set(hx.path_features(("html", "body", "footer"))[:-1]) <= set(piled) and len(piled) < 20
+
+
+def test_empty_raw_tags_swallow_nothing():
+    def text(page):
+        return [b.text for b in blocks(page)]
+    assert text('<p>a</p><svg class="i" /><p>b</p><svg><path/>x</svg><p>c</p>') == ["a", "b", "c"]
+    assert text("<p>a</p><math/><p>b</p><svg hidden/><p>c</p><iframe src='x'/><object data=\"y\" /><p>d</p>") == ["a", "b", "c", "d"]
+    assert text('<p>a</p><svg width=10/>x</svg><iframe src=http://x/>y</iframe><p>b</p>') == ["a", "b"]
+    assert text('<p>a</p><script src="x"/>y</script><p>b</p>') == ["a", "b"]
+    head = '<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml"><head><script src="x"/><title/></head>'
+    assert text(head + "<body><p>a</p></body></html>") == ["a"]
