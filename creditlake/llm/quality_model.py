@@ -45,7 +45,7 @@ HOLD_OUT = 5
 #: share of a language's held-out trusted documents whose perplexity is accepted
 QUANTILE = 0.995
 #: added to the quantile of the log perplexity
-MARGIN = 0.1
+MARGIN = 0.0
 #: log perplexities are ranked in bins of this width
 BIN = 0.001
 PAD = "\n" * (ORDER - 1)

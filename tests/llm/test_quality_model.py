@@ -136,3 +136,9 @@ def test_held_out_accuracy(spark):
     r = qm.classify(docs, labels.where("doc_id % 2 = 1")).join(held, "doc_id")
     good, bad = (r.where(f"quality = {q}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for q in (1, 0))
     assert good >= 0.985 and bad <= 0.3
+
+
+def test_limit_is_the_quantile_itself(spark):
+    scored = spark.createDataFrame([(i, "en", float(10 + i)) for i in range(1000)], "doc_id long, lang string, perplexity double")
+    limit = qm.thresholds(scored, scored.select("doc_id")).first()["limit"]
+    assert 1004 <= limit <= 1004 * math.exp(qm.BIN) * (1 + 1e-9)
