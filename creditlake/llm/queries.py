@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, piece_bpe, pii, quality_model, quality_rules, simhash, syncmers, token_files, url_filter
+from . import (html_extract, mixing, piece_bpe, pii, quality_model, quality_rules, simhash, syncmers, token_files, url_filter,
+               warc)
 from .columns import documents, pages
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -161,3 +162,25 @@ def op3_quality_model(spark, sf_dir):
 def op1_html_extract(spark, sf_dir):
     found = html_extract.extract(pages(spark, sf_dir))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_WARC_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+d AS (
+  SELECT page_id, sha, octet_length(encode(html)) AS payload_bytes,
+         row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS nr,
+         first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS first_id,
+         translate(array_to_string([to_base(('0x' || substr(sha, 5 * k + 1, 5))::BIGINT, 32, 4) FOR k IN range(8)], ''),
+                   '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN nr = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nr > 1 THEN first_id END AS refers_to
+FROM d
+"""
+
+
+@register("op11_warc_transactions", _WARC_SQL)
+def op11_warc_transactions(spark, sf_dir):
+    return warc.write_and_read(pages(spark, sf_dir)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
