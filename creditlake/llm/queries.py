@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (html_extract, mixing, piece_bpe, pii, quality_model, quality_rules, simhash, syncmers, token_files, url_filter,
-               warc)
+from . import (collocations, html_extract, mixing, piece_bpe, pii, prefix_trie, quality_model, quality_rules, simhash,
+               syncmers, token_files, url_filter, warc)
 from .columns import documents, pages
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -184,3 +184,84 @@ FROM d
 def op11_warc_transactions(spark, sf_dir):
     return warc.write_and_read(pages(spark, sf_dir)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_TRIE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+step AS (
+  SELECT c, c::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS v FROM (SELECT DISTINCT c FROM t)
+  UNION ALL
+  SELECT c, s, i + 1, list_reduce(list_prepend(xor(v, ascii(s[i + 1])::BIGINT), [0::BIGINT FOR k IN range(8)]),
+                                  lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)
+  FROM step WHERE i < length(s)),
+h AS (SELECT c, xor(v, 4294967295::BIGINT) % 6 AS h, c - c % 100 AS base FROM step WHERE i = length(s)),
+k AS (SELECT h.c, h.h, h.base, (SELECT count(*) FROM t WHERE t.c = h.base AND t.pos <= h.h) AS k FROM h),
+b AS (
+  SELECT k.c, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.base AND t.pos <= k.h
+  UNION ALL
+  SELECT t.c, t.pos - k.h + k.k, t.role, t.text FROM t JOIN k ON t.c = k.c WHERE t.pos > k.h),
+p AS (
+  SELECT c, pos AS d, length(text) AS len,
+         string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY pos) AS node FROM b
+  UNION ALL SELECT c, 0, 0, '' FROM k),
+q AS (SELECT c, d, len, node, lag(node) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) AS last FROM p),
+n AS (
+  SELECT node, any_value(up) AS up, any_value(d) AS d, min(c) AS c, count(*) AS n_convs, any_value(len) AS len,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = last), '')) AS ends_sha256
+  FROM q GROUP BY node),
+kids AS (SELECT up, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY up),
+pairs AS (
+  SELECT DISTINCT a.node AS top, z.node AS low FROM q a JOIN q z ON a.c = z.c AND z.d >= a.d),
+subs AS (
+  SELECT top, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.len) AS saved
+  FROM pairs JOIN n ON n.node = pairs.low LEFT JOIN kids ON kids.up = pairs.low GROUP BY top)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, u.c AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, subs.n_leaves::BIGINT AS n_leaves, subs.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN subs ON subs.top = n.node LEFT JOIN kids ON kids.up = n.node LEFT JOIN n u ON u.node = n.up
+"""
+
+
+@register("op12_prefix_trie", _TRIE_SQL)
+def op12_prefix_trie(spark, sf_dir):
+    talks = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    convs, turns = prefix_trie.rebuild(prefix_trie.hashed(prefix_trie.turns(talks)))
+    return prefix_trie.with_end_hashes(*prefix_trie.trie(convs, turns)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+_PHRASE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w
+      FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?
+-]')) AS p FROM d)),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, p, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+s AS (SELECT lang, k, p, n, string_split(p, ' ') AS w FROM f WHERE k > 1),
+c AS (SELECT lang, p, n, k, c, array_to_string(w[1:c], ' ') AS a, array_to_string(w[c + 1:k], ' ') AS b
+      FROM (SELECT *, unnest(range(1, k)) AS c FROM s)),
+x AS (
+  SELECT c.lang, c.p, c.n AS a, l.n AS l, r.n AS r, c, ((2000000::HUGEINT * c.n) // (l.n + r.n))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.k = c.c AND l.p = c.a JOIN f r ON r.lang = c.lang AND r.k = c.k - c.c AND r.p = c.b
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, c) = 1),
+o AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS p, max(n) AS n
+  FROM (SELECT lang, w, n, m, unnest(range(1, k - m + 2)) AS i FROM s, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+t AS (SELECT coalesce(lang, 'und') AS lang, sum(len(w)) AS n FROM w GROUP BY 1)
+SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.p)::BIGINT AS rank, x.p AS phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n::BIGINT AS n, score
+FROM x JOIN t ON t.lang = x.lang LEFT JOIN o ON o.lang = x.lang AND o.p = x.p
+WHERE o.n IS NULL OR 100 * o.n < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
+@register("op13_collocations", _PHRASE_SQL)
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(documents(spark, sf_dir)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
