@@ -21,6 +21,9 @@ JOB_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # duplicate keys in a parsed request: the last one wins, like a Python dict
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # rows of whole texts or packed chunks are large: what a Python worker and
+    # its executor hold at once is bounded by bytes, not by the number of rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
