@@ -12,9 +12,10 @@ File format (Parquet, one row per shard; all numbers little endian):
 uint32; rule k makes the symbol ``first + k``), ``expansions`` (uint32, ids per
 rule), ``symbols`` (uint32), ``first`` (the first symbol that is no id).
 
-Defined cases: a null or empty text has the end id only; documents without a
+Defined cases: a null or empty text has the end id only; a very long text is
+encoded whole and ends its shard; documents without a
 doc_id come first; repeated rows are written one after the other; no documents
-give no shards; other columns are not written.
+give no shards; other columns, of any name, are not written.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,10 @@ from pyspark.sql import functions as F
 from creditlake.session import scratch_path
 
 from .columns import shuffle_partitions
-from .piece_bpe import _Memo
+from .units import Memo, Units, slices
 
-#: words remembered per generation by a worker
-WORDS = 300_000
+#: pre-tokens given to the library's model at once
+JOINED = 512
 #: ids of a shard: it ends with the document that reaches this many
 SHARD_IDS = 1 << 21
 #: rules made at once; rounds go on until no pair occurs ``MIN_COUNT`` times
@@ -56,13 +58,20 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in shown else next(others)) for b in range(256))
 
 
+def _word_starts(raw: np.ndarray) -> np.ndarray:
+    """Where a single space stands between two characters that are none: no
+    pre-token goes on over the beginning of such a word."""
+    gap = (raw == 32) | (raw == 10)
+    return (raw[1:-1] == 32) & ~gap[:-2] & ~gap[2:]
+
+
 class ByteBpe:
     """The tokenizers library behind a memory of words.
 
     Its pre-tokens are encoded independently of each other, so each distinct
-    one is encoded once, by the library's model.  Where a text has single
-    spaces and line ends only, each inside words, a pre-token never spans two
-    of the words that spaces part, and these are remembered whole."""
+    one is encoded once, by the library's model, and each distinct word of a
+    slice of texts is put together of pre-tokens once.  Texts with other white
+    space than spaces and line ends are a word of their own."""
 
     ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -73,35 +82,73 @@ class ByteBpe:
         self.lib = Tokenizer.from_file(path)
         if self.lib.normalizer is not None:
             raise ValueError("a tokenizer with a normalizer can't be fed word by word")
-        self.model = self.lib.model
+        self.tokenize = self.lib.model.tokenize
         self.cut = regex.compile(PATTERN)
         self.letters = dict(enumerate(_byte_letters()))
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self._token = _Memo(self._encode_token)
-        self._word = _Memo(self._encode_word, WORDS)
-
-    def _encode_token(self, token: str) -> bytes:
-        spelled = token.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def _encode_run(self, text: str) -> bytes:
-        return b"".join(map(self._token.__getitem__, self.cut.findall(text)))
-
-    def _encode_word(self, word: str) -> bytes:
+        self.odd = [o.encode() for o in self.added]
+        # byte 0xFF is in no text; if no token has its letter beside others, it parts words for good
+        self.mark = self.letters[0xFF]
+        vocabulary = self.lib.get_vocab(with_added_tokens=False)
+        self.mark_id = vocabulary.get(self.mark) if sum(self.mark in t for t in vocabulary) == 1 else None
+        self._token = Memo(self._encode_tokens)
+        self._word = Memo(self._encode_words)
+
+    def _spelled(self, token: str) -> str:
+        # printable ASCII letters stand for themselves
+        if token.isascii() and token.isprintable():
+            return token.replace(" ", self.letters[32])
+        return token.encode().decode("latin-1").translate(self.letters)
+
+    def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
+        """Ids of pre-tokens by the library's model, many in one call."""
+        spelled = list(map(self._spelled, tokens))
+        if self.mark_id is None:
+            return [array("I", [t.id for t in self.tokenize(s)]).tobytes() for s in spelled]
+        out = []
+        for k in range(0, len(spelled), JOINED):
+            ids = array("I", [t.id for t in self.tokenize(self.mark.join(spelled[k:k + JOINED]))])
+            flat = np.frombuffer(ids, np.uint32)
+            at = np.concatenate(([-1], np.flatnonzero(flat == self.mark_id), [len(flat)])).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * i + 4:4 * j] for i, j in zip(at, at[1:])]
+        return out
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by way of their distinct pre-tokens."""
         # a space and letters are one pre-token
-        return self._encode_token(" " + word) if word.isalpha() else self._encode_run(" " + word)
+        cut = {k: self.cut.findall(t) for k, t in enumerate(texts) if not (t[:1] == " " and t[1:].isalpha())}
+        ids = dict.fromkeys(chain((t for k, t in enumerate(texts) if k not in cut), *cut.values()))
+        ids = dict(zip(ids, self._token.all(list(ids))))
+        return [b"".join(map(ids.__getitem__, cut[k])) if k in cut else ids[t] for k, t in enumerate(texts)]
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        return self._cut([w.decode() for w in words])
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids as unsigned 32-bit integers, where each text's begin and the end)."""
+        whole = b"\n".join(texts)
+        odd = any(a in whole for a in self.odd) or self.ODD_SPACE.search(whole.decode())
+        if odd:
+            plain = [not (any(a in t for a in self.odd) or self.ODD_SPACE.search(t.decode())) for t in texts]
+            flats, sizes = [], np.zeros(len(texts), np.int64)
+            for k, (t, ok) in enumerate(zip(texts, plain)):
+                flat = self.encode_all([t])[0] if ok else np.frombuffer(self._encode_odd(t), np.uint32)
+                flats.append(flat)
+                sizes[k] = len(flat)
+            return np.concatenate(flats), np.concatenate(([0], np.cumsum(sizes)))
+        found = Units(texts, _word_starts)
+        return found.joined(self._word.all(found.distinct), np.uint32)
+
+    def _encode_odd(self, text: bytes) -> bytes:
+        t = text.decode()
+        if any(a in t for a in self.added):
+            return array("I", self.lib.encode(t, add_special_tokens=False).ids).tobytes()
+        return self._cut([t])[0]
 
     def encode(self, text: str | None) -> bytes:
-        """The library's ids as unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
-        if (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
-                or self.ODD_SPACE.search(text)):
-            return self._encode_run(text)
-        first, *words = text.split(" ")
-        return self._encode_run(first) + b"".join(map(self._word.__getitem__, words))
+        """The library's ids of a text."""
+        return self.encode_all([(text or "").encode()])[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -109,77 +156,110 @@ def coder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _frequent(code: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent codes of neighbouring pairs, sorted."""
-    code = np.sort(code)
-    begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    count = np.diff(np.append(begin, len(code)))
-    often = np.flatnonzero(count >= least)
-    if len(often) > most:
-        # by count, then code: a full order, so a shard written again is the same
-        often = often[np.lexsort((code[begin[often]], -count[often]))[:most]]
-    return np.sort(code[begin[often]])
+def _taken(at: np.ndarray, rule: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` are replaced, so that none overlaps another:
+    of neighbouring places the one whose rule ranks higher, of equal rules every
+    second one."""
+    free, taken = np.arange(len(at)), []
+    while len(free):
+        joined, more = np.diff(at[free]) == 1, np.sign(np.diff(rank[rule[free]]))
+        run = np.maximum.accumulate(np.where(np.concatenate(([True], ~joined | (more != 0))), np.arange(len(free)), 0))
+        take = (np.arange(len(free)) - run) % 2 == 0
+        take[:-1] &= ~(joined & (more > 0))
+        take[1:] &= ~(joined & (more < 0))
+        taken.append(free[take])
+        over = take.copy()                                          # places that a replaced one overlaps
+        over[:-1] |= joined & take[1:]
+        over[1:] |= joined & take[:-1]
+        free = free[~over]
+    return np.sort(np.concatenate(taken))
+
+
+def _pairs_at(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair at each, pairs, counts) of those places
+    ``at`` whose pair occurs ``least`` times among them; pairs are in order."""
+    code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    bits = max(4, (2 * len(at)).bit_length())
+    slot = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    # counts of slots throw out most places
+    often = np.flatnonzero((np.bincount(slot) >= least)[slot])
+    at, code, slot = at[often], code[often], slot[often]
+    # a slot stands for one of the pairs in it; places of others are sorted
+    own = np.zeros(1 << bits, np.uint64)
+    own[slot] = code
+    odd = own[slot] != code
+    count = np.bincount(slot[~odd], minlength=1 << bits)
+    full = np.flatnonzero(count)
+    strange, strange_at, strange_count = np.unique(code[odd], return_inverse=True, return_counts=True)
+    pairs = np.concatenate([own[full], strange])
+    count = np.concatenate([count[full], strange_count])
+    which = np.empty(len(at), np.int64)
+    place = np.zeros(1 << bits, np.int32)
+    place[full] = np.arange(len(full))
+    which[~odd] = place[slot[~odd]]
+    which[odd] = len(full) + strange_at
+    # number the frequent ones in the order of the pairs
+    keep = np.flatnonzero(count >= least)
+    keep = keep[np.argsort(pairs[keep])]
+    number = np.full(len(pairs), -1, np.int64)
+    number[keep] = np.arange(len(keep))
+    which = number[which]
+    mine = which >= 0
+    return at[mine], which[mine], pairs[keep], count[keep]
 
 
 def compress(ids: np.ndarray, rounds: int | None = None, per_round: int = RULES_PER_ROUND,
              least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, rules, expansions, first) of a sequence of ids, with rules
-    until no pair is frequent or for so many ``rounds``."""
-    seq = np.ascontiguousarray(ids, np.uint32)
+    until no pair is frequent or for so many ``rounds``.
+
+    A pair of symbols that were there before only loses places, so what is
+    infrequent stays so: after the first round only the places beside a
+    replaced pair, and frequent pairs that were not replaced, are counted."""
+    seq = np.array(ids, np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 0
-    rules, size = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    made_in = 0
-    while len(seq) > 1 and made_in != rounds:
+    rules, size = [np.zeros((0, 2), np.uint32)], [np.ones(1, np.uint32)]   # the first size is that of ids
+    known, made_in = first, 0
+    at = np.arange(len(seq) - 1)
+    while len(at) and made_in != rounds:
         made_in += 1
-        # a pair is one number, of 32 bits while all symbols have 16
-        kind, half = (np.uint32, 16) if first + len(rules) <= 1 << 16 else (np.uint64, 32)
-        mix, shift = kind(0x9E3779B97F4A7C15 >> 64 - 2 * half | 1), kind(2 * half - len(seq).bit_length())
-        wide = seq.astype(kind)
-        code = wide[:-1] << kind(half) | wide[1:]
-        # counts of hashes throw out most places before the exact count
-        with np.errstate(over="ignore"):
-            slot = ((code * mix) >> shift).astype(np.int64)
-        at = np.flatnonzero((np.bincount(slot) >= least)[slot])
-        code = code[at]
-        pairs = _frequent(code, per_round, least) if len(at) else code
+        at, which, pairs, count = _pairs_at(seq, at, least)
         if not len(pairs):
             break
-        rule = np.searchsorted(pairs, code)
-        rule[rule == len(pairs)] = 0
-        hit = pairs[rule] == code
-        at, rule = at[hit], rule[hit]
+        # the most frequent pairs; by count, then pair: a full order, so a shard written again is the same
+        chosen = np.zeros(len(pairs), bool)
+        chosen[np.lexsort((pairs, -count))[:per_round] if len(pairs) > per_round else slice(None)] = True
+        mine = chosen[which]
         # of overlapping places the pair that occurs (twice) more often is replaced, else one
-        # by a hash, so that copies of a passage are cut alike; of equal pairs every second one
+        # by a hash, so that copies of a passage are cut alike
         order = np.arange(len(pairs), dtype=np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
-        order |= np.frexp(np.bincount(rule, minlength=len(pairs)))[1].astype(np.uint64) << np.uint64(32)
-        first_of = np.argsort(np.argsort(order)).astype(np.int32)[rule]
-        free, taken = np.arange(len(at)), []
-        while len(free):
-            joined, more = np.diff(at[free]) == 1, np.sign(np.diff(first_of[free]))
-            run = np.maximum.accumulate(np.where(np.concatenate(([True], ~joined | (more != 0))), np.arange(len(free)), 0))
-            take = (np.arange(len(free)) - run) % 2 == 0
-            take[:-1] &= ~(joined & (more > 0))
-            take[1:] &= ~(joined & (more < 0))
-            taken.append(free[take])
-            over = take.copy()                                      # places that a replaced one overlaps
-            over[:-1] |= joined & take[1:]
-            over[1:] |= joined & take[:-1]
-            free = free[~over]
-        taken = np.sort(np.concatenate(taken))
-        at, rule = at[taken], rule[taken]
+        order |= np.frexp(count)[1].astype(np.uint64) << np.uint64(32)
+        rank = np.argsort(np.argsort(order)).astype(np.int32)
+        took = _taken(at[mine], which[mine], rank)
+        spots, rule = at[mine][took], which[mine][took]
         used = np.zeros(len(pairs), bool)
         used[rule] = True
-        number = (first + len(rules) - 1 + np.cumsum(used)).astype(np.uint32)
-        made = np.stack([pairs[used] >> kind(half), pairs[used] & kind((1 << half) - 1)], axis=1).astype(np.uint32)
+        number = (known - 1 + np.cumsum(used)).astype(np.uint32)
+        made = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        gone = np.zeros(len(seq) + 1, bool)                          # symbols that are in a replaced pair
+        gone[spots] = gone[spots + 1] = True
+        left = at[~gone[at] & ~gone[at + 1]]                         # frequent pairs that are as they were
         stays = np.ones(len(seq), bool)
-        stays[at + 1] = False
-        seq = seq.copy()
-        seq[at] = number[rule]
+        stays[spots + 1] = False
+        seq[spots] = number[rule]
+        place = np.cumsum(stays) - 1
         seq = seq[stays]
-        known = np.concatenate([size, np.ones(1, np.uint32)])       # the last entry is for ids
-        lengths = known[np.where(made < first, len(size), made.astype(np.int64) - first)].sum(axis=1)
-        rules, size = np.concatenate([rules, made]), np.concatenate([size, lengths.astype(np.uint32)])
-    return seq, rules, size, first
+        new = place[spots]
+        at = np.concatenate([place[left], new - 1, new])
+        flag = np.zeros(len(seq), bool)
+        flag[at[at >= 0]] = True
+        at = np.flatnonzero(flag[:-1])
+        widths = np.concatenate(size)
+        lengths = widths[np.where(made < first, 0, made.astype(np.int64) - first + 1)].sum(axis=1)
+        rules.append(made)
+        size.append(lengths.astype(np.uint32))
+        known += len(made)
+    return seq, np.concatenate(rules), np.concatenate(size)[1:], first
 
 
 def _expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,28 +316,39 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str
 
     def run(batches):
         lib, part, shard = coder(tokenizer), TaskContext.get().partitionId(), 0
-        names, lengths, ids = [], array("q"), array("I")
+        names, lengths, ids, held = [], [], [], 0
+
+        def row():
+            return _shard_row(part, shard, names, np.array(lengths, np.int64), np.concatenate(ids))
         for b in batches:
-            for name, t in zip(b.column(0), b.column(1)):
-                before = len(ids)
-                ids.frombytes(lib.encode(t.as_py()))
-                ids.append(end_id)
-                names.append(name.as_py())
-                lengths.append(len(ids) - before)
-                if len(ids) >= shard_ids:
-                    yield _shard_row(part, shard, names, lengths, ids)
-                    shard, names, lengths, ids = shard + 1, [], array("q"), array("I")
+            doc_ids = b.column(0).to_pylist()
+            for at, texts in slices(b.column(1)):
+                flat, begin = lib.encode_all(texts)
+                flat = np.insert(flat, begin[1:], np.uint32(end_id))
+                begin = begin + np.arange(len(begin))
+                done = 0
+                while done < len(texts):
+                    # a shard ends with the document that reaches its size
+                    stop = min(len(texts), int(np.searchsorted(begin, begin[done] + shard_ids - held)))
+                    names += doc_ids[at + done:at + stop]
+                    lengths += np.diff(begin[done:stop + 1]).tolist()
+                    ids.append(flat[begin[done]:begin[stop]])
+                    held += int(begin[stop] - begin[done])
+                    done = stop
+                    if held >= shard_ids:
+                        yield row()
+                        shard, names, lengths, ids, held = shard + 1, [], [], [], 0
         if names:
-            yield _shard_row(part, shard, names, lengths, ids)
+            yield row()
     dealt.mapInArrow(run, FORMAT).write.parquet(path)
 
 
-def _shard_row(part: int, shard: int, names: list, lengths: array, ids: array) -> pa.RecordBatch:
-    symbols, rules, size, first = compress(np.frombuffer(ids, np.uint32))
+def _shard_row(part: int, shard: int, names: list, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    symbols, rules, size, first = compress(ids)
     known = np.array([n is not None for n in names], np.uint8)
     number = np.array([n or 0 for n in names], "<i8")
     row = {"part": part, "shard": shard, "n_docs": len(names), "n_ids": len(ids),
-           "doc_ids": number.tobytes() + known.tobytes(), "lengths": np.asarray(lengths, "<i8").tobytes(),
+           "doc_ids": number.tobytes() + known.tobytes(), "lengths": lengths.astype("<i8").tobytes(),
            "rules": rules.astype("<u4").tobytes(), "expansions": size.astype("<u4").tobytes(),
            "symbols": symbols.astype("<u4").tobytes(), "first": first}
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5 + [pa.int64()]

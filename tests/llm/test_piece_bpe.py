@@ -52,7 +52,42 @@ def test_any_ids_decode(sp, bpe):
 
 def test_merge_is_the_definition(sp, bpe):
     for t in ("▁hello", "▁unbelievable", "▁the", "ing", "ationally"):
-        assert bpe.merge(t) == bpe.segment(t)
+        assert bpe.merge(t) == [bpe.pieces[i] for i in bpe.segment(t)]
+
+
+def test_compatible_is_merging_again(bpe):
+    """Undoing merges at the seam gives what merging the two pieces gives."""
+    rnd = random.Random(4)
+    pieces = list(bpe.rank)
+    ends = {}
+    for p in pieces:
+        ends.setdefault(p[0], []).append(p)
+    tried = 0
+    for _ in range(6000):
+        a = rnd.choice(pieces)
+        b = rnd.choice(ends[rnd.choice(pieces)[rnd.randrange(1) - 1]] if rnd.random() < 0.5 else pieces) if a[-1] not in ends or rnd.random() < 0.5 \
+            else rnd.choice(ends[a[-1]])
+        if bpe.merge(a) == [a] and bpe.merge(b) == [b]:
+            tried += 1
+            assert bpe._compatible(bpe.id_of[a], bpe.id_of[b]) == (bpe.merge(a + b) == [a, b]), (a, b)
+    assert tried > 3000
+    assert all((bpe.merge(p) == [p]) == (len(p) == 1 or bpe.made(bpe.id_of[p]) is not None) for p in rnd.sample(pieces, 2000))
+
+
+def test_slices(sp, bpe, monkeypatch):
+    """Texts are cut into slices and units alike at any size of a slice."""
+    import pyarrow as pa
+    from creditlake.llm import units
+    texts = [None, "", " ", "a b", "  x  y ", "▁ odd▁mark ", "long " * 500, "a\nb c", "é è"]
+    for most in (1, 50, 1 << 21):
+        monkeypatch.setattr(units, "SLICE_BYTES", most)
+        ids = []
+        for _, run in units.slices(pa.array(texts, pa.string())):
+            found, values = bpe.units(run)
+            flat, end = found.joined(values, "i4")
+            ids += [flat[i:j].tolist() for i, j in zip(end[:-1], end[1:])]
+            assert [t[1:].decode() for t in found.texts(*bpe.unit_texts(values))] == [sp.decode(x) for x in ids[-len(run):]]
+        assert ids == [sp.encode(t or "") for t in texts]
 
 
 def test_query(spark, sp):
