@@ -3,49 +3,63 @@ by Toivonen's method.
 
 *Chunks.*  One scan lower-cases A-Z, cuts texts into pieces and words and stores
 them as chunks of one language: the distinct words with their counts, and the
-text as numbers of these.  All later passes read the chunks.
+text as numbers of these.  All later passes read the chunks.  Words are counted
+exactly from the chunks' own counts.
 
-*Sample.*  An eighth of the documents (by a hash), mined level by level with a
-lowered threshold, proposes phrases.
+*Sample.*  A quarter of the documents (by a hash), mined level by level with a
+lowered threshold, proposes phrases of the frequent words.
 
-*Full pass.*  Counts exactly, over all chunks, every word and every phrase whose
-two parts (without its last word, without its first) are proposed: these are the
-proposed phrases and their negative border.  Phrases that the sample missed and
-that turn out frequent are border failures: they join the proposals, and a
-further pass counts the phrases that this makes possible, until a pass finds no
-failure.  A frequent phrase has frequent parts, so none is missed then.
+*Full pass.*  Counts, over all chunks, every phrase whose two parts (without its
+last word, without its first) are proposed: these are the proposed phrases and
+their negative border.  Phrases that the sample missed and that turn out
+frequent are border failures: they join the proposals, and a further pass counts
+the phrases that this makes possible, until a pass finds no failure.  A frequent
+phrase has frequent parts, so none is missed then.
 
 *Membership.*  The proposals are known to the tasks as one bitmap of
 ``FILTER_BITS`` bits at any size of the input.  Two phrases may share a bit; then
-a phrase too many is counted, exactly, and dropped by its count.  A phrase is
-counted in the first pass whose bitmap has both of its parts, so never twice.
+a phrase too many is counted.  A phrase is counted in the first pass whose
+bitmap has both of its parts, so never twice.
+
+*Exact counts.*  The passes add up hashes of phrases, where they are found and
+then over all tasks; hashes travel sorted, as packed differences, in blocks by
+range, with a number of bits and of ranges that grow with the corpus.  A shared
+hash can only raise a sum, so what stays below the threshold is infrequent for
+certain; the few others are counted a last time by their words.
 
 A word is a 64-bit hash (of its language and itself) until the end, a phrase a
-tuple of those; phrases are summed where they are found before they are dealt.
+tuple of those.
 
 Defined cases: a null text is empty; a null language is ``und``; empty and very
 long texts are read whole (a piece is never cut); repeated rows count each time;
 equal scores are ordered by count, then phrase; an empty table has no phrase;
-other columns are not read.
+other columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditlake.session import ensure_checkpoint_dir, scratch_path
 
+from .columns import LARGE_ROWS
+
 #: bytes of text of a chunk, if its pieces are not longer
 CHUNK = 1 << 22
 #: one document in so many is sampled; the sample's threshold is lowered to
 #: this share of what it should hold
-SAMPLE, LOWERED = 8, 0.5
+SAMPLE, LOWERED = 4, 0.5
 #: bits of the bitmap of proposals (8 MB)
 FILTER_BITS = 1 << 26
 MOST_WORDS = 4
+#: rows per Arrow batch that a pass returns
+OUT_ROWS = 1 << 16
+#: hashes that a task holds before it packs them, and about as many as a range has
+BLOCK_KEYS = 1 << 20
 #: lower-cases A-Z, makes ends of pieces 0xFF (no byte of UTF-8) and tabs spaces
 _BREAK = b"\xff"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
@@ -75,8 +89,9 @@ def _chunk(lang: str, sampled: bool, data: bytes) -> pa.RecordBatch | None:
         counts, words = counts[:-1], words[:-1]
     if not words:
         return None
-    seed = lang.encode("utf-8", "surrogatepass") + b"\0"
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(seed + w) for w in words), np.uint64, len(words))
+    # as F.xxhash64("lang", "word") has it
+    seed, digest = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42), xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
     row = [lang, sampled, [w.decode() for w in words], hashes.tobytes(), counts.astype(np.int64).tobytes(), codes.tobytes()]
     kinds = [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)],
@@ -112,7 +127,7 @@ def chunks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         for key in list(held):
             yield from flush(key)
     path = scratch_path(spark, "phrase_chunks")
-    rows.mapInArrow(run, CHUNKS).write.parquet(path)
+    rows.mapInArrow(run, CHUNKS).write.options(**LARGE_ROWS).parquet(path)
     return spark.read.schema(CHUNKS).parquet(path)
 
 
@@ -120,14 +135,12 @@ def word_counts(chunked: DataFrame) -> DataFrame:
     """lang, word, w (hash) and n of every word."""
     def run(batches):
         for b in batches:
-            for name, words, hashes, counts in zip(*b.columns):
+            for name, words, counts in zip(*b.columns):
                 words = words.values
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([name.as_py()] * len(words), pa.string()), words,
-                    pa.array(np.frombuffer(hashes.as_buffer(), np.int64)), pa.array(np.frombuffer(counts.as_buffer(), np.int64))],
-                    names=["lang", "word", "w", "n"])
-    found = chunked.select("lang", "words", "hashes", "counts").mapInArrow(run, "lang string, word string, w long, n long")
-    return found.groupBy("lang", "word", "w").agg(F.sum("n").alias("n"))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(words), pa.string()), words,
+                                                  pa.array(np.frombuffer(counts.as_buffer(), np.int64))], names=["lang", "word", "n"])
+    found = chunked.select("lang", "words", "counts").mapInArrow(run, "lang string, word string, n long")
+    return found.groupBy("lang", "word").agg(F.sum("n").alias("n")).select("lang", "word", F.xxhash64("lang", "word").alias("w"), "n")
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -139,38 +152,6 @@ def _join(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-class Proposals:
-    """A bitmap of hashes of phrases, sent to the executors."""
-
-    def __init__(self, spark: SparkSession, bits: np.ndarray):
-        self.bits, self.sent = bits, spark.sparkContext.broadcast(bits.tobytes())
-
-    @classmethod
-    def none(cls, spark: SparkSession) -> Proposals:
-        return cls(spark, np.zeros(FILTER_BITS // 64, np.uint64))
-
-    def plus(self, phrases: DataFrame) -> Proposals:
-        """With the phrases (columns w1 ..; null after the last word) added."""
-        shift = _shift(64 * len(self.bits))
-
-        def run(batches):
-            for b in batches:
-                w = [c.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns]
-                known = [c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns]
-                key = w[0]
-                for k in range(1, len(w)):
-                    key = np.where(known[k], _join(key, w[k]), key)
-                slot = key >> shift
-                yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)),
-                                                  pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["at", "bit"])
-        # at most one row for each 64 bits of the map reaches the driver
-        rows = phrases.select(*WORDS[:3]).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit"))
-        found = rows.toArrow()
-        bits = self.bits.copy()
-        bits[found.column("at").to_numpy()] |= found.column("bit").to_numpy().view(np.uint64)
-        return Proposals(phrases.sparkSession, bits)
-
-
 def _shift(bits: int) -> np.uint64:
     """How far a hash is shifted to be a place in a map of so many bits."""
     return np.uint64(65 - bits.bit_length())
@@ -181,87 +162,175 @@ def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _counted(hashes: np.ndarray, codes: np.ndarray, new: np.ndarray, old: np.ndarray | None, orders: tuple[int, ...]):
-    """(w1 .. w4, n) of the phrases of a chunk whose two parts are both in
-    ``new`` but not both in ``old``."""
+class Proposals:
+    """A bitmap of hashes of phrases, sent to the executors."""
+
+    def __init__(self, spark: SparkSession, bits: np.ndarray | None = None):
+        self.spark, self.bits = spark, np.zeros(FILTER_BITS // 64, np.uint64) if bits is None else bits
+        self.sent = spark.sparkContext.broadcast(self.bits.tobytes())
+
+    def plus(self, keys: DataFrame, key: str = "key", width: int = 64) -> Proposals:
+        """With the hashes in a column added, of which the first ``width`` bits are given."""
+        slot = F.shiftrightunsigned(F.col(key), int(_shift(64 * len(self.bits))) - 64 + width)
+        bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+        # at most one row for each 64 bits of the map reaches the driver
+        found = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bit")).toArrow()
+        bits = self.bits.copy()
+        bits[found.column("at").to_numpy()] |= found.column("bit").to_numpy().view(np.uint64)
+        return Proposals(self.spark, bits)
+
+
+def _phrases(hashes: np.ndarray, codes: np.ndarray, new: np.ndarray, old: np.ndarray | None):
+    """(order, places, hashes) of the phrases of a chunk whose two parts are
+    both in ``new`` but not both in ``old``: orders 2, 3 .. in turn."""
     at = np.flatnonzero(codes >= 0)                               # places where a phrase of the order before begins
-    table = np.append(hashes, np.uint64(0))
-    key = table[codes[at]]
+    key = hashes[codes[at]]
     in_new = _has(new, hashes)[codes[at]]
     in_old = _has(old, hashes)[codes[at]] if old is not None else np.zeros(len(at), bool)
-    for order in range(2, max(orders) + 1):
+    for order in range(2, MOST_WORDS + 1):
         # a phrase begins where two of the order before, both proposed, begin at neighbouring places
-        pair = np.flatnonzero((at[1:] == at[:-1] + 1) & in_new[1:] & in_new[:-1]) if len(at) else at
-        last = codes[at[pair] + order - 1]
+        pair = np.flatnonzero((at[1:] == at[:-1] + 1) & in_new[1:] & in_new[:-1])
         fresh = ~(in_old[pair] & in_old[pair + 1])
-        if order == 2:
-            full = codes[at[pair]].astype(np.int64) * len(hashes) + last
-            if 2 in orders:
-                got, n = np.unique(full[fresh], return_counts=True)
-                yield [hashes[got // len(hashes)], hashes[got % len(hashes)]], n
-        key, at = _join(key[pair], table[last]), at[pair]
-        if order > 2 and order in orders:
-            _, where, n = np.unique(key[fresh], return_index=True, return_counts=True)
-            begin = at[fresh][where]
-            yield [table[codes[begin + k]] for k in range(order)], n
-        if order < max(orders):
+        at = at[pair]
+        key = _join(key[pair], hashes[codes[at + (order - 1)]])
+        yield order, at[fresh], key[fresh]
+        if order < MOST_WORDS:
             in_new = _has(new, key)
             in_old = _has(old, key) if old is not None else np.zeros(len(at), bool)
 
 
-def phrase_counts(chunked: DataFrame, new: Proposals, old: Proposals | None = None,
-                  orders: tuple[int, ...] = (2, 3, 4), least: int = 1) -> DataFrame:
-    """w1 .. w4 (null after the last word) and n of the phrases whose two parts
-    are both in ``new`` but not both in ``old``, with at least so many places."""
-    new_sent, old_sent = new.sent, old.sent if old is not None else None
-    kinds = ", ".join(f"{w} long" for w in WORDS) + ", n long"
+def _width(tokens: int) -> int:
+    """Bits of a hash that the passes add up: so many that few phrases share one."""
+    return max(FILTER_BITS.bit_length() - 1, min(64, 16 + tokens.bit_length()))
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys as differences, in planes of equal bytes, and their counts."""
+    step = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(step.T).tobytes() + n.astype("<u4").tobytes())
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    m = len(raw) // 12
+    step = np.ascontiguousarray(raw[:8 * m].reshape(8, m).T).view("<u8").ravel()
+    return np.cumsum(step, dtype=np.uint64), raw[8 * m:].view("<u4").astype(np.int64)
+
+
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    keys, n = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def likely(chunked: DataFrame, tokens: int, new: Proposals, old: Proposals | None = None, orders: tuple[int, ...] = (2, 3, 4),
+           least: int = 1) -> DataFrame:
+    """order and key (the first ``_width(tokens)`` bits of the hash) of the
+    phrases whose two parts are both in ``new`` but not both in ``old`` and
+    whose hash has at least so many places."""
+    new_sent, old_sent, width = new.sent, old.sent if old is not None else None, _width(tokens)
+    ranges = (len(orders) * tokens // BLOCK_KEYS).bit_length()       # as a power of two
+    edges = np.arange(1 << ranges, dtype=np.uint64) << np.uint64(width - ranges)
 
     def run(batches):
         new_bits = np.frombuffer(new_sent.value, np.uint64)
         old_bits = np.frombuffer(old_sent.value, np.uint64) if old_sent is not None else None
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def blocks():
+            for order, parts in held.items():
+                keys, n = _summed(*parts)
+                cut = np.append(np.searchsorted(keys, edges), len(keys))
+                at = np.flatnonzero(np.diff(cut))
+                rows = [_packed(keys[cut[k]:cut[k + 1]], n[cut[k]:cut[k + 1]]) for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), order, np.int8)), pa.array(at.astype(np.int32)),
+                                                  pa.array(rows, pa.binary())], names=["order", "range", "block"])
+            held.clear()
         for b in batches:
             for hashes, codes in zip(*b.columns):
                 hashes, codes = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(codes.as_buffer(), np.int32)
-                for words, n in _counted(hashes, codes, new_bits, old_bits, orders):
-                    cols = [pa.array(w.view(np.int64)) for w in words] + [pa.nulls(len(n), pa.int64())] * (MOST_WORDS - len(words))
-                    whole = pa.RecordBatch.from_arrays(cols + [pa.array(n, pa.int64())], names=[*WORDS, "n"])
-                    for i in range(0, len(n), 1 << 16):
-                        yield whole.slice(i, 1 << 16)
-    found = chunked.select("hashes", "codes").mapInArrow(run, kinds)
-    return found.groupBy(*WORDS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+                for order, _, key in _phrases(hashes, codes, new_bits, old_bits):
+                    if order in orders:
+                        key, n = np.unique(key >> np.uint64(64 - width), return_counts=True)
+                        parts = held.setdefault(order, ([], []))
+                        parts[0].append(key)
+                        parts[1].append(n)
+                        size += len(key)
+                    if order == max(orders):
+                        break
+                if size >= BLOCK_KEYS:
+                    yield from blocks()
+                    size = 0
+        yield from blocks()
+
+    def add_up(table: pa.Table) -> pa.Table:
+        keys, n = _summed(*zip(*[_unpacked(b.as_py()) for b in table.column("block")]))
+        keys = keys[n >= least]
+        return pa.table([pa.array(np.full(len(keys), table.column("order")[0].as_py(), np.int8)), pa.array(keys.view(np.int64))],
+                        names=["order", "key"])
+    packed = chunked.select("hashes", "codes").mapInArrow(run, "order tinyint, range int, block binary")
+    return packed.groupBy("order", "range").applyInArrow(add_up, "order tinyint, key bigint")
+
+
+def counts(chunked: DataFrame, reach: Proposals, hot: Proposals) -> DataFrame:
+    """lang, w1 .. w4 (null after the last word) and n of the phrases whose two
+    parts are in ``reach`` and which are in ``hot`` themselves."""
+    reach_sent, hot_sent = reach.sent, hot.sent
+    names = ["lang", *WORDS, "n"]
 
-
-def _as_phrases(words: DataFrame) -> DataFrame:
-    return words.select(F.col("w").alias("w1"), *[F.lit(None).cast("long").alias(w) for w in WORDS[1:]], "n")
-
-
-def propose(chunked: DataFrame, least: int) -> Proposals:
-    """Phrases of up to three words that are frequent in the sample; those of
-    four have no longer ones to make possible."""
-    spark, low = chunked.sparkSession, max(1, int(least / SAMPLE * LOWERED))
-    sample = chunked.where("sampled")
-    found = Proposals.none(spark).plus(_as_phrases(word_counts(sample).where(F.col("n") >= low)))
-    for order in (2, 3):
-        found = found.plus(phrase_counts(sample, found, orders=(order,), least=low))
-    return found
+    def run(batches):
+        reach_bits, hot_bits = np.frombuffer(reach_sent.value, np.uint64), np.frombuffer(hot_sent.value, np.uint64)
+        for b in batches:
+            for lang, hashes, codes in zip(*b.columns):
+                hashes, codes = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(codes.as_buffer(), np.int32)
+                for order, at, key in _phrases(hashes, codes, reach_bits, None):
+                    mine = _has(hot_bits, key)
+                    _, where, n = np.unique(key[mine], return_index=True, return_counts=True)
+                    at = at[mine][where]
+                    cols = [pa.array([lang.as_py()] * len(n), pa.string())]
+                    cols += [pa.array(hashes[codes[at + k]].view(np.int64)) for k in range(order)]
+                    cols += [pa.nulls(len(n), pa.int64())] * (MOST_WORDS - order) + [pa.array(n)]
+                    whole = pa.RecordBatch.from_arrays(cols, names=names)
+                    for i in range(0, len(n), OUT_ROWS):
+                        yield whole.slice(i, OUT_ROWS)
+    kinds = "lang string, " + ", ".join(f"{w} bigint" for w in WORDS) + ", n bigint"
+    found = chunked.select("lang", "hashes", "codes").mapInArrow(run, kinds)
+    return found.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+
+
+def propose(chunked: DataFrame, tokens: int, words: Proposals, least: int) -> Proposals:
+    """The frequent words and the phrases of two and three words that are
+    frequent in the sample; those of four make no longer ones possible."""
+    sample, low = chunked.where("sampled"), max(1, int(least / SAMPLE * LOWERED))
+    for order in range(2, MOST_WORDS):
+        words = words.plus(likely(sample, tokens, words, orders=(order,), least=low), width=_width(tokens))
+    return words
 
 
 def frequent(chunked: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): all words with their counts (lang, word, w, n), and all
-    phrases of one to four words with at least ``least`` places (w1 .. w4, n)."""
+    phrases of one to four words with at least ``least`` places (lang, w1 ..
+    w4, n)."""
     spark = chunked.sparkSession
     ensure_checkpoint_dir(spark)
     words = word_counts(chunked).checkpoint()
-    found = fresh = _as_phrases(words.where(F.col("n") >= least))
-    before, reach = None, propose(chunked, least)
+    tokens = words.agg(F.sum("n")).first()[0] or 0
+    width, often = _width(tokens), words.where(F.col("n") >= least)
+    before, reach, hot = None, propose(chunked, tokens, Proposals(spark).plus(often, "w"), least), Proposals(spark)
     while True:
-        counted = phrase_counts(chunked, reach, before, least=least).checkpoint()
-        found = found.unionByName(counted)
-        fresh = fresh.unionByName(counted) if before is None else counted
+        found = likely(chunked, tokens, reach, before, least=least).checkpoint()
+        hot = hot.plus(found, width=width)
         # border failures, frequent but not proposed, add to what a pass reaches
-        before, reach = reach, reach.plus(fresh.where("w4 is null"))
+        before, reach = reach, reach.plus(found.where(F.col("order") < MOST_WORDS), width=width)
         if np.array_equal(before.bits, reach.bits):
-            return words, found
+            break
+    phrases = counts(chunked, reach, hot).where(F.col("n") >= least)
+    singles = often.select("lang", F.col("w").alias("w1"), *[F.lit(None).cast("long").alias(w) for w in WORDS[1:]], "n")
+    return words, singles.unionByName(phrases)
 
 
 def score(a: str, l: str, r: str) -> Column:  # noqa: E741
@@ -274,41 +343,38 @@ def mine(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2000, tex
     """lang, rank, phrase, a, l, r, n and score of each language's first ``top``
     phrases; ``share`` per cent of a phrase's places inside a longer one drop it."""
     words, found = frequent(chunks(docs, text, lang), least)
-    found = found.checkpoint()
-    size = F.size(F.array_compact(F.array(*WORDS)))
-    phrases = found.where("w2 is not null").withColumn("size", size)
-    null = F.lit(None).cast("long")
+    # a frequent phrase is named by one hash from here on: nulls after its last word don't change it
+    found = found.withColumn("id", F.xxhash64(*WORDS)).checkpoint()
+    all_words = F.array_compact(F.array(*WORDS))
+    phrases = found.where("w2 is not null").select("lang", "id", F.col("n").alias("a"), all_words.alias("w")).withColumn("size", F.size("w"))
 
     def part(first, n):
-        """``n`` words from ``first`` on, as columns of a struct."""
-        return F.struct(*[(F.when(F.lit(k) < n, F.get(F.array(*WORDS), first + k)).otherwise(null)).alias(w) for k, w in enumerate(WORDS)])
-
-    cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cuts = cuts.select(*WORDS, F.col("n").alias("a"), "k", part(F.lit(0), F.col("k")).alias("left"),
-                       part(F.col("k"), F.col("size") - F.col("k")).alias("right"))
-    # no phrase is without its first word, so a null in the others is made a value that can be joined
-    known = lambda w: F.struct(*[F.coalesce(w[c], F.lit(0)).alias(c) for c in WORDS], *[w[c].isNull().alias(f"no_{c}") for c in WORDS[1:]])
-    counts = found.select(known({c: F.col(c) for c in WORDS}).alias("name"), "n")
+        """The name of ``n`` words from the place ``first`` on."""
+        return F.xxhash64(*[F.when(F.lit(k) < n, F.get("w", first + k)) for k in range(MOST_WORDS)])
+
+    cuts = phrases.select("id", "a", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.struct(
+        part(F.lit(0), k).alias("left"), part(k, F.col("size") - k).alias("right")))).alias("k", "cut"))
+    cuts = cuts.select("id", "a", "k", "cut.left", "cut.right")
     for side, out in (("left", "l"), ("right", "r")):
-        cuts = cuts.withColumn("name", known({c: F.col(f"{side}.{c}") for c in WORDS})).join(
-            counts.withColumnRenamed("n", out), "name").drop("name", side)
-    scored = cuts.withColumn("score", score("a", "l", "r")).groupBy(*WORDS, "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+        cuts = cuts.join(found.select(F.col("id").alias(side), F.col("n").alias(out)), side).drop(side)
+    scored = cuts.withColumn("score", score("a", "l", "r")).groupBy("id").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda n: F.transform(
         F.sequence(F.lit(0), F.col("size") - n), lambda at: part(at, n))))
-    longer = phrases.where("size > 2").select("n", F.explode(F.array_distinct(inner)).alias("p")).groupBy("p").agg(F.max("n").alias("outer"))
-    longer = longer.select(known({c: F.col(f"p.{c}") for c in WORDS}).alias("name"), "outer")
-    kept = scored.withColumn("name", known({c: F.col(c) for c in WORDS})).join(longer, "name", "left").where(
+    longer = phrases.where("size > 2").select("a", F.explode(F.array_distinct(inner)).alias("id")).groupBy("id").agg(F.max("a").alias("outer"))
+    kept = phrases.select("lang", "id", "a").join(scored, "id").join(longer, "id", "left").where(
         F.col("outer").isNull() | (F.lit(100).cast("decimal(20,0)") * F.col("outer") < F.lit(share).cast("decimal(20,0)") * F.col("a")))
+    kept = kept.select("lang", "id", "a", "cut.l", "cut.r", "cut.score")
 
-    # words of phrases are frequent; the hash has the language in it
-    spelled = words.where(F.col("n") >= least).select("lang", "word", "w")
-    kept = kept.select("cut", "a", *WORDS)
+    # words are looked up for the phrases that may be among the first, ties included
+    best = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
+    kept = kept.withColumn("at", best).where(F.col("at") <= top).drop("at")
+    kept = kept.join(found.select("id", *WORDS), "id").drop("id")
+    spelled = words.where(F.col("n") >= least).select("word", "w")
     for k, w in enumerate(WORDS):
-        one = spelled.select(F.col("w").alias(w), F.col("word").alias(f"s{k}"), *(["lang"] if k == 0 else []))
-        kept = kept.join(one, w, "inner" if k < 2 else "left")
-    total = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    kept = kept.select("lang", F.concat_ws(" ", *[f"s{k}" for k in range(MOST_WORDS)]).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
+        kept = kept.join(spelled.select(F.col("w").alias(w), F.col("word").alias(f"s{k}")), w, "inner" if k < 2 else "left")
+    kept = kept.select("lang", F.concat_ws(" ", *[f"s{k}" for k in range(MOST_WORDS)]).alias("phrase"), "a", "l", "r", "score")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
-    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    first = kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    total = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return first.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -195,7 +195,8 @@ def trie(convs: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     proper = rows.where("depth < last").select(*NODE).distinct()
     leaves = groups.join(proper, NODE, "left_anti").select("conv_id", F.lit(1).alias("leaf"))
     # how far (in text) a sequence runs through nodes that are a smaller one's
-    owner = rows.groupBy(*NODE).agg(F.min("conv_id").alias("owner"))
+    # stored, so that both sides of the join are plain shuffles and a prefix of very many sequences can be split
+    owner = rows.groupBy(*NODE).agg(F.min("conv_id").alias("owner")).checkpoint()
     shared = rows.join(owner, NODE).where("owner <> conv_id").groupBy("conv_id").agg(F.max("upto").alias("shared"))
     info = groups.select("conv_id").join(leaves, "conv_id", "left").join(shared, "conv_id", "left").select(
         "conv_id", F.coalesce("leaf", F.lit(0)).alias("leaf"), F.coalesce("shared", F.lit(0)).alias("shared"))

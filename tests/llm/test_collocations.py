@@ -63,13 +63,14 @@ def test_brute_force(spark, monkeypatch, chunk, bits):
     """Also with tiny chunks and a bitmap so full that it lets much through."""
     monkeypatch.setattr(collocations, "CHUNK", chunk)
     monkeypatch.setattr(collocations, "FILTER_BITS", bits)
+    monkeypatch.setattr(collocations, "BLOCK_KEYS", 1 << 20 if chunk > 300 else 500)
     rows = texts()
     assert got(collocations.mine(frame(spark, rows), least=12, top=50)) == brute(rows, 12, top=50)
 
 
 def test_no_sample(spark, monkeypatch):
-    """Nothing proposed: every phrase comes through border failures."""
-    monkeypatch.setattr(collocations, "propose", lambda chunked, least: collocations.Proposals.none(chunked.sparkSession))
+    """Nothing but words proposed: every phrase comes through border failures."""
+    monkeypatch.setattr(collocations, "propose", lambda chunked, tokens, words, least: words)
     rows = texts()
     assert got(collocations.mine(frame(spark, rows), least=12)) == brute(rows, 12)
 
@@ -85,8 +86,19 @@ def test_score_passes_64_bits(spark):
 
 
 def test_filter_is_a_set(spark):
-    words = np.array([5 << 50, 7 << 50, 2**63], np.uint64)
-    df = spark.createDataFrame([(5 << 50, None, None, None), (5 << 50, 7 << 50, None, None)], "w1 long, w2 long, w3 long, w4 long")
-    bits = collocations.Proposals.none(spark).plus(df).bits
-    pair = collocations._join(words[:1], words[1:2])
-    assert collocations._has(bits, words[:1]).all() and collocations._has(bits, pair).all() and not collocations._has(bits, words[1:]).any()
+    keys = np.array([5 << 50, 7 << 50, 2**63, 2**64 - 1], np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys[[0, 2, 3]].view(np.int64)], "key long")
+    bits = collocations.Proposals(spark).plus(df).bits
+    assert collocations._has(bits, keys).tolist() == [True, False, True, True]
+    assert np.bitwise_count(bits).sum() == 3
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(0)
+    for keys in ([0], [2**64 - 1], np.unique(rng.integers(0, 2**64, 5000, np.uint64)), np.arange(9)):
+        keys = np.array(keys, np.uint64)
+        n = rng.integers(1, 2**32, len(keys))
+        got, m = collocations._unpacked(collocations._packed(keys, n))
+        assert (got == keys).all() and (m == n).all()
+    keys, n = collocations._summed([np.array([3, 5], np.uint64), np.array([5, 9], np.uint64)], [np.array([1, 2]), np.array([10, 20])])
+    assert keys.tolist() == [3, 5, 9] and n.tolist() == [1, 12, 20]
