@@ -24,5 +24,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     # importing the modules registers their queries
     from . import (  # noqa: F401
-        vault, mart, functions, features, explain, crm, crm_vault, quality, ml, sources, streams,
+        vault, mart, functions, features, explain, crm, crm_vault, quality, ml, boost, sources, streams,
     )

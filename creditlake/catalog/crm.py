@@ -6,25 +6,24 @@ from pyspark.sql import functions as F
 
 from ..plans import crm as C
 from ..plans import explain as X
+from ..session import scratch_path
+from ..sources import buckets
+from ..sources.fixtures import staged
 from . import register
 from .explain import SCORE_CTES
 from .sqlkit import with_ctes
 
-# Test data: the stored scores are those an earlier batch gave to applications
-# before the first date; the next batch scores applications from the second
-# date on, some of them again.
-STORED_BEFORE, BATCH_FROM = "2000-01-01", "1999-01-01"
-_CUT = f"DATE '{STORED_BEFORE}'"
 _CTES = {k: SCORE_CTES[k] for k in ("h", "s", "scored")}
-_CTES["scoring_info"] = (f"SELECT application_id, default_probability, model_version, confidence "
-                         f"FROM scored WHERE app_date < {_CUT}")
+_CTES["scoring_info"] = "SELECT application_id, default_probability, model_version, confidence FROM scored"
+# applications for which a request has arrived
+_ASKED = "SELECT DISTINCT application_id FROM stream_score_request"
 _CTES["listing"] = """SELECT a.application_id, a.client_id, a.app_date, c.education, c.sex, c.age,
        c.income AS client_income, s.default_probability, s.model_version,
        CASE WHEN s.default_probability * 100.0 < 20 THEN 'approve' WHEN s.default_probability * 100.0 < 50
             THEN 'review' WHEN s.default_probability IS NOT NULL THEN 'reject' END AS risk_band
 FROM crm_score_request a JOIN crm_client c ON c.client_id = a.client_id
 LEFT JOIN scoring_info s ON s.application_id = a.application_id"""
-_ADP = ("crm_score_request", "crm_client")
+_ADP = ("crm_score_request", "crm_client", "stream_score_request")
 
 
 def _q(sql: str) -> str:
@@ -33,12 +32,21 @@ def _q(sql: str) -> str:
 
 def _frames(spark, sf_dir):
     apps, cl = C.applications(spark, sf_dir), C.clients(spark, sf_dir)
-    return apps, cl, _stored(apps)
+    return apps, cl, C.scoring_info(apps)
 
 
-def _stored(apps, **kw):
-    """The score table as the earlier batch left it."""
-    return C.scoring_info(apps.where(F.col("app_date") < F.lit(STORED_BEFORE).cast("date")), **kw)
+def _asked(spark, sf_dir):
+    """Applications for which a request has arrived."""
+    requests = staged(spark, sf_dir, "stream_score_request").select("application_id").distinct()
+    return C.applications(spark, sf_dir).join(requests, "application_id", "left_semi")
+
+
+def _stored(spark, *loads):
+    """The score table that these loads leave, one after the other."""
+    root = scratch_path(spark, "crm_scores")
+    for scores in loads:
+        buckets.upsert(scores, root, ["application_id"], ["generated_at"])
+    return buckets.read(spark, root)
 
 
 def crm_dashboard(spark, sf_dir):
@@ -77,24 +85,16 @@ register("crm_detail", _q(
 
 
 def crm_upsert_score(spark, sf_dir):
-    apps = C.applications(spark, sf_dir)
-    stored = _stored(apps, generated_at=C.SCORED_AT, model_version="import-v0")
-    batch_apps = apps.where(F.col("app_date") >= F.lit(BATCH_FROM).cast("date"))
-    batch = C.scoring_info(batch_apps, C.RESCORED_AT)
-    out = C.upsert_latest(stored, batch, "application_id", "generated_at")
-    return out.drop("importances")
+    """K-04: imported scores of all applications, then new ones of those for
+    which a request has arrived; only the buckets of these are rewritten."""
+    imported = C.scoring_info(C.applications(spark, sf_dir), C.SCORED_AT, "import-v0")
+    return _stored(spark, imported, C.scoring_info(_asked(spark, sf_dir), C.RESCORED_AT)).drop("importances")
 
 
 register("crm_upsert_score", _q(f"""
-SELECT application_id, default_probability, model_version, confidence, generated_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY generated_at DESC) AS rn FROM (
-    SELECT application_id, default_probability, 'import-v0' AS model_version, confidence,
-           TIMESTAMP '{C.SCORED_AT}' AS generated_at FROM scored WHERE app_date < {_CUT}
-    UNION ALL
-    SELECT application_id, default_probability, model_version, confidence,
-           TIMESTAMP '{C.RESCORED_AT}' AS generated_at FROM scored
-    WHERE app_date >= DATE '{BATCH_FROM}'))
-WHERE rn = 1"""))(crm_upsert_score)
+SELECT application_id, default_probability, CASE WHEN asked THEN model_version ELSE 'import-v0' END AS model_version, confidence,
+       CASE WHEN asked THEN TIMESTAMP '{C.RESCORED_AT}' ELSE TIMESTAMP '{C.SCORED_AT}' END AS generated_at
+FROM (SELECT *, application_id IN ({_ASKED}) AS asked FROM scored)"""))(crm_upsert_score)
 
 
 def crm_intake(spark, sf_dir):
@@ -111,28 +111,28 @@ register("crm_intake", _q(
 ))(crm_intake)
 
 
-# J-09: explanations only for scored applications; the rest is reported
+# J-09: explanations only for scored applications; the rest is reported.  The
+# stored scores are those of an earlier load: of the requests that have arrived.
 def crm_explain_scored(spark, sf_dir):
-    apps = C.applications(spark, sf_dir)
-    scored = X.score_heuristic(apps.join(_stored(apps).select("application_id"),
-                                         "application_id", "left_semi"))
+    known = _stored(spark, C.scoring_info(_asked(spark, sf_dir)))
+    scored = X.score_heuristic(C.applications(spark, sf_dir).join(known.select("application_id"), "application_id", "left_semi"))
     return X.explain(scored, "detailed").select("application_id", "decision", "explanation_text", "confidence")
 
 
 register("crm_explain_scored", with_ctes(
     f"SELECT application_id, decision, base_text || ' Детализация факторов: ' || details AS explanation_text, "
-    f"confidence FROM expl WHERE application_id IN (SELECT application_id FROM scored WHERE app_date < {_CUT})",
-    ("crm_score_request",), **SCORE_CTES))(crm_explain_scored)
+    f"confidence FROM expl WHERE application_id IN ({_ASKED})",
+    ("crm_score_request", "stream_score_request"), **SCORE_CTES))(crm_explain_scored)
 
 
 def crm_unscored(spark, sf_dir):
-    apps = C.applications(spark, sf_dir)
-    return apps.join(_stored(apps).select("application_id"), "application_id", "left_anti").select(
+    known = _stored(spark, C.scoring_info(_asked(spark, sf_dir)))
+    return C.applications(spark, sf_dir).join(known.select("application_id"), "application_id", "left_anti").select(
         "application_id", F.lit("not_scored").alias("status"),
         F.lit("Сначала необходимо провести скоринг").alias("message"))
 
 
 register("crm_unscored", _q(
     f"SELECT application_id, 'not_scored' AS status, 'Сначала необходимо провести скоринг' AS message "
-    f"FROM crm_score_request WHERE application_id NOT IN (SELECT application_id FROM scoring_info)"
+    f"FROM crm_score_request WHERE application_id NOT IN ({_ASKED})"
 ))(crm_unscored)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators.conform import conform, fill_nulls, normalize_columns, strip_junk
@@ -154,3 +155,53 @@ register("src_preview", with_ctes(
     "SELECT CAST(sk_id_bureau AS VARCHAR) AS sk_id_bureau, months_balance, status FROM stg_bureau_balance "
     "ORDER BY CAST(sk_id_bureau AS VARCHAR), months_balance, status NULLS FIRST LIMIT 5",
     ("stg_bureau_balance",)))(src_preview)
+
+
+# faults put into a file of bureau rows: (column, text) where the condition holds, and lines of another length
+_DIRTY = (("days_credit", "abc", "sk_id_bureau % 7 = 0"), ("days_credit", "inf", "sk_id_bureau % 11 = 0"),
+          ("days_credit", "1e999", "sk_id_bureau % 13 = 0"), ("days_credit", "3000000000", "sk_id_bureau % 29 = 0"),
+          ("amt_credit_sum", "n/a", "sk_id_bureau % 17 = 0"))
+_SHORT, _LONG = "sk_id_bureau % 19 = 0", "sk_id_bureau % 23 = 0"
+
+
+def _dirty_text(column: str, otherwise: str) -> str:
+    cases = " ".join(f"WHEN {w} THEN '{t}'" for c, t, w in _DIRTY if c == column)
+    return f"CASE {cases} ELSE {otherwise} END"
+
+
+def src_csv_rejects(spark, sf_dir):
+    """P-03 / S-05: bureau rows in a file with unreadable fields and lines of
+    another length; what the loader nulled or padded, counted, and the rows it
+    loaded."""
+    spec = DATASETS["bureau"]
+    df = conform(staged(spark, sf_dir, "stg_bureau"), spec)
+    text = [F.expr(_dirty_text(c, f"CAST({c} AS STRING)")) if any(c == d for d, _, _ in _DIRTY) else F.col(c).cast("string")
+            for c in df.columns]
+    cells = F.array(*[F.coalesce(t, F.lit("")) for t in text])
+    cells = F.when(F.expr(_SHORT), F.slice(cells, 1, len(text) - 2)).when(
+        F.expr(_LONG), F.concat(cells, F.array(F.lit("more")))).otherwise(cells)
+    header = ",".join(df.columns).upper()
+
+    def with_header(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(b.columns, names=["value"])
+    path = scratch_path(spark, "dirty_csv")
+    df.select(F.array_join(cells, ",").alias("value")).mapInArrow(with_header, "value string").write.text(path)
+    rows, faults = CSV.load_checked(spark, "bureau", path)
+    told = faults.groupBy(F.coalesce("column", F.lit("*")).alias("column_name"),
+                          F.when(F.col("column").isNotNull(), F.col("text")).alias("text"), "reason").agg(F.count(F.lit(1)).alias("n"))
+    loaded = rows.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("*").alias("column_name"), F.lit(None).cast("string").alias("text"), F.lit("loaded").alias("reason"), "n")
+    return told.unionByName(loaded)
+
+
+register("src_csv_rejects", with_ctes(
+    f"""SELECT * FROM (
+SELECT 'days_credit' AS column_name, {_dirty_text('days_credit', 'NULL')} AS text,
+       CASE {_dirty_text('days_credit', 'NULL')} WHEN 'abc' THEN 'not a number' WHEN '3000000000' THEN 'out of range' ELSE 'infinite' END AS reason,
+       count(*) AS n FROM stg_bureau GROUP BY ALL
+UNION ALL SELECT 'amt_credit_sum', {_dirty_text('amt_credit_sum', 'NULL')}, 'not a number', count(*) FROM stg_bureau GROUP BY ALL)
+WHERE text IS NOT NULL
+UNION ALL SELECT '*', NULL, 'wrong number of fields', count(*) FROM stg_bureau WHERE {_SHORT} OR {_LONG}
+UNION ALL SELECT '*', NULL, 'loaded', count(*) FROM stg_bureau""", ("stg_bureau",)))(src_csv_rejects)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from ..operators.conform import conform
 from ..schemas import DATASETS
 from ..session import scratch_path
+from ..sources import buckets
 from ..sources import csv as CSV
 from ..sources.fixtures import staged
 from ..streaming import jobs as S
 from . import register
-from .explain import SCORE_CTES  # noqa: F401
+from .explain import SCORE_CTES
 from .sources import _typed_bureau_sql
 from .sqlkit import with_ctes
 
@@ -29,26 +30,20 @@ register("stream_ingest", _typed_bureau_sql())(stream_ingest)
 
 
 def stream_score(spark, sf_dir):
-    """R-02: score every arriving event request; latest result per application."""
+    """R-02: score and explain every arriving request; the maintained table has
+    the latest result per application."""
     root = scratch_path(spark, "stream_score")
-    q = S.score_stream(spark, sf_dir, f"{root}/out", f"{root}/ckpt")
-    q.awaitTermination()
-    landed = spark.read.parquet(f"{root}/out").drop("batch_id")
-    return S.latest_per_key(landed, "application_id", ["requested_at", "request_id"])
+    S.score_stream(spark, sf_dir, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return buckets.read(spark, f"{root}/out")
 
 
-_SS_CTES = dict(
-    h="""SELECT *, coalesce(income, 50000.0) AS inc, CAST(35.0 AS DOUBLE) AS ag, CAST(0.3 AS DOUBLE) AS dt, CAST(1.0 AS DOUBLE) AS bk FROM stream_score_request""",
-    s="SELECT *, greatest(least(0.45 + dt * 0.7 + bk * 0.04 - inc / 300000.0 - ag / 400.0, 0.99), 0.01) AS praw FROM h",
-    sc="""SELECT request_id, application_id, requested_at, CAST(printf('%.4f', praw) AS DOUBLE) AS default_probability,
-       least(0.98, CAST(printf('%.4f', 0.65 + 0.3 * abs(0.5 - praw)) AS DOUBLE)) AS confidence,
-       'heuristic-v1' AS model_version FROM s""",
-)
+# the rule score and explanation of the latest request of each application
+_LATEST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY requested_at DESC, request_id DESC) AS rn
+FROM stream_score_request) WHERE rn = 1"""
+_REQUEST = """SELECT application_id, income, CAST(NULL AS DOUBLE) AS age, CAST(NULL AS DOUBLE) AS debt_to_income,
+       CAST(NULL AS DOUBLE) AS bki_request_cnt FROM latest"""
 register("stream_score", with_ctes(
-    "SELECT request_id, application_id, requested_at, default_probability, confidence, model_version, "
-    "CASE WHEN default_probability < 0.3 THEN 'approve' WHEN default_probability < 0.5 THEN "
-    "'conditionally_approve' ELSE 'conditionally_reject' END AS decision, "
-    "'Вероятность дефолта составляет ' || printf('%.2f', default_probability * 100.0) "
-    "|| '%. Основные факторы решения модели выделены ниже.' AS explanation_text FROM ("
-    "SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY requested_at DESC, request_id DESC) AS rn "
-    "FROM sc) WHERE rn = 1", ("stream_score_request",), **_SS_CTES))(stream_score)
+    "SELECT l.request_id, e.application_id, l.requested_at, e.default_probability, s.confidence, e.model_version, e.decision, "
+    "e.base_text AS explanation_text, e.key_factors, e.recommendations, e.confidence AS explanation_confidence "
+    "FROM expl e JOIN latest l USING (application_id) JOIN scored s USING (application_id)",
+    ("stream_score_request",), latest=_LATEST, crm_score_request=_REQUEST, **SCORE_CTES))(stream_score)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.vault import changed_rows, current_rows, insert_new, orphans, sat_frame
 from ..plans import vault_specs as V
 from ..plans.vault_load import (
-    LOAD_DTS, SECOND_LOAD_DTS, application_targets, staged_dataset, vault_tables, write_vault,
+    LOAD_DTS, SECOND_LOAD_DTS, application_targets, read_vault, read_vault_current, staged_dataset, vault_tables, write_vault,
 )
 from ..schemas import ADAPTER_DATASET, DATASETS
 from ..session import scratch_path
@@ -278,11 +278,15 @@ register("vault_reload_stats", "SELECT table_name, rows_loaded AS rows_in, "
 _RELATIONS = (
     ("dv_link_application_bureau", "hk_application", "dv_hub_application", "hk_application"),
     ("dv_link_application_bureau", "hk_bureau_credit", "dv_hub_bureau_credit", "hk_bureau_credit"),
+    ("dv_sat_bureau_credit", "hk_bureau_credit", "dv_hub_bureau_credit", "hk_bureau_credit"),
     ("dv_sat_bureau_balance", "hk_bureau_credit", "dv_hub_bureau_credit", "hk_bureau_credit"),
     ("dv_link_application_prev_application", "hk_application", "dv_hub_application", "hk_application"),
+    ("dv_link_application_prev_application", "hk_prev_application", "dv_hub_prev_application", "hk_prev_application"),
+    ("dv_sat_prev_application", "hk_prev_application", "dv_hub_prev_application", "hk_prev_application"),
     ("dv_sat_installment_payment", "hk_prev_application", "dv_hub_prev_application", "hk_prev_application"),
     ("dv_sat_credit_card_balance", "hk_prev_application", "dv_hub_prev_application", "hk_prev_application"),
     ("dv_sat_pos_cash_balance", "hk_prev_application", "dv_hub_prev_application", "hk_prev_application"),
+    *[(s.table, "hk_application", "dv_hub_application", "hk_application") for s in V.APPLICATION_SATS],
 )
 
 
@@ -303,7 +307,12 @@ def _orphans_sql() -> str:
         "dv_link_application_bureau.hk_application":
             "SELECT count(*) FROM stg_bureau b WHERE sk_id_bureau IS NOT NULL AND sk_id_curr IS NOT NULL "
             "AND NOT EXISTS (SELECT 1 FROM stg_application a WHERE a.sk_id_curr = b.sk_id_curr)",
+        # loaded from the rows that fill their hub
         "dv_link_application_bureau.hk_bureau_credit": "SELECT 0",
+        "dv_sat_bureau_credit.hk_bureau_credit": "SELECT 0",
+        "dv_link_application_prev_application.hk_prev_application": "SELECT 0",
+        "dv_sat_prev_application.hk_prev_application": "SELECT 0",
+        **{f"{s.table}.hk_application": "SELECT 0" for s in V.APPLICATION_SATS},
         "dv_sat_bureau_balance.hk_bureau_credit":
             "SELECT count(*) FROM (SELECT DISTINCT sk_id_bureau, months_balance FROM stg_bureau_balance) x "
             "WHERE NOT EXISTS (SELECT 1 FROM stg_bureau b WHERE b.sk_id_bureau = x.sk_id_bureau AND b.sk_id_curr IS NOT NULL)",
@@ -323,3 +332,35 @@ def _orphans_sql() -> str:
 
 
 register("dv_orphans", _orphans_sql())(dv_orphans)
+
+
+# ---- W-03 / W-04 / K-03: loads in any order, current rows kept per key ----
+
+_SNAPSHOT_TABLES = (V.HUB_APPLICATION.table, V.SAT_CONTRACT.table)
+
+
+def _two_loads(spark, sf_dir, mode: str) -> str:
+    """A vault into which the second extract came first and the first one last."""
+    root = scratch_path(spark, "vault_snapshot")
+    loads = ((SECOND_LOAD_DTS, _second_load_app(spark, sf_dir)), (LOAD_DTS, staged_dataset(spark, sf_dir, "stg_application")))
+    for load, app in loads:
+        tables = application_targets(app, load)
+        write_vault({n: tables[n] for n in _SNAPSHOT_TABLES}, root, load, mode=mode, snapshots=True)
+    return root
+
+
+def dv_snapshot_current(spark, sf_dir) -> DataFrame:
+    """The maintained current rows after loads in the wrong order."""
+    return read_vault_current(spark, _two_loads(spark, sf_dir, "always"), _SNAPSHOT_TABLES)[V.SAT_CONTRACT.table]
+
+
+def dv_hub_any_order(spark, sf_dir) -> DataFrame:
+    """One row per key: the load that came first brought them all."""
+    root = _two_loads(spark, sf_dir, "changed")
+    return read_vault(spark, root, [V.HUB_APPLICATION.table])[V.HUB_APPLICATION.table]
+
+
+register("dv_snapshot_current", with_ctes("SELECT * FROM l2", ("stg_application",), **_CHANGED_CTES))(dv_snapshot_current)
+register("dv_hub_any_order", with_ctes(
+    f"SELECT DISTINCT {md5_key('application', 'sk_id_curr')} AS hk_application, sk_id_curr, '{V.RS_APP}' AS record_source, "
+    f"{_SECOND} AS load_dts FROM stg_application WHERE sk_id_curr IS NOT NULL", ("stg_application",)))(dv_hub_any_order)

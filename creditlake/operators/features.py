@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ..session import ensure_checkpoint_dir
+
 NULL_CATEGORY = "nan"
 
 
@@ -57,29 +59,43 @@ def nunique_null_as_category(c: str) -> Column:
     return F.size(F.collect_set(category_text(F.col(c))))
 
 
-def label_codes(fit: DataFrame, c: str, code_col: str | None = None) -> DataFrame:
-    """W-02: mapping (text -> code) of one column from the distinct values of
-    ``fit``.  Only the distinct values are ranked (bounded by the column's
-    cardinality, never by the row count)."""
+def encoder_table(fit: DataFrame, cols: list[str]) -> DataFrame:
+    """W-02: (column, value, code) of all text columns at once: the 0-based rank
+    of each distinct text among those of its column.  Distinct values, not rows,
+    are dealt by ranges of (column, value) and numbered in parallel, whatever
+    the number of columns or their cardinality."""
     from .ranking import ordered_index
-    code_col = code_col or f"{c}__code"
-    values = fit.select(category_text(F.col(c)).alias("__v")).distinct()
-    return ordered_index(values, "__v", code_col)
-
-
-def label_encode(df: DataFrame, cols: list[str], fit: DataFrame | None = None) -> DataFrame:
-    """Replace each text column by its label code.  ``fit`` is the frame the
-    classes are learned from (default: ``df`` itself, as ``fit_transform``).
-    Values unseen in ``fit`` get -1.  The mapping tables are small; AQE turns
-    the joins into broadcast joins at run time when they are."""
-    fit = df if fit is None else fit
-    out = df
-    for c in cols:
-        m = label_codes(fit, c, "__code")
-        out = (out.join(m, category_text(out[c]) == m["__v"], "left")
-               .withColumn(c, F.coalesce(F.col("__code"), F.lit(-1)).cast("int"))
-               .drop("__v", "__code"))
-    return out.select(*df.columns)
+    long = fit.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), category_text(F.col(c)).alias("value")) for c in cols]))
+                      .alias("v")) if cols else fit.select(F.lit(None).cast("struct<column:string,value:string>").alias("v")).limit(0)
+    return ordered_index(long.select("v.column", "v.value").distinct(), "value", "code", by="column")
+
+
+def label_codes(fit: DataFrame, c: str, code_col: str | None = None) -> DataFrame:
+    """W-02: mapping (text -> code) of one column from the distinct values of ``fit``."""
+    return encoder_table(fit, [c]).select(F.col("value").alias("__v"), F.col("code").alias(code_col or f"{c}__code"))
+
+
+def label_encode(df: DataFrame, cols: list[str], fit: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """Replace each text column by its label code, all in one join.  The classes
+    are learned from ``fit`` (default: ``df`` itself, as ``fit_transform``) or
+    given as ``codes``; values unseen there get -1.
+
+    Every row offers its texts as (row, column, value); they meet the codes in
+    one join and come back as one map per row, so the number of exchanges does
+    not grow with the columns.  Rows are numbered in a checkpoint: a task that
+    runs again finds the same numbers."""
+    if not cols:
+        return df
+    codes = encoder_table(df if fit is None else fit, cols) if codes is None else codes
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    texts = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), category_text(F.col(c)).alias("value"))
+                                                    for c in cols])).alias("v")).select("_row", "v.column", "v.value")
+    found = texts.join(codes, ["column", "value"]).groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("column", "code"))).alias("_codes"))
+    out = rows.join(found, "_row", "left")
+    return out.select(*[F.coalesce(F.try_element_at("_codes", F.lit(c)), F.lit(-1)).cast("int").alias(c) if c in cols else F.col(c)
+                        for c in df.columns])
 
 
 def fill_minus_one(df: DataFrame, exclude=()) -> DataFrame:

@@ -37,8 +37,9 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.1,
     counts = hashes.groupBy("_y", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("_y").orderBy("_b"))
     want = F.ceil(F.sum("_n").over(Window.partitionBy("_y")) * F.lit(fraction))
-    last = (counts.select("_y", "_b", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), want.alias("_want"))
-            .where("_before < _want and _want <= _upto"))
+    # one row per class of the label
+    last = F.broadcast(counts.select("_y", "_b", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), want.alias("_want"))
+                       .where("_before < _want and _want <= _upto"))
     inside = (hashes.alias("x").join(last.alias("l"), F.col("x._y").eqNullSafe(F.col("l._y"))
                                      & (F.substring("x._h", 1, HASH_BUCKETS_HEX) == F.col("l._b")))
               .select(F.col("x._y").alias("_y"), "_h", (F.col("_want") - F.col("_before")).alias("_k")))
@@ -50,19 +51,22 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.1,
             .drop("_y", "_cut"))
 
 
-def _ranges(df: DataFrame, col: str, partitions: int | None) -> DataFrame:
-    """The frame dealt into ranges of ``col`` with the range's number ``_p``,
+def _ranges(df: DataFrame, *cols: str, partitions: int | None = None) -> DataFrame:
+    """The frame dealt into ranges of ``cols`` with the range's number ``_p``,
     checkpointed: whatever is computed from it sees the same boundaries (a
     range exchange that is planned twice samples twice)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)
-    return df.repartitionByRange(n, col).withColumn("_p", F.spark_partition_id()).checkpoint()
+    return df.repartitionByRange(n, *cols).withColumn("_p", F.spark_partition_id()).checkpoint()
 
 
-def _before(ranged: DataFrame, amount: Column, out: str) -> DataFrame:
-    """(_p, out): the amount in all lower ranges; one row per range."""
-    totals = ranged.groupBy("_p").agg(amount.alias("_t"))
-    return F.broadcast(totals.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias(out)))
+def _before(ranged: DataFrame, amount: Column, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, _p, out): the amount in all lower ranges; one row per range (and
+    group that it has)."""
+    totals = ranged.groupBy(*by, "_p").agg(amount.alias("_t"))
+    running = Window.partitionBy(*by).orderBy("_p")
+    table = totals.select(*by, "_p", (F.sum("_t").over(running) - F.col("_t")).alias(out))
+    return table if by else F.broadcast(table)
 
 
 def exact_auc(df: DataFrame, label: str, score: str, partitions: int | None = None) -> DataFrame:
@@ -75,7 +79,7 @@ def exact_auc(df: DataFrame, label: str, score: str, partitions: int | None = No
     per_score = base.groupBy(score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("_neg"))
-    ranged = _ranges(per_score, score, partitions)
+    ranged = _ranges(per_score, score, partitions=partitions)
     below = F.sum("_neg").over(Window.partitionBy("_p").orderBy(score)) - F.col("_neg")
     j = ranged.withColumn("_below", below).join(_before(ranged, F.sum("_neg"), "_lower"), "_p")
     contrib = F.col("_pos") * (F.col("_lower") + F.col("_below") + F.col("_neg") / 2.0)
@@ -85,11 +89,13 @@ def exact_auc(df: DataFrame, label: str, score: str, partitions: int | None = No
         F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"))
 
 
-def ordered_index(values: DataFrame, col: str, out: str = "index", partitions: int | None = None) -> DataFrame:
-    """0-based position of each (distinct) value in sorted order, without a
-    single-task window: values are dealt into ranges, numbered inside each in
-    parallel, and offset by the sizes of the lower ranges (one row per range)."""
-    ranged = _ranges(values, col, partitions)
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(col))
-    j = ranged.withColumn("_r", own).join(_before(ranged, F.count(F.lit(1)), "_off"), "_p")
+def ordered_index(values: DataFrame, col: str, out: str = "index", partitions: int | None = None, by: str | None = None) -> DataFrame:
+    """0-based position of each (distinct) value in sorted order, of all or of
+    those equal in ``by``, without a single-task window: values are dealt into
+    ranges, numbered inside each in parallel, and offset by the sizes of the
+    lower ranges (one row per range and group)."""
+    group = (by,) if by else ()
+    ranged = _ranges(values, *group, col, partitions=partitions)
+    own = F.row_number().over(Window.partitionBy(*group, "_p").orderBy(col))
+    j = ranged.withColumn("_r", own).join(_before(ranged, F.count(F.lit(1)), "_off", group), [*group, "_p"])
     return j.select(*values.columns, (F.col("_off") + F.col("_r") - 1).cast("int").alias(out))

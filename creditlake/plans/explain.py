@@ -131,9 +131,10 @@ def explanation_text(prob: Column, mode: Column, factors: Column) -> Column:
 
 
 def explain(scored: DataFrame, mode: str | Column = "brief", top_k: int = TOP_K,
-            decision_col: str | None = None) -> DataFrame:
-    """C-10: one explanation per scored row.  Rows without importances are
-    not explained (the reference answers them with an error)."""
+            decision_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """C-10: one explanation per scored row, with the columns ``keep`` of it.
+    Rows without importances are not explained (the reference answers them with
+    an error)."""
     m = F.lit(mode) if isinstance(mode, str) else mode
     rows = scored.where(F.size("importances") > 0)
     supplied = F.col(decision_col) if decision_col else None
@@ -141,14 +142,14 @@ def explain(scored: DataFrame, mode: str | Column = "brief", top_k: int = TOP_K,
     # not merge a projection that would repeat a costly expression) and
     # every later column reads them
     ranked = rows.select(
-        "application_id", "default_probability", "model_version",
+        *keep, "application_id", "default_probability", "model_version",
         D.decision_by_probability(F.col("default_probability"), supplied).alias("decision"),
         m.alias("mode"),
         key_factors(F.col("importances"), F.col("features"), top_k).alias("key_factors"))
     factors = F.col("key_factors")
     sum_abs = F.aggregate(factors, F.lit(0.0), lambda acc, f: acc + F.abs(f["impact"]))
     return ranked.select(
-        "application_id", "default_probability", "decision", "model_version", "mode",
+        *keep, "application_id", "default_probability", "decision", "model_version", "mode",
         explanation_text(F.col("default_probability"), F.col("mode"), factors).alias("explanation_text"),
         factors.alias("key_factors"),
         recommendations(factors).alias("recommendations"),

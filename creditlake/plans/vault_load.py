@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.conform import conform
 from ..operators.vault import (
-    hub_frame, insert_new, link_frame, reduce_to_key, sat_frame,
+    changed_rows, hub_frame, insert_new, link_frame, reduce_to_key, sat_frame,
 )
 from ..schemas import ADAPTER_DATASET, DATASETS
+from ..sources import buckets
 from ..sources.fixtures import staged
 from . import vault_specs as V
 
@@ -24,6 +25,9 @@ from . import vault_specs as V
 # (one ``current_timestamp`` captured per run, F-19).
 LOAD_DTS = "2024-01-01 00:00:00"
 SECOND_LOAD_DTS = "2024-02-01 00:00:00"
+#: key columns of each satellite
+SAT_KEYS = {s.table: s.key_columns for s in (*V.APPLICATION_SATS, V.SAT_BUREAU, V.SAT_BUREAU_BALANCE, V.SAT_PREV, V.SAT_INSTALLMENT,
+                                              V.SAT_CARD, V.SAT_POS)}
 
 
 def staged_dataset(spark: SparkSession, sf_dir: str, adapter: str, full: bool = False) -> DataFrame:
@@ -151,17 +155,38 @@ def _load_key(load_dts) -> str:
     return str(load_dts).replace(" ", "T").replace(":", "")
 
 
-def _rows_to_insert(name: str, df: DataFrame, earlier: DataFrame | None) -> DataFrame:
-    """K-03: hubs and links take only keys that no earlier load has;
-    satellites take every offered row (history)."""
-    return df if name.split("_")[1] == "sat" else insert_new(df, earlier, df.columns[0])
+def _is_sat(name: str) -> bool:
+    return name.split("_")[1] == "sat"
 
 
-def _counts(name: str, offered: DataFrame, written: DataFrame) -> tuple[int, int]:
-    """K-06: (rows offered, rows inserted).  What was written is counted from
-    the stored files' footers; only hubs and links can have been offered more."""
-    inserted = written.count()
-    return (inserted if name.split("_")[1] == "sat" else offered.count()), inserted
+PREFIX = "key_prefix"
+#: hex digits of the hash key by which hubs and links are stored in partitions
+PREFIX_CHARS = 1
+
+
+def _prefix(key: str) -> Column:
+    # the letter keeps Spark from reading digits as a number
+    return F.concat(F.lit("k"), F.substring(key, 1, PREFIX_CHARS))
+
+
+def _known_keys(stored: DataFrame | None, offered: DataFrame, key: str) -> DataFrame | None:
+    """Keys of the stored loads, of the prefixes alone that the offered rows
+    have: the other partitions are not read."""
+    if stored is None or PREFIX not in stored.columns:
+        return stored
+    brought = [r[0] for r in offered.select(_prefix(key).alias("p")).distinct().collect()]
+    return stored.where(F.col(PREFIX).isin(brought))
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The frame, and its row count once it has been run (K-06)."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def _n(seen: Observation) -> int:
+    """The observed count; a branch that turned out empty may not have run."""
+    return seen.get.get("n", 0)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -173,26 +198,77 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_vault(tables, root: str, load_dts=LOAD_DTS) -> dict[str, tuple[int, int]]:
+def _changed(rows: DataFrame, name: str, current: DataFrame | None, history: DataFrame | None, load_dts) -> DataFrame:
+    """W-04: the rows whose hashdiff is not that of the version before them.
+    Where the snapshot's row is older than the load it is that version; keys
+    that a later load (or this one, in a retry) brought already are looked up
+    in the history, and only these."""
+    if current is None:
+        return rows
+    keys = SAT_KEYS[name]
+    at = F.lit(str(load_dts)).cast("timestamp_ntz")
+    now = current.select(*keys, F.col("hashdiff").alias("_hd"), F.col("load_dts").alias("_at"))
+    met = rows.join(now, keys, "left")
+    plain = met.where(F.col("_at").isNull() | ((F.col("_at") < at) & (F.col("_hd") != F.col("hashdiff")))).drop("_hd", "_at")
+    late = met.where(F.col("_at") >= at).drop("_hd", "_at")
+    before = history.where(F.col("load_dts") < at).join(late.select(*keys).distinct(), keys, "left_semi")
+    return plain.unionByName(changed_rows(late, before, keys))
+
+
+def write_vault(tables, root: str, load_dts=LOAD_DTS, mode: str = "always", snapshots: bool = False) -> dict[str, tuple[int, int]]:
     """Insert-only vault on files: each load of each target is one folder
     ``root/<table>/load=<ts>``, written in load order (hubs, links,
-    satellites).  Hubs and links skip keys of earlier loads.  Re-running a load
-    after a failure (lost executors, driver restart) overwrites exactly that
-    load's folder, so a retry never duplicates rows; earlier loads are never
-    touched.  Returns (rows offered, rows inserted) per table."""
+    satellites).  Hubs and links skip keys of all other loads, earlier or later
+    ones, so loads may come in any order; they are stored in partitions by the
+    first digits of their key, and only the prefixes that a load brings are
+    read again.  Satellites take every offered row (``mode`` "always") or those
+    that changed ("changed", which needs the snapshots).  Re-running a load
+    after a failure overwrites exactly that load's folder, so a retry never
+    duplicates rows; other loads are never touched.
+
+    ``snapshots`` keeps one current row per key of every satellite in
+    ``root/<table>__current``, upserted from the rows of the load (W-03).
+
+    Returns (rows offered, rows inserted) per table, observed while writing."""
     key, counts = _load_key(load_dts), {}
     for name in load_order(tables):
-        df, path = tables[name], f"{root.rstrip('/')}/{name}"
-        stored = _stored(df.sparkSession, path)
-        earlier = None if stored is None else stored.where(F.col("load") < key)
-        _rows_to_insert(name, df, earlier).write.mode("overwrite").parquet(f"{path}/load={key}")
-        counts[name] = _counts(name, df, _stored(df.sparkSession, path).where(F.col("load") == key))
+        path = f"{root.rstrip('/')}/{name}"
+        spark = tables[name].sparkSession
+        stored = _stored(spark, path)
+        others = None if stored is None else stored.where(F.col("load") != key)
+        df, offered = _counted(tables[name])
+        if _is_sat(name):
+            now = buckets.read(spark, f"{path}__current") if snapshots else None
+            rows = _changed(df, name, now, others, load_dts) if mode == "changed" else df
+            rows, inserted = _counted(rows)
+            rows.write.mode("overwrite").parquet(f"{path}/load={key}")
+            if snapshots:
+                buckets.upsert(spark.read.parquet(f"{path}/load={key}"), f"{path}__current", SAT_KEYS[name], ["load_dts"])
+        else:
+            hk = df.columns[0]
+            rows, inserted = _counted(insert_new(df, _known_keys(others, tables[name], hk), hk))
+            # a few files per prefix, whatever the number of tasks
+            (rows.withColumn(PREFIX, _prefix(hk)).hint("rebalance", PREFIX).write.mode("overwrite").partitionBy(PREFIX)
+             .parquet(f"{path}/load={key}"))
+        counts[name] = (_n(offered), _n(inserted))
     return counts
 
 
 def read_vault(spark: SparkSession, root: str, names) -> dict[str, DataFrame]:
-    """All loads of each target (history), without the folder column."""
-    return {n: spark.read.parquet(f"{root.rstrip('/')}/{n}").drop("load") for n in names}
+    """All loads of each target (history), without the folder columns."""
+    return {n: spark.read.parquet(f"{root.rstrip('/')}/{n}").drop("load", PREFIX) for n in names}
+
+
+class CurrentVault(dict):
+    """Tables of which the satellites have one row per key: nothing has to be
+    picked from a history."""
+
+
+def read_vault_current(spark: SparkSession, root: str, names) -> CurrentVault:
+    """Hubs and links, and the snapshot of each satellite (W-03)."""
+    root = root.rstrip("/")
+    hubs = read_vault(spark, root, [n for n in names if not _is_sat(n)])
+    return CurrentVault(hubs | {n: buckets.read(spark, f"{root}/{n}__current") for n in names if _is_sat(n)})
 
 
 def bucket_key(table: str, df: DataFrame) -> str:
@@ -206,7 +282,7 @@ def bucket_key(table: str, df: DataFrame) -> str:
     return df.columns[0]
 
 
-def write_vault_bucketed(spark: SparkSession, tables, root: str, buckets: int,
+def write_vault_bucketed(spark: SparkSession, tables, root: str, n_buckets: int,
                          database: str = "creditlake_vault", load_dts=LOAD_DTS) -> dict[str, tuple[int, int]]:
     """At-scale layout: every vault table bucketed (and sorted) by its join
     key with the same bucket count, partitioned by load, as catalog tables
@@ -214,25 +290,28 @@ def write_vault_bucketed(spark: SparkSession, tables, root: str, buckets: int,
     bucket: the chain of joins and the current-version windows need no
     shuffle.  A load replaces only its own partition (dynamic partition
     overwrite), so a retried load never duplicates rows and earlier loads stay;
-    hubs and links skip keys of earlier loads.  Returns (rows offered, rows
-    inserted) per table."""
+    hubs and links skip keys of all other loads.  Returns (rows offered, rows
+    inserted) per table, observed while writing."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root.rstrip('/')}'")
     load, counts = _load_key(load_dts), {}
     for name in load_order(tables):
         df, table = tables[name], f"{database}.{name}"
         key = bucket_key(name, df)
         exists = spark.catalog.tableExists(table)
-        earlier = spark.table(table).where(F.col("load") < load) if exists else None
+        others = spark.table(table).where(F.col("load") != load) if exists else None
+        df, offered = _counted(df)
+        rows = df if _is_sat(name) else insert_new(df, others, df.columns[0])
+        rows, inserted = _counted(rows)
 
         # one shuffle on the bucket key first: each task then holds exactly one
         # bucket and writes one file for it (not one file per bucket per task)
-        out = _rows_to_insert(name, df, earlier).repartition(buckets, key).withColumn("load", F.lit(load))
+        out = rows.repartition(n_buckets, key).withColumn("load", F.lit(load))
         if exists:
             _overwrite_load(spark, out, table)
         else:
             (out.write.option("path", f"{root.rstrip('/')}/{name}").partitionBy("load")
-             .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
-        counts[name] = _counts(name, df, spark.table(table).where(F.col("load") == load))
+             .bucketBy(n_buckets, key).sortBy(key).saveAsTable(table))
+        counts[name] = (_n(offered), _n(inserted))
     return counts
 
 

@@ -10,7 +10,7 @@ and are dropped (strip) last, so strip wins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -96,6 +96,65 @@ def read_raw(spark: SparkSession, path: str, encoding: str = "utf-8", multiline:
             .option("multiLine", multiline).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
 
 
+CORRUPT = "_corrupt_record"
+_PLACE = ("_file", "_block", "_at")
+REJECTS = ("file", "record", "column", "text", "reason")
+
+
+def read_checked(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """All-text rows by the header, the raw text of lines with another number of
+    fields, and where each row stands."""
+    header = read_raw(spark, path, encoding).schema
+    schema = StructType([*header.fields, StructField(CORRUPT, StringType(), True)])
+    rows = (spark.read.schema(schema).option("header", True).option("encoding", encoding).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path))
+    return rows.select("*", F.col("_metadata.file_path").alias(_PLACE[0]), F.col("_metadata.file_block_start").alias(_PLACE[1]),
+                       F.monotonically_increasing_id().alias(_PLACE[2]))
+
+
+def _fault(text: Column, typ: str, foreign_key: bool) -> Column:
+    """Why a field that is not blank has no value, null if it has one."""
+    if typ == "string" or foreign_key:
+        return F.lit(None).cast("string")
+    number = py_float(text)
+    endless = F.lower(F.trim(text)).rlike("^[+-]?inf(inity)?$") | F.coalesce(F.abs(number) == float("inf"), F.lit(False))
+    return F.when(text.isNull() | (text == ""), F.lit(None)).when(endless, F.lit("infinite")).when(
+        number.isNull(), F.lit("not a number")).when(coerce(text, typ).isNull(), F.lit("out of range"))
+
+
+def rejects(checked: DataFrame, key: str) -> DataFrame:
+    """P-03: (file, record, column, text, reason) of every field that became null
+    or is infinite, and (without a column) of every line with another number of
+    fields than the header, whose missing fields are null.  ``record`` counts
+    the rows of a file from 1; empty lines and the header are none.
+
+    Rows are numbered where they are read: the first number and the count of
+    each part of a file (one row per part) place them."""
+    spec = DATASETS[key]
+    raw = normalize_columns(checked)
+    have, fks = set(raw.columns), set(FOREIGN_KEYS.get(key, ()))
+    cell = "struct<column:string,text:string,reason:string>"
+    faults = [F.struct(F.lit(c).alias("column"), F.col(c).alias("text"), _fault(F.col(c), t, c in fks).alias("reason"))
+              for c, t in spec.columns if c in have and t != "string"]
+    ragged = F.when(F.col(CORRUPT).isNotNull(), F.array(F.struct(
+        F.lit(None).cast("string").alias("column"), F.col(CORRUPT).alias("text"), F.lit("wrong number of fields").alias("reason"))))
+    found = F.concat(F.coalesce(ragged, F.array().cast(f"array<{cell}>")),
+                     F.filter(F.array(*faults), lambda x: x["reason"].isNotNull()).cast(f"array<{cell}>"))
+    bad = raw.select(*_PLACE, F.inline(found))
+    parts = raw.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return bad.join(parts, ["_file", "_block"]).select(
+        F.col("_file").alias("file"), (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("record"), "column", "text", "reason")
+
+
+def load_checked(spark: SparkSession, key: str, path: str, strip_junk: bool = True, enrich_junk: bool = False,
+                 encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
+    """(typed rows, rejects) of a file: S-05 with its faults told."""
+    checked = read_checked(spark, path, encoding)
+    return typed(checked.drop(CORRUPT, *_PLACE), key, strip_junk, enrich_junk), rejects(checked, key)
+
+
 def load_file(spark: SparkSession, key: str, path: str, strip_junk: bool = True,
               enrich_junk: bool = False, limit: int | None = None, encoding: str = "utf-8",
               multiline: bool = False) -> DataFrame:

@@ -1,17 +1,19 @@
 """Streaming jobs.  Batch and stream share the same transformation
 functions; the sinks are idempotent per micro-batch id (a re-run of a
-batch after an executor or driver loss rewrites the same folder)."""
+batch after an executor or driver loss rewrites the same folder, or finds its
+version of the table committed and changes nothing)."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import decisions as D
 from ..plans import explain as X
+from ..schemas import DATASETS
+from ..sources import buckets
 from ..sources import csv as CSV
 from ..sources.fixtures import ADAPTERS
 
@@ -23,6 +25,8 @@ def _batch_writer(root: str):
 
 
 FILES_PER_BATCH = 64
+#: fields of a line that are read, besides twice the dataset's columns
+MORE_FIELDS = 64
 
 
 def _read_files(spark: SparkSession, key: str, paths: list[str], **how) -> tuple[list[DataFrame], list[tuple[str, str]]]:
@@ -37,52 +41,106 @@ def _read_files(spark: SparkSession, key: str, paths: list[str], **how) -> tuple
     return good, bad
 
 
+def _fields(line: Column, n: int) -> Column:
+    """The first ``n`` fields of a CSV line as an array of text."""
+    row = F.from_csv(line, ", ".join(f"c{i} string" for i in range(n)), {"escape": '"'})
+    return F.array(*[row[f"c{i}"] for i in range(n)])
+
+
+def lines_by_header(lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of CSV lines (value, file, block: where the line's part of
+    the file begins): text columns of dataset ``key``, found in each line by the
+    names in the first line of its file; and (path, error) of the files whose
+    first line lacks columns, of which no row is returned.
+
+    ``lines`` is read once for both if it is persisted.  One row per file meets
+    the lines in a join; nothing is read on the driver."""
+    spec = DATASETS[key]
+    wanted = [c for c, _ in spec.columns]
+    n = 2 * len(wanted) + MORE_FIELDS
+    numbered = lines.select("value", "file", "block", F.monotonically_increasing_id().alias("at"))
+    first = numbered.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"), F.min("at").alias("head_at"))
+    names = F.transform(_fields(F.col("header"), n), lambda x: F.lower(F.trim(x)))
+    lacking = F.filter(F.array(*[F.lit(c) for c in spec.data_columns]), lambda c: ~F.array_contains(F.col("names"), c))
+    heads = first.withColumn("names", F.array_compact(names)).withColumn("lacking", lacking).select(
+        "file", "head_at", F.array(*[F.array_position("names", F.lit(c)) for c in wanted]).alias("places"), "lacking")
+    more = F.when(F.size("lacking") > 10, F.lit("...")).otherwise(F.lit(""))
+    errors = heads.where(F.size("lacking") > 0).select(F.col("file").alias("path"), F.concat(
+        F.lit(f"{key}: missing columns: "), F.upper(F.array_join(F.slice("lacking", 1, 10), ", ")), more).alias("error"))
+    body = numbered.join(heads.where(F.size("lacking") == 0), "file").where((F.col("at") != F.col("head_at")) & (F.trim("value") != ""))
+    body = body.select(_fields(F.col("value"), n).alias("fields"), "places")
+    rows = body.select(*[F.get("fields", F.get("places", F.lit(i)) - 1).alias(c) for i, c in enumerate(wanted)])
+    return rows, errors
+
+
 def ingest_csv_stream(spark: SparkSession, key: str, input_dir: str, target_dir: str,
                       checkpoint: str, strip_junk: bool = True, enrich_junk: bool = False,
                       available_now: bool = True, multiline: bool = False):
     """R-01 / S-11: new CSV files of one dataset -> typed rows -> parquet,
-    one folder per micro-batch.  The stream only discovers files (at most
-    ``FILES_PER_BATCH`` a batch); each is read with the batch loader, so
-    columns are found by the names in its own header.  A file that lacks
-    columns becomes a row below ``<target>_errors`` and stops no other.
+    one folder per micro-batch.  A micro-batch (at most ``FILES_PER_BATCH``
+    files) is one scan of lines; columns are found by the names in each file's
+    own first line.  A file that lacks columns becomes a row below
+    ``<target>_errors`` and stops no other; an empty file has nothing to tell.
+    ``multiline`` (line ends inside quotes) can't be read by lines: then the
+    stream only discovers files and each is read whole.
     Returns the started query."""
-    how = {"strip_junk": strip_junk, "enrich_junk": enrich_junk, "multiline": multiline}
-    found = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-             .option("maxFilesPerTrigger", FILES_PER_BATCH).option("pathGlobFilter", "*.csv").load(input_dir).select("path"))
+    how = {"strip_junk": strip_junk, "enrich_junk": enrich_junk}
     rows, errors = _batch_writer(target_dir), _batch_writer(f"{target_dir.rstrip('/')}_errors")
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        good, bad = _read_files(spark, key, sorted(r.path for r in batch.collect()), **how)
+        lines = batch.persist()
+        try:
+            good, bad = lines_by_header(lines, key)
+            rows(CSV.typed(good, key, **how), batch_id)
+            bad = bad.persist()
+            if not bad.isEmpty():
+                errors(bad, batch_id)
+            bad.unpersist()
+        finally:
+            lines.unpersist()
+
+    def land_whole(batch: DataFrame, batch_id: int) -> None:
+        good, bad = _read_files(spark, key, sorted(r.path for r in batch.collect()), multiline=True, **how)
         if good:
             rows(reduce(DataFrame.unionByName, good), batch_id)
         if bad:
             errors(spark.createDataFrame(bad, "path string, error string"), batch_id)
-    w = found.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    stream = spark.readStream.option("maxFilesPerTrigger", FILES_PER_BATCH).option("pathGlobFilter", "*.csv")
+    if multiline:
+        found = (stream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+                 .load(input_dir).select("path"))
+    else:
+        found = stream.text(input_dir).select("value", F.col("_metadata.file_path").alias("file"),
+                                              F.col("_metadata.file_block_start").alias("block"))
+    w = found.writeStream.foreachBatch(land_whole if multiline else land).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def score_requests(requests: DataFrame) -> DataFrame:
-    """Shared by batch and stream: rule score, decision and brief
-    explanation of each request (all per row: no state, no shuffle)."""
-    s = X.score_heuristic(requests)
-    p = F.col("default_probability")
-    return s.select("request_id", "application_id", "requested_at", "default_probability", "confidence",
-                    "model_version", D.decision_by_probability(p).alias("decision"),
-                    X.explanation_text(p, F.lit("brief"), F.array().cast(
-                        "array<struct<feature:string,value:double,impact:double,advice:string>>"))
-                    .alias("explanation_text"))
+    """Shared by batch and stream: rule score, decision, ranked factors,
+    recommendations and brief text of each request (all per row: no state, no
+    shuffle)."""
+    scored = X.score_heuristic(requests).withColumnRenamed("confidence", "score_confidence")
+    e = X.explain(scored, "brief", keep=("request_id", "requested_at", "score_confidence"))
+    return e.select("request_id", "application_id", "requested_at", "default_probability", F.col("score_confidence").alias("confidence"),
+                    "model_version", "decision", "explanation_text", "key_factors", "recommendations",
+                    F.col("confidence").alias("explanation_confidence"))
 
 
 def score_stream(spark: SparkSession, events_dir: str, target_dir: str, checkpoint: str,
                  available_now: bool = True, glob: str = "events.parquet"):
-    """R-02: arriving events -> score requests -> scores appended per batch."""
+    """R-02: arriving events -> score requests -> the latest result of each
+    application in a bucketed table, upserted with the batch id as version: a
+    batch that is run again changes nothing, and readers need no window."""
     schema = spark.read.parquet(f"{events_dir.rstrip('/')}/{glob}").schema
     events = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
               .option("maxFilesPerTrigger", 16).parquet(events_dir))
-    requests = spark.sql(ADAPTERS["stream_score_request"], events=events)
-    scored = score_requests(requests)
-    w = scored.writeStream.foreachBatch(_batch_writer(target_dir)).option("checkpointLocation", checkpoint)
+    scored = score_requests(spark.sql(ADAPTERS["stream_score_request"], events=events))
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        buckets.upsert(batch, target_dir, ["application_id"], ["requested_at", "request_id"], version=batch_id)
+    w = scored.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 

@@ -106,3 +106,48 @@ def test_required_inputs_are_listed():
     require_inputs(REQUIRED_FILES)
     with pytest.raises(FileNotFoundError, match="bureau, pos_cash_balance"):
         require_inputs([f for f in REQUIRED_FILES if f not in ("bureau", "pos_cash_balance")])
+
+
+def test_rejects_are_told(spark):
+    path = _write('SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n1,-1,0\n2,abc,C\n\n3,inf,"a, b"\n4,,X\n5,1e999\n6,3000000000,C,more\n7,-1.9,\n')
+    rows, bad = CSV.load_checked(spark, "bureau_balance", path)
+    got = sorted((r.record, r.column, r.text, r.reason) for r in bad.collect() if r.column)
+    assert got == [(2, "months_balance", "abc", "not a number"), (3, "months_balance", "inf", "infinite"),
+                   (5, "months_balance", "1e999", "infinite"), (6, "months_balance", "3000000000", "out of range")]
+    lines = sorted((r.record, r.text, r.reason) for r in bad.collect() if not r.column)
+    assert lines == [(5, "5,1e999", "wrong number of fields"), (6, "6,3000000000,C,more", "wrong number of fields")]
+    assert all(r.file.endswith("f.csv") for r in bad.collect())
+    assert sorted((r.sk_id_bureau, r.months_balance, r.status) for r in rows.collect())[4] == ("5", None, None)
+    assert rows.count() == 7
+
+
+def test_reject_records_count_through_file_parts(spark):
+    path = _write("SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n" + "".join(f"{i},{'x' if i % 100 == 0 else i},C\n" for i in range(1, 3001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        _, bad = CSV.load_checked(spark, "bureau_balance", path)
+        assert bad.sparkSession.read.text(path).rdd.getNumPartitions() > 4
+        assert sorted(r.record for r in bad.collect()) == list(range(100, 3001, 100))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_stream_scans_lines_once(spark, tmp_path):
+    """Quoted commas, blank lines, many parts of a file, extra columns, and files
+    whose first line lacks columns."""
+    from creditlake.streaming.jobs import lines_by_header
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.csv").write_text(" months_balance ,EXTRA,STATUS,SK_ID_BUREAU\n" + "".join(f'-{i},x,"s, ""{i}""",{i}\n\n' for i in range(1, 900)))
+    (src / "b.csv").write_text("STATUS,OTHER\nX,1\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        lines = spark.read.text(str(src)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        good, bad = lines_by_header(lines, "bureau_balance")
+        rows = {r.sk_id_bureau: (r.months_balance, r.status) for r in CSV.typed(good, "bureau_balance").collect()}
+        assert rows == {str(i): (-i, f's, "{i}"') for i in range(1, 900)}
+        assert [(r.path[-5:], r.error) for r in bad.collect()] == [("b.csv", "bureau_balance: missing columns: SK_ID_BUREAU, MONTHS_BALANCE")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
