@@ -28,10 +28,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPES = frozenset("ul ol dl table select body html".split())
 
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?:{RAW})\b[^>]*>.*?(?:</(?:{RAW})\s*>|\Z)|<[!?][^>]*>?"""
+    rf"""<!--.*?(?:-->|\Z)|<(?:{RAW})(?=[\s/>])[^>]*>.*?(?:</(?:{RAW})\s*>|\Z)|<[!?][^>]*>?"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>?""",
     re.S | re.I)
-RAW_OPEN = re.compile(rf"""<({RAW})\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+>)?""", re.I)
+RAW_OPEN = re.compile(rf"""<({RAW})(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+>)?""", re.I)
 #: an unquoted value takes the slash
 EMPTY = re.compile(r"""(?<!=)/\s*>\Z""")
 UNQUOTED = re.compile(r"""=\s*[^\s"'>]+>\Z""")
@@ -46,13 +46,24 @@ class Block(NamedTuple):
     link_chars: int
 
 
+def _is_xhtml(html: str) -> bool:
+    """By what stands up to the first start tag, this one included."""
+    at = 0
+    while (lt := html.find("<", at)) >= 0:
+        m = TOKEN.match(html, lt)
+        at = m.end() if m else lt + 1
+        if m and (m[2] or m[5] or RAW_OPEN.match(html, lt)):
+            break
+    return bool(XHTML.search(html, 0, at))
+
+
 def _raw_end(html: str, m: re.Match) -> int | None:
     """A raw element ends at its own end tag, not at another raw element's."""
     name = RAW_OPEN.match(html, m.start())
     if not name:
         return None
     rest = name[2] or ""
-    if EMPTY.search(rest) and not UNQUOTED.search(rest) and (name[1].lower() in EMPTY_RAW or XHTML.search(html, 0, 2000)):
+    if EMPTY.search(rest) and not UNQUOTED.search(rest) and (name[1].lower() in EMPTY_RAW or _is_xhtml(html)):
         return name.end()
     end = re.compile(rf"</{name[1]}\s*>", re.I).search(html, m.start())
     return end.end() if end else len(html)

@@ -245,11 +245,13 @@ def marked(page: list[Block]) -> list[int] | None:
     if not any("article" in t or "main" in t for t in tags):
         return None
     def is_main(b, t):
-        inside = max((i for i, x in enumerate(t) if x in ("article", "main")), default=None)
+        inside = min((i for i, x in enumerate(t) if x in ("article", "main")), default=None)
         if inside is None:
             return 0
-        below = b.path[inside + 1:]
-        return int(not any(x in OTHER_TAGS for x in t[inside + 1:]) and not any(w in OTHER_WORDS for e in below for w in e.split(" ")[1:]))
+        # an article in an article is a comment or a teaser; one in main is the article
+        nested = t[inside + 1:].count("article") > (t[inside] == "main")
+        return int(not nested and not any(x in OTHER_TAGS for x in t)
+                   and not any(w in OTHER_WORDS for e in b.path for w in e.split(" ")[1:]))
     return [is_main(b, t) for b, t in zip(page, tags)]
 
 

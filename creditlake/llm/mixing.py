@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from creditlake.session import ensure_checkpoint_dir
 
-from .columns import words
+from .columns import unused, words
 
 BLOCK = 256
 MAX_EPOCHS = 3
@@ -188,10 +188,11 @@ def repeat(docs: DataFrame, takes: DataFrame, text: str = "text") -> DataFrame:
     """The mix as whole documents: every row as often as the mix takes its
     words, rounded (halves up), so one that is taken for less than half goes.
     Rows of one doc_id, source and size are repeated alike."""
+    size, time = unused(docs, "size_of"), unused(docs, "time")
     times = takes.where("size > 0").groupBy("doc_id", "source", "size").agg(
-        F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times"))
-    t, d = times.where("_times > 0").alias("t"), docs.withColumn("_size", F.size(words(F.col(text))).cast("long")).alias("d")
+        F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("times")).where("times > 0")
+    t, d = times.alias("t"), docs.withColumn(size, F.size(words(F.col(text))).cast("long")).alias("d")
     on = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-          & (F.col("d._size") == F.col("t.size")))
+          & (F.col(f"d.{size}") == F.col("t.size")))
     return d.join(t, on).select(*[F.col(f"d.{c}") for c in docs.columns],
-                                F.explode(F.sequence(F.lit(1), F.col("t._times"))).alias("_time")).drop("_time")
+                                F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias(time)).drop(time)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from creditlake.session import ensure_checkpoint_dir
 
+from .columns import unused
 from .components import components
 
 SHINGLE = 3
@@ -115,13 +116,28 @@ def groups(docs: DataFrame, text: str = "text", size: int = SHINGLE, distance: i
 
 
 def deduplicate(docs: DataFrame, text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents that stay: one of each component, the smallest doc_id (of
-    repeated rows the first by a hash of the text).  Documents without a
-    doc_id can't be named and stay."""
-    from pyspark.sql import Window
-    keep = groups(docs.where("doc_id is not null"), text, size, distance).select(
-        F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64(text))
-    kept = kept.withColumn("_copy", F.row_number().over(w)).where("_copy = 1").drop("_copy")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows that stay: one of each component, the smallest by doc_id, then by
+    a hash of the text; rows of one doc_id but of different components all stay.
+    Of rows equal in both, the smallest by the other columns stays.  Documents
+    without a doc_id can't be named and stay."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    tag = unused(docs, "tag")
+    rows = docs.where("doc_id is not null").withColumn(tag, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(2).cast(pa.large_binary())
+            out = pa.array([fingerprint(t.as_py() or b"", size) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], names=["doc_id", "tag", "fp"])
+    fps = rows.select(F.col("doc_id").cast("long"), tag, F.col(text).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, tag long, fp long")
+    # of equal fingerprints one row can stay at most
+    classes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("row")).checkpoint()
+    member = components(links(classes, distance)).checkpoint()
+    root = classes.join(member, classes["fp"] == member["node"], "left").select(F.coalesce("component", "fp").alias("root"), "row")
+    keep = root.groupBy("root").agg(F.min("row").alias("row")).select(
+        F.col("row.doc_id").alias("keep_id"), F.col("row.tag").alias("keep_tag"))
+    d, k = rows.alias("d"), keep.alias("k")
+    stay = d.join(k, (F.col("d.doc_id") == F.col("k.keep_id")) & (F.col(f"d.{tag}") == F.col("k.keep_tag")), "left_semi")
+    whole = stay.groupBy("doc_id", tag).agg(F.min(F.struct(*docs.columns)).alias("stay"))
+    return whole.select(*[F.col("stay")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

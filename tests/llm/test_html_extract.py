@@ -109,3 +109,22 @@ def test_empty_raw_tags_swallow_nothing():
     assert text('<p>a</p><script src="x"/>y</script><p>b</p>') == ["a", "b"]
     head = '<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml"><head><script src="x"/><title/></head>'
     assert text(head + "<body><p>a</p></body></html>") == ["a"]
+
+
+def test_custom_elements_and_late_doctype():
+    from creditlake.llm.html_blocks import blocks
+    text = lambda h: [b.text for b in blocks(h)]
+    assert text("<p>alpha</p><title-bar>x</title-bar><p>beta</p>") == ["alpha", "x", "beta"]
+    assert text("<article><object-list><p>one</p></object-list><p>two</p></article>") == ["one", "two"]
+    assert text("<p>a</p><style-guide/><p>b</p>") == ["a", "b"] and text("<p>a<style>x</style><script\n>y</script>b</p>") == ["ab"]
+    late = "<!-- <p> " + "long " * 2000 + " --><!DOCTYPE html PUBLIC '-//W3C//DTD XHTML 1.0 Strict//EN'><html><script src='x'/><p>kept</p>"
+    assert text(late) == ["kept"] and text("<html><script src='x'/><p>gone</p>") == []
+
+
+def test_marked_leaves_comments_and_teasers_out():
+    from creditlake.llm import html_extract as he
+    from creditlake.llm.html_blocks import blocks
+    label = lambda h: he.marked(blocks(h))
+    assert label('<article><p>main</p><section class="comments"><article class="comment"><p>c</p></article></section></article>') == [1, 0]
+    assert label('<article><p>main</p></article><aside class="related"><article><p>t</p></article></aside>') == [1, 0]
+    assert label('<main><article><p>main</p><article><p>reply</p></article></article></main><article class="comment"><p>c</p></article>') == [1, 0, 0]

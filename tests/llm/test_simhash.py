@@ -60,3 +60,13 @@ def test_edges_and_deduplicate(spark, edge_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
     nameless = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in sh.deduplicate(nameless).collect()) == [0, 0, 1]
+
+
+def test_rows_of_one_id_stay_by_their_own_text(spark):
+    text = "the quick brown fox jumps over the lazy dog near the river bank today"
+    rows = [(1, "alpha beta gamma delta", "a", 1), (1, "completely other words stand here now", "b", 2), (2, text, "c", 3), (3, text, "d", 4),
+            (None, text, "e", 5), (None, "only here and nowhere else at all", "f", 6), (2, text, "c", 3), (2, text, "b", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tag int")
+    kept = sh.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[3]) == [rows[0], rows[1], rows[4], rows[5], rows[7]]
