@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -185,8 +186,12 @@ def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
 
 
 def _n(seen: Observation) -> int:
-    """The observed count; a branch that turned out empty may not have run."""
-    return seen.get.get("n", 0)
+    """The observed count.  An input that turns out to have no rows is planned
+    away at run time, and its observation with it: then there is nothing to get."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return 0
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -247,9 +252,7 @@ def write_vault(tables, root: str, load_dts=LOAD_DTS, mode: str = "always", snap
         else:
             hk = df.columns[0]
             rows, inserted = _counted(insert_new(df, _known_keys(others, tables[name], hk), hk))
-            # a few files per prefix, whatever the number of tasks
-            (rows.withColumn(PREFIX, _prefix(hk)).hint("rebalance", PREFIX).write.mode("overwrite").partitionBy(PREFIX)
-             .parquet(f"{path}/load={key}"))
+            rows.withColumn(PREFIX, _prefix(hk)).write.mode("overwrite").partitionBy(PREFIX).parquet(f"{path}/load={key}")
         counts[name] = (_n(offered), _n(inserted))
     return counts
 
