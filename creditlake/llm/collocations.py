@@ -190,13 +190,14 @@ def _phrases(hashes: np.ndarray, codes: np.ndarray, new: np.ndarray, old: np.nda
     for order in range(2, MOST_WORDS + 1):
         # a phrase begins where two of the order before, both proposed, begin at neighbouring places
         pair = np.flatnonzero((at[1:] == at[:-1] + 1) & in_new[1:] & in_new[:-1])
-        fresh = ~(in_old[pair] & in_old[pair + 1])
+        counted = in_old[pair] & in_old[pair + 1]
         at = at[pair]
         key = _join(key[pair], hashes[codes[at + (order - 1)]])
-        yield order, at[fresh], key[fresh]
+        yield order, at[~counted], key[~counted]
         if order < MOST_WORDS:
             in_new = _has(new, key)
-            in_old = _has(old, key) if old is not None else np.zeros(len(at), bool)
+            # a bit that others set in ``old`` tells nothing of a phrase that the pass with it did not reach
+            in_old = counted & _has(old, key) if old is not None else counted
 
 
 def _width(tokens: int) -> int:

@@ -102,3 +102,22 @@ def test_blocks_round_trip():
         assert (got == keys).all() and (m == n).all()
     keys, n = collocations._summed([np.array([3, 5], np.uint64), np.array([5, 9], np.uint64)], [np.array([1, 2]), np.array([10, 20])])
     assert keys.tolist() == [3, 5, 9] and n.tolist() == [1, 12, 20]
+
+
+def test_phrase_with_a_shared_bit_is_counted_once():
+    """The bit of "a a a" is set in the earlier bitmap by another phrase, that of
+    "a a" is not: the earlier pass does not reach "a a a a", so the later one must."""
+    word = np.array([0x1234_5678_9ABC_DEF1], np.uint64)
+    two = collocations._join(word, word)
+    three = collocations._join(two, word)
+
+    def bitmap(*keys):
+        bits = np.zeros(collocations.FILTER_BITS // 64, np.uint64)
+        for key in keys:
+            slot = key >> collocations._shift(64 * len(bits))
+            bits[slot >> np.uint64(6)] |= np.uint64(1) << (slot & np.uint64(63))
+        return bits
+    codes, old, new = np.zeros(6, np.int32), bitmap(word, three), bitmap(word, two, three)
+    places = [(order, int(at)) for bits in ((old, None), (new, old)) for order, spots, _ in collocations._phrases(word, codes, *bits)
+              for at in spots]
+    assert sorted(places) == [(order, at) for order in (2, 3, 4) for at in range(7 - order)]
