@@ -3,9 +3,9 @@
 Numbers are put into at most ``BINS`` quantile bins once.  A tree is symmetric:
 all nodes of a level share one split, so a tree is a list of (feature, bin) and
 2^depth leaves.  For each level the tasks add up gradients and Hessians by
-(feature, leaf, bin) from the rows they hold, the sums are added up over the
-tasks, each feature names its best split, and one row per feature reaches the
-driver.  Leaves are Newton steps with an L2 term.  Training stops some rounds
+(feature, leaf, bin) from all rows they hold, one packed row per feature and
+task travels, the sums are added up over the tasks, each feature names its best
+split, and one row per feature reaches the driver.  Leaves are Newton steps with an L2 term.  Training stops some rounds
 after the best AUC of the validation rows and keeps the trees up to it.
 
 What travels is bounded by features x leaves x bins, at any number of rows.
@@ -137,15 +137,29 @@ def gradients(score: np.ndarray, label: np.ndarray, positive_weight: float) -> t
     return np.rint(w * (label - p) * UNIT).astype(np.int64), np.rint(w * p * (1 - p) * UNIT).astype(np.int64)
 
 
-def histogram(binned: np.ndarray, leaf: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int):
-    """(feature, leaf * bins + bin, g, h, n) sums that are not empty."""
-    for f in range(binned.shape[1]):
-        slot = leaf * bins + binned[:, f]
-        n = np.bincount(slot)
-        used = np.flatnonzero(n)
+def add_histogram(sums: np.ndarray, binned: np.ndarray, leaf: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int) -> None:
+    """Add a batch's rows to ``sums`` (g, h and n by feature and leaf * bins + bin)."""
+    slots = leaf[None, :] * bins + binned.T
+    for f, slot in enumerate(slots):
         # a batch's sums stay below 2^53, so they are exact as doubles
-        yield (np.full(len(used), f, np.int32), used, np.bincount(slot, g)[used].astype(np.int64),
-               np.bincount(slot, h)[used].astype(np.int64), n[used])
+        for k, weights in enumerate((g, h, None)):
+            sums[k, f] += np.bincount(slot, weights, sums.shape[2]).astype(np.int64)
+
+
+def packed(sums: np.ndarray) -> bytes:
+    """The slots of (g, h, n) sums that have rows, with their sums."""
+    used = np.flatnonzero(sums[2])
+    return np.concatenate([used[None], sums[:, used]]).astype("<i8").tobytes()
+
+
+def added_up(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(slot, g, h, n) over all packed sums, by ascending slot."""
+    cols = np.concatenate([np.frombuffer(b, "<i8").reshape(4, -1) for b in blocks], axis=1)
+    slots, at = np.unique(cols[0], return_inverse=True)
+    out = np.zeros((3, len(slots)), np.int64)
+    for row, col in zip(out, cols[1:]):
+        np.add.at(row, at, col)
+    return slots, *out
 
 
 def gain(g: np.ndarray, h: np.ndarray, l2: float) -> np.ndarray:
@@ -209,7 +223,13 @@ def _bins(columns: list[pa.Array], cuts: list[np.ndarray]) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, features: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), features)
+    """The bytes of a column of ``features`` bytes in each row."""
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, places, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros((len(column), features), np.uint8)
+    first = int(np.frombuffer(places, width, 1, column.offset * np.dtype(width).itemsize)[0])
+    return np.frombuffer(data, np.uint8, len(column) * features, first).reshape(len(column), features)
 
 
 def _level(rows: DataFrame, n_features: int, trees: list[Tree], splits: list[tuple[int, int]], number: int, s: Settings,
@@ -220,7 +240,8 @@ def _level(rows: DataFrame, n_features: int, trees: list[Tree], splits: list[tup
     bins, leaves = s.bins, 1 << len(splits)
 
     def sums(batches):
-        names = ["feature", "slot", "g", "h", "n"]
+        full = np.zeros((3, n_features, leaves * bins), np.int64)
+        aucs = np.zeros((3, SCORE_BINS), np.int64)
         for b in batches:
             binned = _matrix(b.column("bins"), n_features)
             label = b.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
@@ -228,18 +249,21 @@ def _level(rows: DataFrame, n_features: int, trees: list[Tree], splits: list[tup
             score = add_trees(b.column("score").to_numpy(), binned, trees)
             mine = ~held & sampled(b.column("hash").to_numpy(), s.seed, number, s.subsample)
             g, h = gradients(score[mine], label[mine], s.positive_weight)
-            parts = list(histogram(binned[mine], leaf_of(binned[mine], splits), g, h, bins))
+            add_histogram(full, binned[mine], leaf_of(binned[mine], splits), g, h, bins)
             if with_auc:
-                used, at = np.unique(score_bin(score[held]), return_inverse=True)
-                good = np.bincount(at, label[held] > 0, len(used)).astype(np.int64)
-                all_ = np.bincount(at, minlength=len(used)).astype(np.int64)
-                parts.append((np.full(len(used), -1, np.int32), used, good, all_ - good, all_))
-            for cols in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+                at = score_bin(score[held])
+                good, all_ = (np.bincount(at, w, SCORE_BINS).astype(np.int64) for w in (label[held] > 0, None))
+                aucs += np.stack([good, all_ - good, all_])
+        parts = [(f, packed(full[:, f])) for f in range(n_features) if full[2, f].any()]
+        if aucs.any():
+            parts.append((-1, packed(aucs)))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
+                                             names=["feature", "sums"])
 
     def choose(table: pa.Table) -> pa.Table:
         f = table.column("feature")[0].as_py()
-        slot, g, h, n = (table.column(c).to_numpy() for c in ("slot", "g", "h", "n"))
+        slot, g, h, n = added_up(table.column("sums").to_pylist())
         if f < 0:
             row = (f, auc_of(slot, g, h), None, [], [], [])
         else:
@@ -247,9 +271,8 @@ def _level(rows: DataFrame, n_features: int, trees: list[Tree], splits: list[tup
         kinds = [pa.int32(), pa.float64(), pa.int32()] + [pa.list_(pa.int64())] * 3
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["feature", "gain", "bin", "g", "h", "n"])
 
-    found = (rows.mapInArrow(sums, "feature int, slot long, g long, h long, n long")
-             .groupBy("feature", "slot").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-             .groupBy("feature").applyInArrow(choose, "feature int, gain double, bin int, g array<long>, h array<long>, n array<long>"))
+    found = (rows.mapInArrow(sums, "feature int, sums binary").groupBy("feature")
+             .applyInArrow(choose, "feature int, gain double, bin int, g array<long>, h array<long>, n array<long>"))
     return found.collect()
 
 
