@@ -15,6 +15,7 @@ from ..operators.features import (
     child_aggregate, fill_minus_one, label_encode, string_columns,
 )
 from ..schemas import DATASETS
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import staged
 
 KEY = "sk_id_curr"
@@ -46,7 +47,9 @@ def file_features(app_train: DataFrame, app_test: DataFrame, bureau: DataFrame,
     them to separate id/target files).  ``encode_fit='separate'`` fits the
     label codes on each frame (reference behaviour, D19); ``'train'`` reuses
     the training classes for the test frame (unseen -> -1)."""
-    children = child_features(bureau, cc, pos, prev)
+    # both frames join the children: they are aggregated once
+    ensure_checkpoint_dir(app_train.sparkSession)
+    children = [c.checkpoint() for c in child_features(bureau, cc, pos, prev)]
     train = assemble(app_train, children)
     test = assemble(app_test, children)
     cats = string_columns(train, exclude=(KEY,))

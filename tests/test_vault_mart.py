@@ -131,3 +131,47 @@ def test_second_load_keeps_history_and_unique_keys(spark, tmp_path):
     for stored in (read_vault(spark, files, names), read_vault_tables(spark, database)):
         assert stored[names[0]].count() == stored[names[0]].select("hk_application").distinct().count() == n_all
         assert {r.load_dts.month: r["count"] for r in stored[names[1]].groupBy("load_dts").count().collect()} == {1: n_part, 2: n_all}
+
+
+def test_reduced_satellites_are_shuffled_once(spark):
+    """Reducing a load, picking versions and grouping by the parent's key share one shuffle."""
+    from creditlake.operators.vault import current_rows
+    from creditlake.plans import vault_specs as V
+    from creditlake.plans.vault_load import multi_active_targets
+    rows = spark.createDataFrame([(1, 7, -1, 3.0, "A"), (1, 7, -1, 2.0, "A"), (2, 7, -1, None, None), (None, 7, -2, 1.0, "B")],
+                                 "sk_id_prev bigint, sk_id_curr bigint, months_balance int, cnt_instalment double, name_contract_status string")
+    per_loan = current_rows(multi_active_targets(rows, V.SAT_POS), V.SAT_POS.key_columns).groupBy("hk_prev_application").count()
+    assert sorted(r["count"] for r in per_loan.collect()) == [1, 1]
+    assert per_loan._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    plan = per_loan._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_links_are_one_row_per_pair_and_dealt_by_the_child(spark):
+    from creditlake.operators.vault import link_frame
+    from creditlake.plans import vault_specs as V
+    rows = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, None), (None, 7)], "sk_id_prev bigint, sk_id_curr bigint")
+    links = link_frame(rows, V.LINK_APP_PREV, "2024-01-01 00:00:00")
+    assert len(links.collect()) == 2
+    per_loan = links.groupBy("hk_prev_application").count()
+    # the distinct pairs, and the deal by the loan's key; none for the group
+    assert per_loan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+
+
+def test_child_tables_are_aggregated_once_for_both_frames(spark):
+    from pyspark.sql import functions as F
+
+    from creditlake.plans.file_features import file_features
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+    row = counted.asNondeterministic()(F.col("amt"))
+    app = spark.createDataFrame([(1, 0, "a"), (2, 1, None)], "sk_id_curr bigint, target int, kind string")
+    child = spark.createDataFrame([(k, 5, 1.5, "x") for k in (1, 1, 2, 3)], "sk_id_curr bigint, sk_id_bureau bigint, amt double, status string")
+    other = child.select("sk_id_curr", F.col("sk_id_bureau").alias("sk_id_prev"), "amt", F.col("status").alias("name_contract_status"))
+    train, test = file_features(app, app.drop("target"), child.withColumn("amt", row), other, other, other)
+    assert sorted(r["bureau_amt"] for r in train.collect()) == sorted(r["bureau_amt"] for r in test.collect()) == [1.5, 1.5]
+    assert seen.value == 4
