@@ -17,26 +17,26 @@ from . import register
 _STORES: dict[tuple, str] = {}
 
 
-def _store(spark, sf_dir) -> str:
-    """Folder of a registry with one model trained on the file features; the
-    queries of one run share it."""
+def _store(spark, sf_dir, train=None) -> str:
+    """Folder of a registry with one model trained on the file features (built
+    here if they are not given); the queries of one run share it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        train, _ = file_features_from(spark, sf_dir)
+        train = file_features_from(spark, sf_dir)[0] if train is None else train
         root = scratch_path(spark, "models")
         B.register_model(spark, root, B.fit(train))
         _STORES[key] = root
     return _STORES[key]
 
 
-def _model(spark, sf_dir) -> B.Model:
-    return B.load_model(spark, _store(spark, sf_dir))
+def _model(spark, sf_dir, train=None) -> B.Model:
+    return B.load_model(spark, _store(spark, sf_dir, train))
 
 
 def boost_train_score(spark, sf_dir):
     """M-01 .. M-06: train on the file features, store, load, score the test file."""
-    _, test = file_features_from(spark, sf_dir)
-    return B.score(_model(spark, sf_dir), test)
+    train, test = file_features_from(spark, sf_dir)
+    return B.score(_model(spark, sf_dir, train), test)
 
 
 def boost_auc_rounds(spark, sf_dir):
@@ -55,17 +55,17 @@ def boost_importances_top30(spark, sf_dir):
 def model_explain(spark, sf_dir):
     """C-10 / M-06: every application of the test file scored by the stored
     model and explained by its own factors, signed and ranked."""
-    _, test = file_features_from(spark, sf_dir)
-    return B.explain(_model(spark, sf_dir), test)
+    train, test = file_features_from(spark, sf_dir)
+    return B.explain(_model(spark, sf_dir, train), test)
 
 
 def model_fallback(spark, sf_dir):
     """M-07: requests of clients in the test file are scored by the model, all
     others by the rule."""
-    _, test = file_features_from(spark, sf_dir)
+    train, test = file_features_from(spark, sf_dir)
     requests = staged(spark, sf_dir, "crm_score_request")
     asked = requests.select("application_id", F.col("client_id").alias("sk_id_curr")).join(test, "sk_id_curr")
-    return B.with_fallback(_model(spark, sf_dir), asked.drop("sk_id_curr"), requests, "application_id")
+    return B.with_fallback(_model(spark, sf_dir, train), asked.drop("sk_id_curr"), requests, "application_id")
 
 
 def model_registry(spark, sf_dir):

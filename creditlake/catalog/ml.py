@@ -60,10 +60,10 @@ FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED
             FROM orders WHERE o_totalprice IS NOT NULL GROUP BY o_totalprice))""")(auc_rank_distinct)
 
 
-def _model(spark, sf_dir):
+def _model(spark, sf_dir, train=None):
     key = (spark.sparkContext.applicationId, sf_dir)      # queries of one run share a fit
     if key not in _MODELS:
-        train, _ = file_features_from(spark, sf_dir)
+        train = file_features_from(spark, sf_dir)[0] if train is None else train
         model = ML.train(train, "target")
         path = scratch_path(spark, "gbt_model")
         ML.save(model, path)                       # K-08 round trip
@@ -73,8 +73,8 @@ def _model(spark, sf_dir):
 
 def gbt_train_score(spark, sf_dir):
     """M-01..M-06: train on the file features, score the test file."""
-    _, test = file_features_from(spark, sf_dir)
-    return ML.score(_model(spark, sf_dir), test)
+    train, test = file_features_from(spark, sf_dir)
+    return ML.score(_model(spark, sf_dir, train), test)
 
 
 register("gbt_train_score")(gbt_train_score)
@@ -84,7 +84,7 @@ def gbt_validation_auc(spark, sf_dir):
     """M-03: exact AUC of the model on its own validation part."""
     train, _ = file_features_from(spark, sf_dir)
     flagged = ML.prepare(train).where("is_validation").select("sk_id_curr", "target")
-    scored = ML.score(_model(spark, sf_dir), train, digits=None).join(flagged, "sk_id_curr")
+    scored = ML.score(_model(spark, sf_dir, train), train, digits=None).join(flagged, "sk_id_curr")
     auc = exact_auc(scored, "target", "default_probability")
     return auc.withColumn("auc", py_round(F.col("auc"), 4))
 

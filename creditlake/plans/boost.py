@@ -54,7 +54,8 @@ def fit(df: DataFrame, label: str = "target", key: str = "sk_id_curr", settings:
     features, text = feature_columns(df, label)
     known = df.where(F.col(label).isNotNull())
     encoders = encoder_table(known, text).checkpoint()
-    flagged = stratified_split(ready(known, text, encoders, key, label), label, key, VALIDATION_FRACTION, SEED)
+    # bins are learned from these rows and then made of them: they are joined and split once
+    flagged = stratified_split(ready(known, text, encoders, key, label), label, key, VALIDATION_FRACTION, SEED).checkpoint()
     return Model(B.train(flagged, features, label, key, "is_validation", settings), text, encoders)
 
 
