@@ -4,7 +4,7 @@ by Toivonen's method.
 *Chunks.*  One scan lower-cases A-Z, cuts texts into pieces and words and stores
 them as chunks of one language: the distinct words with their counts, and the
 text as numbers of these.  All later passes read the chunks.  Words are counted
-exactly from the chunks' own counts.
+from the chunks' own counts, by their hashes.
 
 *Sample.*  A quarter of the documents (by a hash), mined level by level with a
 lowered threshold, proposes phrases of the frequent words.
@@ -25,7 +25,10 @@ bitmap has both of its parts, so never twice.
 then over all tasks; hashes travel sorted, as packed differences, in blocks by
 range, with a number of bits and of ranges that grow with the corpus.  A shared
 hash can only raise a sum, so what stays below the threshold is infrequent for
-certain; the few others are counted a last time by their words.
+certain; the few others are counted a last time by their whole hashes.
+
+*Names.*  What a frequent hash stands for is read from the sampled chunks, once
+for each task, and only what these lack from the others.
 
 A word is a 64-bit hash (of its language and itself) until the end, a phrase a
 tuple of those.
@@ -131,16 +134,13 @@ def chunks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return spark.read.schema(CHUNKS).parquet(path)
 
 
-def word_counts(chunked: DataFrame) -> DataFrame:
-    """lang, word, w (hash) and n of every word."""
+def word_totals(chunked: DataFrame) -> DataFrame:
+    """lang and n, the number of its words."""
     def run(batches):
         for b in batches:
-            for name, words, counts in zip(*b.columns):
-                words = words.values
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(words), pa.string()), words,
-                                                  pa.array(np.frombuffer(counts.as_buffer(), np.int64))], names=["lang", "word", "n"])
-    found = chunked.select("lang", "words", "counts").mapInArrow(run, "lang string, word string, n long")
-    return found.groupBy("lang", "word").agg(F.sum("n").alias("n")).select("lang", "word", F.xxhash64("lang", "word").alias("w"), "n")
+            n = [int(np.frombuffer(c.as_buffer(), np.int64).sum()) for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["lang", "n"])
+    return chunked.select("lang", "counts").mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -201,21 +201,23 @@ def _phrases(hashes: np.ndarray, codes: np.ndarray, new: np.ndarray, old: np.nda
 
 
 def _width(tokens: int) -> int:
-    """Bits of a hash that the passes add up: so many that few phrases share one."""
-    return max(FILTER_BITS.bit_length() - 1, min(64, 16 + tokens.bit_length()))
+    """Bits of a hash by which the passes look for what may be frequent: so many
+    that few phrases share one; what does is told apart by the whole hash later."""
+    return max(FILTER_BITS.bit_length() - 1, min(64, 4 + tokens.bit_length()))
 
 
 def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending keys as differences, in planes of equal bytes, and their counts."""
-    step = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(step.T).tobytes() + n.astype("<u4").tobytes())
+    """Ascending keys as differences, and their counts, both in planes of equal bytes."""
+    planes = [np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), n.astype("<u4").view(np.uint8).reshape(-1, 4)]
+    return zstandard.ZstdCompressor(1).compress(b"".join(np.ascontiguousarray(p.T).tobytes() for p in planes))
 
 
 def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
     m = len(raw) // 12
     step = np.ascontiguousarray(raw[:8 * m].reshape(8, m).T).view("<u8").ravel()
-    return np.cumsum(step, dtype=np.uint64), raw[8 * m:].view("<u4").astype(np.int64)
+    n = np.ascontiguousarray(raw[8 * m:].reshape(4, m).T).view("<u4").ravel()
+    return np.cumsum(step, dtype=np.uint64), n.astype(np.int64)
 
 
 def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -227,18 +229,16 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def likely(chunked: DataFrame, tokens: int, new: Proposals, old: Proposals | None = None, orders: tuple[int, ...] = (2, 3, 4),
-           least: int = 1) -> DataFrame:
-    """order and key (the first ``_width(tokens)`` bits of the hash) of the
-    phrases whose two parts are both in ``new`` but not both in ``old`` and
-    whose hash has at least so many places."""
-    new_sent, old_sent, width = new.sent, old.sent if old is not None else None, _width(tokens)
-    ranges = (len(orders) * tokens // BLOCK_KEYS).bit_length()       # as a power of two
+def _added(chunked: DataFrame, columns: list[str], keys_of, parts: int, tokens: int, width: int, least: int) -> DataFrame:
+    """order, key and n of the keys with at least so many places.  ``keys_of``
+    gives (order, keys, counts or None) for the values of the columns of a
+    chunk; a key is the first ``width`` bits of a hash, ``parts`` how many a
+    word has at most."""
+    ranges = (parts * tokens // BLOCK_KEYS).bit_length()            # as a power of two
     edges = np.arange(1 << ranges, dtype=np.uint64) << np.uint64(width - ranges)
+    block_keys, cut_off = BLOCK_KEYS, np.uint64(64 - width)
 
     def run(batches):
-        new_bits = np.frombuffer(new_sent.value, np.uint64)
-        old_bits = np.frombuffer(old_sent.value, np.uint64) if old_sent is not None else None
         held: dict[int, tuple[list, list]] = {}
         size = 0
 
@@ -252,55 +252,124 @@ def likely(chunked: DataFrame, tokens: int, new: Proposals, old: Proposals | Non
                                                   pa.array(rows, pa.binary())], names=["order", "range", "block"])
             held.clear()
         for b in batches:
-            for hashes, codes in zip(*b.columns):
-                hashes, codes = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(codes.as_buffer(), np.int32)
-                for order, _, key in _phrases(hashes, codes, new_bits, old_bits):
-                    if order in orders:
-                        key, n = np.unique(key >> np.uint64(64 - width), return_counts=True)
-                        parts = held.setdefault(order, ([], []))
-                        parts[0].append(key)
-                        parts[1].append(n)
-                        size += len(key)
-                    if order == max(orders):
-                        break
-                if size >= BLOCK_KEYS:
+            for values in zip(*b.columns):
+                for order, key, n in keys_of(*[v.as_buffer() for v in values]):
+                    key = key >> cut_off
+                    if n is None:
+                        key, n = np.unique(key, return_counts=True)
+                    parts = held.setdefault(order, ([], []))
+                    parts[0].append(key)
+                    parts[1].append(n)
+                    size += len(key)
+                if size >= block_keys:
                     yield from blocks()
                     size = 0
         yield from blocks()
 
     def add_up(table: pa.Table) -> pa.Table:
         keys, n = _summed(*zip(*[_unpacked(b.as_py()) for b in table.column("block")]))
-        keys = keys[n >= least]
-        return pa.table([pa.array(np.full(len(keys), table.column("order")[0].as_py(), np.int8)), pa.array(keys.view(np.int64))],
-                        names=["order", "key"])
-    packed = chunked.select("hashes", "codes").mapInArrow(run, "order tinyint, range int, block binary")
-    return packed.groupBy("order", "range").applyInArrow(add_up, "order tinyint, key bigint")
+        often = n >= least
+        return pa.table([pa.array(np.full(often.sum(), table.column("order")[0].as_py(), np.int8)), pa.array(keys[often].view(np.int64)),
+                         pa.array(n[often])], names=["order", "key", "n"])
+    packed = chunked.select(*columns).mapInArrow(run, "order tinyint, range int, block binary")
+    return packed.groupBy("order", "range").applyInArrow(add_up, "order tinyint, key bigint, n bigint")
 
 
-def counts(chunked: DataFrame, reach: Proposals, hot: Proposals) -> DataFrame:
-    """lang, w1 .. w4 (null after the last word) and n of the phrases whose two
-    parts are in ``reach`` and which are in ``hot`` themselves."""
-    reach_sent, hot_sent = reach.sent, hot.sent
-    names = ["lang", *WORDS, "n"]
+def likely(chunked: DataFrame, tokens: int, new: Proposals, old: Proposals | None = None, orders: tuple[int, ...] = (2, 3, 4),
+           least: int = 1) -> DataFrame:
+    """order and key (the first ``_width(tokens)`` bits of the hash) of the
+    phrases whose two parts are both in ``new`` but not both in ``old`` and
+    whose key has at least so many places."""
+    new_sent, old_sent = new.sent, old.sent if old is not None else None
+
+    def keys_of(hashes, codes):
+        new_bits = np.frombuffer(new_sent.value, np.uint64)
+        old_bits = np.frombuffer(old_sent.value, np.uint64) if old_sent is not None else None
+        for order, _, key in _phrases(np.frombuffer(hashes, np.uint64), np.frombuffer(codes, np.int32), new_bits, old_bits):
+            if order in orders:
+                yield order, key, None
+            if order == max(orders):
+                break
+    return _added(chunked, ["hashes", "codes"], keys_of, len(orders), tokens, _width(tokens), least).select("order", "key")
 
+
+def _named(exact: DataFrame, on: list[str], chunked: DataFrame, found) -> DataFrame:
+    """``exact`` with what its hashes stand for, which ``found`` gives for those
+    of some chunks: nearly all are met in the sample, and only the others are
+    looked for in the rest."""
+    met = exact.join(found(chunked.where("sampled"), exact), on).checkpoint()
+    lacking = exact.join(met, on, "left_anti").checkpoint()
+    return met.unionByName(lacking.join(found(chunked.where("not sampled"), lacking), on))
+
+
+def word_counts(chunked: DataFrame, tokens: int, least: int) -> DataFrame:
+    """lang, word, w (hash) and n of every word with at least so many places."""
+    spark = chunked.sparkSession
+
+    def keys_of(hashes, counts):
+        return [(1, np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64))]
+    exact = _added(chunked, ["hashes", "counts"], keys_of, 1, tokens, 64, least).select(F.col("key").alias("w"), "n").checkpoint()
+
+    def found(some, hot):
+        hot_sent = Proposals(spark).plus(hot, "w").sent
+
+        def run(batches):
+            bits = np.frombuffer(hot_sent.value, np.uint64)
+            for b in batches:
+                for lang, words, hashes in zip(*b.columns):
+                    mine = words.values.filter(pa.array(_has(bits, np.frombuffer(hashes.as_buffer(), np.uint64))))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(mine), pa.string()), mine], names=["lang", "word"])
+        rows = some.select("lang", "words", "hashes").mapInArrow(run, "lang string, word string").distinct()
+        return rows.withColumn("w", F.xxhash64("lang", "word"))
+    return _named(exact, ["w"], chunked, found).select("lang", "word", "w", "n")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Phrases (lang, w1 .. w4) with their order and key, the whole hash."""
     def run(batches):
-        reach_bits, hot_bits = np.frombuffer(reach_sent.value, np.uint64), np.frombuffer(hot_sent.value, np.uint64)
         for b in batches:
-            for lang, hashes, codes in zip(*b.columns):
-                hashes, codes = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(codes.as_buffer(), np.int32)
-                for order, at, key in _phrases(hashes, codes, reach_bits, None):
-                    mine = _has(hot_bits, key)
-                    _, where, n = np.unique(key[mine], return_index=True, return_counts=True)
-                    at = at[mine][where]
-                    cols = [pa.array([lang.as_py()] * len(n), pa.string())]
-                    cols += [pa.array(hashes[codes[at + k]].view(np.int64)) for k in range(order)]
-                    cols += [pa.nulls(len(n), pa.int64())] * (MOST_WORDS - order) + [pa.array(n)]
-                    whole = pa.RecordBatch.from_arrays(cols, names=names)
-                    for i in range(0, len(n), OUT_ROWS):
-                        yield whole.slice(i, OUT_ROWS)
-    kinds = "lang string, " + ", ".join(f"{w} bigint" for w in WORDS) + ", n bigint"
-    found = chunked.select("lang", "hashes", "codes").mapInArrow(run, kinds)
-    return found.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+            key, order = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), np.ones(b.num_rows, np.int8)
+            for c in b.columns[2:]:
+                there = c.is_valid().to_numpy(zero_copy_only=False)
+                key = np.where(there, _join(key, c.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)), key)
+                order += there
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order), pa.array(key.view(np.int64))],
+                                             names=["lang", *WORDS, "order", "key"])
+    return rows.mapInArrow(run, "lang string, " + ", ".join(f"{w} bigint" for w in WORDS) + ", order tinyint, key bigint")
+
+
+def counts(chunked: DataFrame, tokens: int, reach: Proposals, hot: Proposals, least: int) -> DataFrame:
+    """lang, w1 .. w4 (null after the last word) and n of the phrases whose two
+    parts are in ``reach``, which are in ``hot`` themselves and have at least so
+    many places."""
+    spark, reach_sent, hot_sent = chunked.sparkSession, reach.sent, hot.sent
+
+    def keys_of(hashes, codes):
+        reach_bits, hot_bits = np.frombuffer(reach_sent.value, np.uint64), np.frombuffer(hot_sent.value, np.uint64)
+        for order, _, key in _phrases(np.frombuffer(hashes, np.uint64), np.frombuffer(codes, np.int32), reach_bits, None):
+            yield order, key[_has(hot_bits, key)], None
+    exact = _added(chunked, ["hashes", "codes"], keys_of, 3, tokens, 64, least).checkpoint()
+
+    def found(some, kept):
+        kept_sent = Proposals(spark).plus(kept).sent
+
+        def run(batches):
+            reach_bits, kept_bits = np.frombuffer(reach_sent.value, np.uint64), np.frombuffer(kept_sent.value, np.uint64)
+            for b in batches:
+                for lang, hashes, codes in zip(*b.columns):
+                    hashes, codes = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(codes.as_buffer(), np.int32)
+                    for order, at, key in _phrases(hashes, codes, reach_bits, None):
+                        mine = _has(kept_bits, key)
+                        at = at[mine][np.unique(key[mine], return_index=True)[1]]
+                        cols = [pa.array([lang.as_py()] * len(at), pa.string())]
+                        cols += [pa.array(hashes[codes[at + k]].view(np.int64)) for k in range(order)]
+                        cols += [pa.nulls(len(at), pa.int64())] * (MOST_WORDS - order)
+                        whole = pa.RecordBatch.from_arrays(cols, names=["lang", *WORDS])
+                        for i in range(0, len(at), OUT_ROWS):
+                            yield whole.slice(i, OUT_ROWS)
+        kinds = "lang string, " + ", ".join(f"{w} bigint" for w in WORDS)
+        return _hashed(some.select("lang", "hashes", "codes").mapInArrow(run, kinds).distinct())
+    return _named(exact, ["order", "key"], chunked, found).select("lang", *WORDS, "n")
 
 
 def propose(chunked: DataFrame, tokens: int, words: Proposals, least: int) -> Proposals:
@@ -312,15 +381,16 @@ def propose(chunked: DataFrame, tokens: int, words: Proposals, least: int) -> Pr
     return words
 
 
-def frequent(chunked: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(words, phrases): all words with their counts (lang, word, w, n), and all
-    phrases of one to four words with at least ``least`` places (lang, w1 ..
-    w4, n)."""
+def frequent(chunked: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, words, phrases): the words of each language (lang, n), those
+    with at least ``least`` places (lang, word, w, n), and all phrases of one to
+    four words with as many (lang, w1 .. w4, n)."""
     spark = chunked.sparkSession
     ensure_checkpoint_dir(spark)
-    words = word_counts(chunked).checkpoint()
-    tokens = words.agg(F.sum("n")).first()[0] or 0
-    width, often = _width(tokens), words.where(F.col("n") >= least)
+    totals = word_totals(chunked).checkpoint()
+    tokens = totals.agg(F.sum("n")).first()[0] or 0
+    often = word_counts(chunked, tokens, least).checkpoint()
+    width = _width(tokens)
     before, reach, hot = None, propose(chunked, tokens, Proposals(spark).plus(often, "w"), least), Proposals(spark)
     while True:
         found = likely(chunked, tokens, reach, before, least=least).checkpoint()
@@ -329,9 +399,9 @@ def frequent(chunked: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]
         before, reach = reach, reach.plus(found.where(F.col("order") < MOST_WORDS), width=width)
         if np.array_equal(before.bits, reach.bits):
             break
-    phrases = counts(chunked, reach, hot).where(F.col("n") >= least)
+    phrases = counts(chunked, tokens, reach, hot, least)
     singles = often.select("lang", F.col("w").alias("w1"), *[F.lit(None).cast("long").alias(w) for w in WORDS[1:]], "n")
-    return words, singles.unionByName(phrases)
+    return totals, often, singles.unionByName(phrases)
 
 
 def score(a: str, l: str, r: str) -> Column:  # noqa: E741
@@ -343,7 +413,7 @@ def score(a: str, l: str, r: str) -> Column:  # noqa: E741
 def mine(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first ``top``
     phrases; ``share`` per cent of a phrase's places inside a longer one drop it."""
-    words, found = frequent(chunks(docs, text, lang), least)
+    totals, words, found = frequent(chunks(docs, text, lang), least)
     # a frequent phrase is named by one hash from here on: nulls after its last word don't change it
     found = found.withColumn("id", F.xxhash64(*WORDS)).checkpoint()
     all_words = F.array_compact(F.array(*WORDS))
@@ -371,11 +441,10 @@ def mine(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2000, tex
     best = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))
     kept = kept.withColumn("at", best).where(F.col("at") <= top).drop("at")
     kept = kept.join(found.select("id", *WORDS), "id").drop("id")
-    spelled = words.where(F.col("n") >= least).select("word", "w")
+    spelled = words.select("word", "w")
     for k, w in enumerate(WORDS):
         kept = kept.join(spelled.select(F.col("w").alias(w), F.col("word").alias(f"s{k}")), w, "inner" if k < 2 else "left")
     kept = kept.select("lang", F.concat_ws(" ", *[f"s{k}" for k in range(MOST_WORDS)]).alias("phrase"), "a", "l", "r", "score")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     first = kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
-    total = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    return first.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -121,3 +121,23 @@ def test_phrase_with_a_shared_bit_is_counted_once():
     places = [(order, int(at)) for bits in ((old, None), (new, old)) for order, spots, _ in collocations._phrases(word, codes, *bits)
               for at in spots]
     assert sorted(places) == [(order, at) for order in (2, 3, 4) for at in range(7 - order)]
+
+
+def test_shuffles_hashes_not_words(spark, monkeypatch):
+    """Words and phrases are named from the sampled chunks alone where these have
+    them, and what a rare word is called never travels."""
+    rows = [("en", f"common pair of words rare{k}") for k in range(400)] + [("de", "only here " * 40)]
+    seen = []
+    plain = collocations._named
+
+    def named(exact, on, chunked, found):
+        def noted(some, hot):
+            out = found(some, hot)
+            seen.append((on, out.count(), hot.count()))
+            return out
+        return plain(exact, on, chunked, noted)
+    monkeypatch.setattr(collocations, "_named", named)
+    assert got(collocations.mine(frame(spark, rows), least=30)) == brute(rows, 30)
+    # at most two looks for each kind of key; a name comes once, and no rare word's does
+    assert [on for on, _, _ in seen] == [["w"]] * 2 + [["order", "key"]] * 2
+    assert all(met <= asked for _, met, asked in seen)
