@@ -146,3 +146,32 @@ def test_stream_repeats_change_nothing(spark, tmp_path):
     stored = files(out)
     score_stream(spark, SF001, out, str(tmp_path / "again")).awaitTermination()      # all events again, as batch 0
     assert files(out) == stored
+
+
+def test_tables_of_a_kind_are_written_at_once(spark, tmp_path):
+    """Four hubs meet at a barrier that a single writer never passes; links
+    wait for all hubs.  Files of both layouts hold zstd pages."""
+    import threading
+
+    import pyarrow.parquet as pq
+
+    from creditlake.plans import vault_load as L
+    from creditlake.plans import vault_specs as V
+    hubs, done = threading.Barrier(4, timeout=60), []
+
+    def write(name, df):
+        if "_hub_" in name:
+            hubs.wait()
+        done.append(name)
+        return 1, 1
+    df = spark.range(1)
+    names = [f"dv_hub_{k}" for k in "abcd"] + ["dv_link_a", "dv_sat_a"]
+    assert L._write_all(dict.fromkeys(reversed(names), df), write) == dict.fromkeys(names, (1, 1))
+    assert set(done[:4]) == set(names[:4]) and done[4:] == names[4:]
+
+    app = spark.createDataFrame([(1, 0), (2, 1)], "sk_id_curr long, target int")
+    tables = {n: t for n, t in L.application_targets(app).items() if n in (V.HUB_APPLICATION.table, "dv_sat_app_target")}
+    L.write_vault(tables, str(tmp_path / "plain"))
+    L.write_vault_bucketed(spark, tables, str(tmp_path / "bucketed"), 2, f"w{abs(hash(str(tmp_path)))}")
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.rglob("*.parquet")]
+    assert {f.row_group(0).column(0).compression for f in files if f.num_row_groups} == {"ZSTD"}
