@@ -7,7 +7,7 @@ from pyspark.sql.types import BooleanType, DateType, DoubleType, StringType
 
 from ..functions import decisions as D
 from ..functions import hashing as H
-from ..functions.json_text import json_get_double, json_hashdiff, json_object_text
+from ..functions.json_text import json_entries, json_get_double, json_hashdiff, json_object_text, json_of_entries
 from ..functions.pytext import py_double_str
 from ..functions.requests import request_features, request_id
 from ..plans import explain as X
@@ -222,7 +222,11 @@ def json_pack_types(spark, sf_dir):
     share = F.when(F.col("n_chars") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") / 8.0)
     fields = [("text", F.col("text"), StringType()), ("flag", flag, BooleanType()), ("day", day, DateType()),
               ("share", share, DoubleType())]
-    return d.select("doc_id", F.md5(json_object_text(fields)).alias("pack_md5"), json_hashdiff(fields).alias("hashdiff"))
+    # each value is written once, for both orders of the keys
+    written = d.select("doc_id", *[e.alias(n) for n, e in json_entries(fields)])
+    entries = [(n, F.col(n)) for n, _, _ in fields]
+    return written.select("doc_id", F.md5(json_of_entries(entries)).alias("pack_md5"),
+                          F.md5(json_of_entries(entries, sort_keys=True)).alias("hashdiff"))
 
 
 _JSON_TEXT = (

@@ -15,25 +15,31 @@ from pyspark.sql.types import BooleanType, DecimalType, DoubleType, FloatType, N
 from .pytext import py_str
 
 
-# ---- fixed values: JSON's short escapes ----
-_SHORT = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+# ---- fixed values: JSON's short escapes, the backslash first ----
+_SHORT = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 _PLAIN = r"^[\x20\x21\x23-\x5B\x5D-\x7F]*$"
+_ODD = r"[^\x20-\x7F]"
+_RUN = rf"[\x20-\x7F]+|{_ODD}+"
+
+
+def _runs(c: Column) -> Column:
+    """A text cut where characters that are written as they are and others meet."""
+    return F.regexp_extract_all(c, F.lit(_RUN), F.lit(0))
 
 
 def _json_string(c: Column) -> Column:
     """A JSON string as ``json.dumps`` writes it: quotes, backslashes and
     control characters escaped, every character beyond ASCII as \\uXXXX (two
-    of them beyond the 16-bit range), hex digits in lower case."""
-    def u(code: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
-
-    def one(ch: Column) -> Column:
-        code = F.ascii(ch)
-        out = F.when(code > 0xFFFF, F.concat(u(F.lit(0xD7C0) + F.shiftright(code, 10)), u(F.lit(0xDC00) + code % 1024)))
-        for raw, escaped in _SHORT.items():
-            out = out.when(ch == raw, F.lit(escaped))
-        return out.when((code < 0x20) | (code > 0x7F), u(code)).otherwise(ch)
-    body = F.when(c.rlike(_PLAIN), c).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
+    of them beyond the 16-bit range), hex digits in lower case.  Whole runs of
+    such characters are written at once, from their UTF-16 units."""
+    short = c
+    for raw, escaped in _SHORT.items():
+        short = F.replace(short, F.lit(raw), F.lit(escaped))
+
+    def run(r: Column) -> Column:
+        units = F.lower(F.hex(F.encode(r, "UTF-16BE")))
+        return F.when(r.rlike(f"^{_ODD}"), F.regexp_replace(units, "(.{4})", r"\\u$1")).otherwise(r)
+    body = F.when(c.rlike(_PLAIN), c).otherwise(F.array_join(F.transform(_runs(short), run), ""))
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
@@ -54,13 +60,22 @@ def _packed(c: Column, dtype) -> Column:
     return c.isNotNull() & ~F.isnan(c) if isinstance(dtype, (FloatType, DoubleType)) else c.isNotNull()
 
 
-def json_object_text(fields: list[tuple[str, Column, object]], sort_keys: bool = False) -> Column:
-    """'{"k": v, ...}' over the non-null fields, in given or sorted key order."""
-    items = sorted(fields, key=lambda f: f[0]) if sort_keys else fields
+def json_entries(fields: list[tuple[str, Column, object]]) -> list[tuple[str, Column]]:
+    """(name, '"k": v') of each field, null if it is not packed."""
+    return [(name, F.when(_packed(c, t), F.concat(F.lit(f'"{name}": '), _json_value(c, t)))) for name, c, t in fields]
+
+
+def json_of_entries(entries: list[tuple[str, Column]], sort_keys: bool = False) -> Column:
+    """The object text of entries, in given or sorted key order."""
+    items = sorted(entries, key=lambda e: e[0]) if sort_keys else entries
     if not items:
         return F.lit("{}")
-    entries = [F.when(_packed(c, t), F.concat(F.lit(f'"{name}": '), _json_value(c, t))) for name, c, t in items]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *entries), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[e for _, e in items]), F.lit("}"))
+
+
+def json_object_text(fields: list[tuple[str, Column, object]], sort_keys: bool = False) -> Column:
+    """'{"k": v, ...}' over the non-null fields, in given or sorted key order."""
+    return json_of_entries(json_entries(fields), sort_keys)
 
 
 def json_hashdiff(fields: list[tuple[str, Column, object]]) -> Column:
