@@ -40,9 +40,9 @@ def _java_style(t: str) -> str:
 
 
 def _trim(t: str) -> str:
-    """'117000000.0000000000' -> '117000000.0', '0.000290' -> '0.00029'."""
-    return (f"CASE WHEN endswith(TRIM(TRAILING '0' FROM {t}), '.') THEN concat(TRIM(TRAILING '0' FROM {t}), '0') "
-            f"ELSE TRIM(TRAILING '0' FROM {t}) END")
+    """'117000000.0000000000' -> '117000000.0', '0.000290' -> '0.00029'; the
+    text is made once."""
+    return f"replace(replace(concat(TRIM(TRAILING '0' FROM {t}), '|'), '.|', '.0|'), '|', '')"
 
 
 def _exp_form(j: str) -> str:
@@ -71,6 +71,7 @@ CASE WHEN d IS NULL THEN CAST(NULL AS STRING)
      WHEN d = double('-inf') THEN '-inf'
      WHEN d = 0 THEN j
      WHEN abs(d) >= 1e-3 AND abs(d) < 1e7 THEN j
+     WHEN abs(d) >= 1e7 AND abs(d) < 9007199254740992.0 AND d = floor(d) THEN concat(CAST(CAST(d AS BIGINT) AS STRING), '.0')
      WHEN abs(d) >= 1e7 AND abs(d) < 1e16 THEN {_trim("CAST(try_cast(j AS DECIMAL(38,10)) AS STRING)")}
      WHEN abs(d) >= 1e-4 AND abs(d) < 1e-3 THEN {_trim("CAST(try_cast(j AS DECIMAL(38,28)) AS STRING)")}
      ELSE {_exp_form("j")} END"""),
