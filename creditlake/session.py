@@ -24,6 +24,9 @@ JOB_CONF = {
     # rows of whole texts or packed chunks are large: what a Python worker and
     # its executor hold at once is bounded by bytes, not by the number of rows
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    # HotSpot never compiles a method of more than 8000 bytes: long expressions
+    # (number texts, rounding, factors) fused into one would be interpreted
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
