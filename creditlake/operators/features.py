@@ -116,8 +116,12 @@ def child_aggregate(df: DataFrame, key: str, drop: list[str], categorical: list[
     """C-09 per child table: nunique (null as category) of each categorical
     column plus the mean of every numeric column, in ONE aggregation (the
     reference attaches each nunique to every row and averages it back: the
-    mean of a per-group constant is the constant)."""
-    base = df.where(F.col(key).isNotNull()).drop(*drop)
+    mean of a per-group constant is the constant).
+
+    Rows are dealt by the key before, so what is shuffled is the rows: the
+    sums, counts and sets of a group take several times the room of a row, and
+    the more keys there are, the fewer rows of a task share one."""
+    base = df.where(F.col(key).isNotNull()).drop(*drop).repartition(key)
     nums = numeric_columns(base, exclude=(key,))
     aggs = [mean_exact(base, c).alias(c) for c in nums]
     aggs += [nunique_null_as_category(c).cast("double").alias(nunique_name(c)) for c in categorical]

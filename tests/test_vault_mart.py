@@ -175,3 +175,16 @@ def test_child_tables_are_aggregated_once_for_both_frames(spark):
     train, test = file_features(app, app.drop("target"), child.withColumn("amt", row), other, other, other)
     assert sorted(r["bureau_amt"] for r in train.collect()) == sorted(r["bureau_amt"] for r in test.collect()) == [1.5, 1.5]
     assert seen.value == 4
+
+
+def test_rows_of_child_tables_are_shuffled_once_and_not_as_sums(spark):
+    from creditlake.operators.features import child_aggregate
+    rows = [(1, 5, 1.5, 2, "x"), (1, 6, 2.5, None, None), (1, 6, float("nan"), 4, "x"), (2, 7, None, 1, "y"), (None, 8, 9.0, 9, "z")]
+    child = spark.createDataFrame(rows, "sk_id_curr bigint, sk_id_prev bigint, amt double, n int, status string")
+    out = child_aggregate(child.repartition(3), "sk_id_curr", ["sk_id_prev"], ["status"], "c", lambda c: "nunique_status")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning(sk_id_curr"):]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(sk_id_curr") == 1
+    got = {r["sk_id_curr"]: (r["c_amt"], r["c_n"], r["c_nunique_status"]) for r in out.collect()}
+    assert got == {1: (2.0, 3.0, 2.0), 2: (None, 1.0, 1.0)}
