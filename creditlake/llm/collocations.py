@@ -66,13 +66,26 @@ BLOCK_KEYS = 1 << 20
 #: lower-cases A-Z, makes ends of pieces 0xFF (no byte of UTF-8) and tabs spaces
 _BREAK = b"\xff"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
-CHUNKS = "lang string, sampled boolean, words array<string>, hashes binary, counts binary, codes binary"
+CHUNKS = "lang string, sampled boolean, words array<string>, counts binary, codes binary"
 WORDS = [f"w{k}" for k in range(1, MOST_WORDS + 1)]
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """Numbers from -1 on as planes of equal bytes, which compress to much less."""
+    return np.ascontiguousarray((codes + 1).astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _codes(planes: pa.BinaryScalar) -> np.ndarray:
+    raw = np.frombuffer(planes.as_buffer(), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel() - np.int32(1)
+
+
+def _hashes(values: pa.ListScalar) -> np.ndarray:
+    return values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _chunk(lang: str, sampled: bool, data: bytes) -> pa.RecordBatch | None:
-    """The row of a chunk; ``codes`` numbers its words, -1 ends a piece."""
-    import xxhash
+    """The row of a chunk; ``codes`` numbers its words, -1 ends a piece (as ``_planes``)."""
     raw = np.frombuffer(data.replace(_BREAK, b" " + _BREAK + b" "), np.uint8)
     inside = raw != 32
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
@@ -92,13 +105,13 @@ def _chunk(lang: str, sampled: bool, data: bytes) -> pa.RecordBatch | None:
         counts, words = counts[:-1], words[:-1]
     if not words:
         return None
-    # as F.xxhash64("lang", "word") has it
-    seed, digest = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
-    row = [lang, sampled, [w.decode() for w in words], hashes.tobytes(), counts.astype(np.int64).tobytes(), codes.tobytes()]
-    kinds = [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)],
-                                      names=["lang", "sampled", "words", "hashes", "counts", "codes"])
+    # frequent words first; -1 stays the last of the new numbers
+    order = np.argsort(-counts, kind="stable")
+    number = np.full(len(words) + 1, -1, np.int32)
+    number[order] = np.arange(len(words), dtype=np.int32)
+    row = [lang, sampled, [words[i].decode() for i in order], counts[order].astype(np.int64).tobytes(), _planes(number[codes])]
+    kinds = [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["lang", "sampled", "words", "counts", "codes"])
 
 
 def chunks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -130,8 +143,9 @@ def chunks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         for key in list(held):
             yield from flush(key)
     path = scratch_path(spark, "phrase_chunks")
-    rows.mapInArrow(run, CHUNKS).write.options(**LARGE_ROWS).parquet(path)
-    return spark.read.schema(CHUNKS).parquet(path)
+    rows.mapInArrow(run, CHUNKS).write.options(compression="zstd", **LARGE_ROWS).parquet(path)
+    # hashes take more room than their words: they are made again by each pass
+    return spark.read.schema(CHUNKS).parquet(path).withColumn("hashes", F.transform("words", lambda w: F.xxhash64("lang", w)))
 
 
 def word_totals(chunked: DataFrame) -> DataFrame:
@@ -253,7 +267,7 @@ def _added(chunked: DataFrame, columns: list[str], keys_of, parts: int, tokens:
             held.clear()
         for b in batches:
             for values in zip(*b.columns):
-                for order, key, n in keys_of(*[v.as_buffer() for v in values]):
+                for order, key, n in keys_of(*values):
                     key = key >> cut_off
                     if n is None:
                         key, n = np.unique(key, return_counts=True)
@@ -285,7 +299,7 @@ def likely(chunked: DataFrame, tokens: int, new: Proposals, old: Proposals | Non
     def keys_of(hashes, codes):
         new_bits = np.frombuffer(new_sent.value, np.uint64)
         old_bits = np.frombuffer(old_sent.value, np.uint64) if old_sent is not None else None
-        for order, _, key in _phrases(np.frombuffer(hashes, np.uint64), np.frombuffer(codes, np.int32), new_bits, old_bits):
+        for order, _, key in _phrases(_hashes(hashes), _codes(codes), new_bits, old_bits):
             if order in orders:
                 yield order, key, None
             if order == max(orders):
@@ -307,7 +321,7 @@ def word_counts(chunked: DataFrame, tokens: int, least: int) -> DataFrame:
     spark = chunked.sparkSession
 
     def keys_of(hashes, counts):
-        return [(1, np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64))]
+        return [(1, _hashes(hashes), np.frombuffer(counts.as_buffer(), np.int64))]
     exact = _added(chunked, ["hashes", "counts"], keys_of, 1, tokens, 64, least).select(F.col("key").alias("w"), "n").checkpoint()
 
     def found(some, hot):
@@ -317,7 +331,7 @@ def word_counts(chunked: DataFrame, tokens: int, least: int) -> DataFrame:
             bits = np.frombuffer(hot_sent.value, np.uint64)
             for b in batches:
                 for lang, words, hashes in zip(*b.columns):
-                    mine = words.values.filter(pa.array(_has(bits, np.frombuffer(hashes.as_buffer(), np.uint64))))
+                    mine = words.values.filter(pa.array(_has(bits, _hashes(hashes))))
                     yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(mine), pa.string()), mine], names=["lang", "word"])
         rows = some.select("lang", "words", "hashes").mapInArrow(run, "lang string, word string").distinct()
         return rows.withColumn("w", F.xxhash64("lang", "word"))
@@ -346,7 +360,7 @@ def counts(chunked: DataFrame, tokens: int, reach: Proposals, hot: Proposals, le
 
     def keys_of(hashes, codes):
         reach_bits, hot_bits = np.frombuffer(reach_sent.value, np.uint64), np.frombuffer(hot_sent.value, np.uint64)
-        for order, _, key in _phrases(np.frombuffer(hashes, np.uint64), np.frombuffer(codes, np.int32), reach_bits, None):
+        for order, _, key in _phrases(_hashes(hashes), _codes(codes), reach_bits, None):
             yield order, key[_has(hot_bits, key)], None
     exact = _added(chunked, ["hashes", "codes"], keys_of, 3, tokens, 64, least).checkpoint()
 
@@ -357,7 +371,7 @@ def counts(chunked: DataFrame, tokens: int, reach: Proposals, hot: Proposals, le
             reach_bits, kept_bits = np.frombuffer(reach_sent.value, np.uint64), np.frombuffer(kept_sent.value, np.uint64)
             for b in batches:
                 for lang, hashes, codes in zip(*b.columns):
-                    hashes, codes = np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(codes.as_buffer(), np.int32)
+                    hashes, codes = _hashes(hashes), _codes(codes)
                     for order, at, key in _phrases(hashes, codes, reach_bits, None):
                         mine = _has(kept_bits, key)
                         at = at[mine][np.unique(key[mine], return_index=True)[1]]

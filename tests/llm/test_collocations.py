@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from creditlake.llm import collocations
@@ -141,3 +142,25 @@ def test_shuffles_hashes_not_words(spark, monkeypatch):
     # at most two looks for each kind of key; a name comes once, and no rare word's does
     assert [on for on, _, _ in seen] == [["w"]] * 2 + [["order", "key"]] * 2
     assert all(met <= asked for _, met, asked in seen)
+
+
+def test_chunks_hold_no_hashes_and_small_codes(spark):
+    rnd = random.Random(3)
+    words = [f"word{int(rnd.paretovariate(0.6)) % 30_000}" for _ in range(200_000)]
+    text = " ".join(words[:150_000]) + ". " + " ".join(words[150_000:])
+    chunked = collocations.chunks(spark.createDataFrame([("en", text)], "lang string, text string"))
+    row = chunked.toArrow()
+    stored = row.column("codes")[0]
+    codes, known = collocations._codes(stored), row.column("words")[0].as_py()
+    assert [known[c] if c >= 0 else None for c in codes] == [*words[:150_000], None, *words[150_000:]]
+    assert Counter(words) == dict(zip(known, np.frombuffer(row.column("counts")[0].as_buffer(), np.int64).tolist()))
+    found = spark.createDataFrame([("en", w) for w in known], "lang string, word string").selectExpr("xxhash64(lang, word) AS h").collect()
+    assert collocations._hashes(row.column("hashes")[0]).view(np.int64).tolist() == [r.h for r in found]
+    assert "hashes" not in spark.read.parquet(*chunked.inputFiles()).columns
+    size = lambda b: len(collocations.zstandard.compress(b, 3))
+    assert size(stored.as_py()) < 0.9 * size(codes.tobytes())
+
+
+def test_codes_of_every_size():
+    codes = np.array([-1, 0, 255, 256, 65535, 1 << 24, (1 << 31) - 2], np.int32)
+    assert collocations._codes(pa.scalar(collocations._planes(codes))).tolist() == codes.tolist()
