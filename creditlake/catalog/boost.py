@@ -42,8 +42,7 @@ def boost_train_score(spark, sf_dir):
 def boost_auc_rounds(spark, sf_dir):
     """M-02 / M-03: validation AUC by round of a fit, with the rounds that were kept."""
     train, _ = file_features_from(spark, sf_dir)
-    settings = B.B.Settings(rounds=12, wait=5)
-    rounds = B.auc_rounds(spark, B.fit(train, settings=settings))
+    rounds = B.auc_rounds(spark, B.fit(train))
     return rounds.withColumn("auc", py_round(F.col("auc"), 4))
 
 

@@ -181,3 +181,18 @@ def test_model_registry_and_scores(spark, files, tmp_path):
     versions = [r.model_version for r in P.with_fallback(model, test, requests, "sk_id_curr").collect()]
     assert versions.count("boost-v2") == len(scored) and versions.count("heuristic-v1") == 5
     assert {r.model_version for r in P.with_fallback(None, test, requests, "sk_id_curr").collect()} == {"heuristic-v1"}
+
+
+def test_auc_rounds_are_those_of_a_whole_fit(spark, files, monkeypatch):
+    """The query trains with the reference's 1000 rounds and waits 45 of them."""
+    from creditlake.catalog import boost as Q
+    seen = []
+
+    def train(df, features, label, key, validation, settings):
+        seen.append(settings)
+        return B.Forest(features, [[]] * len(features), [B.Tree([], [0.0], [1])], [0.75, 0.5])
+    monkeypatch.setattr(Q, "file_features_from", lambda *_: files)
+    monkeypatch.setattr(B, "train", train)
+    got = sorted(tuple(r) for r in Q.boost_auc_rounds(spark, SF001).collect())
+    assert seen == [B.Settings()] and (seen[0].rounds, seen[0].wait) == (1000, 45)
+    assert got == [(1, 0.75, True), (2, 0.5, False)]
