@@ -15,6 +15,12 @@ from creditlake.plans.vault_load import (
 from creditlake.sources import buckets
 from tests.conftest import SF001
 
+#: files of shuffles that a session holds
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
 SCHEMA = "k string, ts int, v string"
 
 
@@ -175,3 +181,79 @@ def test_tables_of_a_kind_are_written_at_once(spark, tmp_path):
     L.write_vault_bucketed(spark, tables, str(tmp_path / "bucketed"), 2, f"w{abs(hash(str(tmp_path)))}")
     files = [pq.ParquetFile(f).metadata for f in tmp_path.rglob("*.parquet")]
     assert {f.row_group(0).column(0).compression for f in files if f.num_row_groups} == {"ZSTD"}
+
+
+def test_upserts_leave_no_copy_and_no_shuffle_files(spark, tmp_path, monkeypatch):
+    import time
+
+    from creditlake.sources import sinks
+    kept = str(tmp_path / "kept")
+    monkeypatch.setattr(buckets, "scratch_path", lambda *_: kept)
+    copies = lambda: {f for d in (spark.sparkContext.getCheckpointDir(),) if d for _, _, fs in os.walk(d.removeprefix("file:")) for f in fs}
+    before, shuffles, setting = copies(), shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    root = str(tmp_path / "t")
+    rows = spark.createDataFrame([(f"k{i % 40}", i, "a") for i in range(200)], SCHEMA)
+    for few in (True, False):
+        buckets.upsert(rows, root, ["k"], ["ts"], buckets=4, few_per_key=few)
+        assert {r.k: r.ts for r in buckets.read(spark, root).collect()} == {f"k{i}": 160 + i for i in range(40)}
+    assert copies() == before and not os.path.exists(kept) and len(live(spark, root)) == 4
+    assert sinks.numbered(spark, f"{root}/data", "v") == [0, 1] and sinks.numbered(spark, f"{root}/none", "v") == []
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    for _ in range(50):                                     # files go in the background
+        if not shuffle_files(spark) - shuffles:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - shuffles
+    once = buckets._latest_dealt(rows, ["k"], ["ts"], 4)
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_changes_of_the_last_load_need_the_snapshot_alone(spark):
+    from creditlake.plans.vault_load import _changed
+    schema = "hk_application string, hashdiff string, load_dts timestamp_ntz"
+    rows = lambda at, *kd: spark.sql(" union all ".join(
+        f"select '{k}' hk_application, '{d}' hashdiff, timestamp_ntz '{at}' load_dts" for k, d in kd))
+    now = rows("2024-01-01", ("a", "1"), ("b", "1"))
+    new = rows("2024-02-01", ("a", "1"), ("b", "2"), ("c", "1"))
+    got = _changed(new, "dv_sat_app_contract", now, None, "2024-02-01 00:00:00")
+    assert sorted(r.hk_application for r in got.collect()) == ["b", "c"]
+    empty = spark.createDataFrame([], schema)
+    assert _changed(new, "dv_sat_app_contract", empty, None, "2024-02-01 00:00:00").count() == 3
+
+
+def test_writes_of_a_vault_leave_no_shuffle_files(spark, tmp_path):
+    import time
+
+    from creditlake.plans.vault_load import write_vault_bucketed
+    tables = vault_tables(spark, SF001)
+    names = ("dv_hub_prev_application", "dv_sat_pos_cash_balance")
+    shuffles = shuffle_files(spark)
+    write_vault({n: tables[n] for n in names}, str(tmp_path / "files"))
+    write_vault_bucketed(spark, {n: tables[n] for n in names}, str(tmp_path / "buckets"), 8, f"x{abs(hash(str(tmp_path)))}")
+    for _ in range(50):
+        if not shuffle_files(spark) - shuffles:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - shuffles
+
+
+def test_rows_of_files_are_dealt_once_and_parts_are_stored(spark, tmp_path):
+    """The mart over plain files: one shuffle for a child's versions and
+    groups, one for its link, one for the applications."""
+    root = str(tmp_path / "v")
+    for load in (LOAD_DTS, SECOND_LOAD_DTS):
+        tables = vault_tables(spark, SF001, load)
+        write_vault(tables, root, load)
+    files = read_vault(spark, root, list(tables))
+    setting = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for features in (M.pos_features, M.card_features):
+            assert features(files)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", setting)
+    parts = []
+    mart = M.training_mart(files, part=lambda df: parts.append(M.stored(df)) or parts[-1])
+    assert len(parts) == 4 and all(p.inputFiles() for p in parts)
+    lazy = M.training_mart(tables)
+    assert mart.exceptAll(lazy).count() == 0 and lazy.exceptAll(mart).count() == 0
